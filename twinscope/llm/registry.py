@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import media
+from twinscope.llm import bpe, media
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe": bpe.op3_bpe,
     "op10_media": media.op10_media,
 }
 
