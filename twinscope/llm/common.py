@@ -35,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="twinscope-")
             spark._twinscope_shared = root
-    return root if "://" in root or root.startswith("file:") else "file://" + root
+    if "://" in root:
+        return root
+    return "file://" + root.removeprefix("file:")
 
 
 def work_dir(spark: SparkSession, what: str) -> str:

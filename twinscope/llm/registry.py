@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, media, packed
+from twinscope.llm import bpe, media, mixing, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op8_mixing": mixing.op8_mixing,
     "op9_packed": packed.op9_packed,
     "op10_media": media.op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.OP8_SQL,
+}
