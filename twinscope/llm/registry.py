@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, media, mixing, packed
+from twinscope.llm import bpe, media, mixing, packed, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_packed": packed.op9_packed,
     "op10_media": media.op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
