@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, media, mixing, packed, quality, warc
+from twinscope.llm import bpe, media, mixing, packed, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op5_quality": quality.op5_quality,
     "op7_warc": warc.op7_warc,
