@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, langid, media, mixing, packed, quality, toxicity, warc
+from twinscope.llm import bpe, langid, media, mixing, multi_index, packed, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_multi_index": multi_index.op2_multi_index,
     "op3_bpe": bpe.op3_bpe,
     "op4_langid": langid.op4_langid,
     "op5_quality": quality.op5_quality,
