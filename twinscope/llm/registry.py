@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, langid, media, mixing, multi_index, packed, quality, toxicity, warc
+from twinscope.llm import bpe, langid, media, mixing, multi_index, near_dups, packed, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
     "op4_langid": langid.op4_langid,
     "op5_quality": quality.op5_quality,
+    "op6_near_dups": near_dups.op6_near_dups,
     "op7_warc": warc.op7_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_packed": packed.op9_packed,
