@@ -1,0 +1,58 @@
+"""Small families of functions with a known verdict: (family, file, language, text)."""
+
+_PLAIN = """export function pack{0}(rows: Row[]): string {{
+  const out: string[] = [];
+  for (const r of rows) {{
+    out.push(r.id + ":" + r.value);
+  }}
+  return out.join(",");
+}}
+"""
+_SORTED = """export function packC(rows: Row[]): string {
+  const out: string[] = [];
+  for (const r of rows) {
+    out.push(r.id + ":" + r.value);
+  }
+  out.sort();
+  return out.join(",");
+}
+"""
+_LOGGED = """export function packD(rows: Row[]): string {
+  const out: string[] = [];
+  for (const r of rows) {
+    out.push(r.id + ":" + r.value);
+  }
+  log(rows);
+  return out.join(",");
+}
+"""
+_PY = """def total_{0}(rows):
+    out = 0
+    for r in rows:
+        out = out + r.value
+    return out
+"""
+_PY_GUARD = """def total_c(rows):
+    out = 0
+    if not rows:
+        return None
+    for r in rows:
+        out = out + r.value
+    return out
+"""
+CODE = [
+    ("same", "a/one.ts", "ts", _PLAIN.format("A")),
+    ("same", "a/two.ts", "ts", _PLAIN.format("B")),
+    ("on-path", "b/one.ts", "ts", _PLAIN.format("A")),
+    ("on-path", "b/two.ts", "ts", _PLAIN.format("B")),
+    ("on-path", "b/three.ts", "ts", _SORTED),
+    ("off-path", "c/one.ts", "ts", _PLAIN.format("A")),
+    ("off-path", "c/two.ts", "ts", _PLAIN.format("B")),
+    ("off-path", "c/four.ts", "ts", _LOGGED),
+    ("label", "d/one.ts", "ts", _PLAIN.format("A")),
+    ("label", "d/two.ts", "ts", _PLAIN.format("B").replace(".join", ".concat")),
+    ("label", "d/three.ts", "ts", _PLAIN.format("C")),
+    ("guard", "e/a.py", "py", _PY.format("a")),
+    ("guard", "e/b.py", "py", _PY.format("b")),
+    ("guard", "e/c.py", "py", _PY_GUARD),
+]
