@@ -180,19 +180,12 @@ class Memo:
 
 def is_plain(text: str) -> bool:
     """Whether single blanks or line breaks, and no other white space, part the words of a nonempty text."""
-    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text))
+    return not ("\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text))
 
 
 def plain_words(text: str) -> list[str]:
     """A plain text's words, each after the first of a line with its blank, and its line breaks."""
-    out: list[str] = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        head, *rest = line.split(" ")
-        out.append(head)
-        out += [" " + w for w in rest]
-    return out
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 class Codec:

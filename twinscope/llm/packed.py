@@ -17,10 +17,13 @@ own, next to each other, in the order of their texts' hashes; rows of null id co
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,17 +34,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinscope.llm.bpe import Memo, is_plain, plain_words
+from twinscope.llm.bpe import is_plain, plain_words
 from twinscope.llm.common import materialise, open_fs, shuffle_partitions, table, work_dir
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
+#: Words that one worker's memo holds.
+MEMO_WORDS = 1_000_000
+#: A splitting at the public pattern without a blank put before the text.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+SIMPLE = re.compile(r"( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:|*$%&#]*)")
 BLOCK_IDS = 1 << 16
 MAGIC = b"TWPACK1\n"
 #: bits, documents, ids, blocks, where the footer starts, MAGIC again.
 TRAILER = struct.Struct("<IQQQQ8s")
 
 
+def byte_names() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: itself if it prints, else the next unused from 256."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_NAMES = byte_names()
+
+
 def width(vocabulary_size: int) -> int:
     """The bits that hold every id of a vocabulary."""
     return max(1, (max(1, vocabulary_size) - 1).bit_length())
@@ -146,21 +164,48 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = Memo(self.whole)
+        self.model = self.library.model
+        # only where the file's splitting and merging are the plain ones
+        kind = json.loads(self.library.to_str())
+        self.split = kind["normalizer"] is None and kind["pre_tokenizer"] == BYTE_LEVEL and kind["model"]["type"] == "BPE"
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        """The ids of one match of the splitting pattern, from the library's model."""
+        known = self.young.get(piece) or self.old.get(piece)
+        if known is None:
+            known = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_NAMES))]).tobytes()
+        return known
+
+    def word(self, word: str) -> bytes:
+        """Letters and the signs after them are two pieces; any other word goes to the library as it is."""
+        simple = self.split and SIMPLE.fullmatch(word)
+        if not simple:
+            return self.whole(word)
+        head, tail = simple.groups()
+        if not tail:
+            return self.piece(word)
+        ids = self.young[head] = self.piece(head)
+        return ids + self.piece(tail)
+
+    def lookup(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of each word; the library is asked for those that the memo lacks."""
+        found = {w: self.young.get(w) or self.old.get(w) for w in words}
+        if len(self.young) + len(found) > MEMO_WORDS // 2:
+            self.old, self.young = self.young, {}
+        for w in [w for w, ids in found.items() if ids is None]:
+            found[w] = self.word(w)
+        self.young.update((w, ids) for w, ids in found.items() if len(w) <= 32)
+        return found
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, the library being called once for all new words."""
         split = [plain_words(t) if t and is_plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        memo = self.words
-        new = [w for w in {w for row in split if row for w in row if w not in memo.young} if w not in memo.old]
-        fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        memo.make = fresh.__getitem__
-        out = [b"".join(map(memo, row)) if row else self.whole(t) if t else b"" for t, row in zip(texts, split, strict=True)]
-        memo.make = self.whole
-        return out
+        ids_of = self.lookup(set().union(*(row for row in split if row))).__getitem__
+        return [b"".join(map(ids_of, row)) if row else self.whole(t) if t else b"" for t, row in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -183,8 +228,8 @@ def write_shards(docs: DataFrame, text: str = "text", path: str | None = None, e
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             enc = encoder(path)
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                rows = batch.slice(lo, 1024)
                 if writer is None:
                     fs, local = open_fs(uri)
                     stream = fs.open_output_stream(local)
