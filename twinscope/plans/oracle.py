@@ -30,8 +30,8 @@ PAIRS = SETS.replace("{threshold}", "0.4")
 def components(edges: str, prefix: str = "") -> str:
     """{prefix}labels: node, family of the edges (a, b) of a relation."""
     return f"""
-{prefix}both AS (SELECT a AS u, b AS v FROM {edges} UNION SELECT b, a FROM {edges}),
-{prefix}walk AS (SELECT u AS node, u AS family FROM {prefix}both UNION SELECT w.node, e.v FROM {prefix}walk w JOIN {prefix}both e ON w.family = e.u),
+{prefix}ends AS (SELECT a AS u, b AS v FROM {edges} UNION SELECT b, a FROM {edges}),
+{prefix}walk AS (SELECT u AS node, u AS family FROM {prefix}ends UNION SELECT w.node, e.v FROM {prefix}walk w JOIN {prefix}ends e ON w.family = e.u),
 {prefix}labels AS (SELECT node, min(family) AS family FROM {prefix}walk GROUP BY node)"""
 
 
@@ -50,7 +50,7 @@ SIGNATURES = (
     + f""",
 coefficients(slot, a, b) AS (VALUES {COEFFICIENTS}),
 hashed AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 8))::BIGINT AS h FROM shingles),
-slots AS (SELECT doc_id, slot, min((a::HUGEINT * h + b) % 4294967296)::BIGINT AS m FROM hashed, coefficients GROUP BY doc_id, slot),
+slots AS (SELECT doc_id, slot, min((a::UBIGINT * h::UBIGINT + b::UBIGINT) % 4294967296::UBIGINT)::BIGINT AS m FROM hashed, coefficients GROUP BY doc_id, slot),
 signatures AS (SELECT doc_id, list(m ORDER BY slot) AS signature FROM slots GROUP BY doc_id)"""
 )
 ROWS = HASHES // BANDS
@@ -87,7 +87,7 @@ halves AS (SELECT doc_id, {_LOW} AS low, {_HIGH} AS high FROM shingles),
 votes AS (SELECT doc_id, k, sum(CASE WHEN ((CASE WHEN k < 32 THEN low ELSE high END) >> (k % 32)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM halves, range(0, 64) r(k) GROUP BY doc_id, k),
 simhashes AS (SELECT doc_id, list(bit ORDER BY k) AS bits FROM votes GROUP BY doc_id),
 hamming AS (SELECT a, b, len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2]))::BIGINT AS hamming FROM pairs JOIN simhashes x ON x.doc_id = a JOIN simhashes y ON y.doc_id = b)"""
-_SORTING = "text LIKE '%!!%'"
+_SORTING = "length(text) % 2 = 0"
 
 ORACLE_SQL: dict[str, str] = {
     "shingle_counts": f"WITH {SHINGLES} SELECT d.doc_id, count(s.shingle) AS n_shingles FROM documents d LEFT JOIN shingles s ON d.doc_id = s.doc_id GROUP BY d.doc_id",
@@ -98,9 +98,10 @@ ORACLE_SQL: dict[str, str] = {
     "minhash_signature": f"WITH {SIGNATURES} SELECT doc_id, array_to_string(signature, ',') AS signature FROM signatures",
     "minhash_estimate": f"WITH {both_signatures()} SELECT a, b, round(len(list_filter(list_zip(x.signature, y.signature), lambda z: z[1] = z[2])) / {HASHES}, 6) AS estimate FROM pairs JOIN signatures x ON x.doc_id = a JOIN signatures y ON y.doc_id = b",
     "lsh_candidates": f"WITH {LSH} SELECT a, b FROM candidates",
-    "twin_pairs": f"WITH {LSH}, {SETS.replace('{threshold}', '0.5').removeprefix(SHINGLES).lstrip(',').strip()} "
-    "SELECT a, b, round(j, 6) AS similarity FROM (SELECT c.a, c.b, (SELECT count(*) FROM shingles x JOIN shingles y USING (shingle) WHERE x.doc_id = c.a AND y.doc_id = c.b) AS both_n, p.n AS n_a, q.n AS n_b, both_n / (p.n + q.n - both_n) AS j "
-    "FROM candidates c JOIN sets p ON p.doc_id = c.a JOIN sets q ON q.doc_id = c.b) WHERE j >= 0.5",
+    "twin_pairs": f"""WITH {LSH}, sized AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+verified AS (SELECT c.a, c.b, any_value(p.n) AS n_a, any_value(q.n) AS n_b, count(*) AS shared FROM candidates c JOIN sized p ON p.doc_id = c.a JOIN sized q ON q.doc_id = c.b
+  JOIN shingles x ON x.doc_id = c.a JOIN shingles y ON y.doc_id = c.b AND y.shingle = x.shingle GROUP BY 1, 2)
+SELECT a, b, round(shared / (n_a + n_b - shared), 6) AS similarity FROM verified WHERE shared / (n_a + n_b - shared) >= 0.5""",
     "simhash_hamming": f"WITH {PAIRS}{SIMHASHES} SELECT a, b, hamming, round(1 - hamming / 64, 6) AS similarity FROM hamming",
     "twin_families": f"WITH RECURSIVE {FAMILIES} SELECT doc_id, family FROM families",
     "largest_family": f"WITH RECURSIVE {FAMILIES}, sizes AS (SELECT family, count(*) AS size FROM families GROUP BY family ORDER BY size DESC, family LIMIT 1) SELECT doc_id, family, size FROM families JOIN sizes USING (family)",
@@ -110,8 +111,8 @@ ORACLE_SQL: dict[str, str] = {
     + " "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, node, family FROM {m}_labels" for m in DEFAULT_THRESHOLDS),
     "family_consensus": f"""WITH {TAGS}, members AS (SELECT family, page_id AS unit_id, array_to_string(tags, '>') AS root_key, len(tags) AS n_nodes, url FROM tags),
-groups AS (SELECT family, root_key, count(*) AS size, min(n_nodes) AS n_nodes, arg_min(unit_id, (url, unit_id)) AS first_unit, min((url, unit_id)) AS at FROM members GROUP BY family, root_key),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY size DESC, n_nodes, at) AS r FROM groups)
+groups AS (SELECT family, root_key, count(*) AS size, min(n_nodes) AS n_nodes, arg_min(unit_id, (url, unit_id)) AS first_unit, min((url, unit_id)) AS place FROM members GROUP BY family, root_key),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY size DESC, n_nodes, place) AS r FROM groups)
 SELECT family, sum(size)::BIGINT AS n_units, count(*) AS n_groups, max(CASE WHEN r = 1 THEN first_unit END) AS consensus, max(CASE WHEN r = 2 THEN first_unit END) AS divergent FROM ranked GROUP BY family""",
     "label_divergence": """WITH lines AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
 positions AS (SELECT source || '/' || len(ls) AS family, doc_id, k - 1 AS pre, ls[k] AS label FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS k FROM lines)),
@@ -124,14 +125,14 @@ FROM best b JOIN placed o ON o.family = b.family AND o.pre = b.pre AND o.label <
     "import_path_scan": r"""WITH lines AS (SELECT page_id, 2 AS start_line, url AS import_path FROM pages UNION ALL SELECT page_id, 3, regexp_replace(url, '[^A-Za-z0-9.]', '.', 'g') FROM pages),
 marked AS (SELECT *, lower(regexp_extract(import_path, '(?i)(?:^|[/\\.])(blog|en|fr|example|v[0-9]+)(?:[/\\.]|$)', 1)) AS marker FROM lines)
 SELECT page_id, min(start_line)::BIGINT AS start_line, import_path, marker FROM marked WHERE marker <> '' GROUP BY page_id, import_path, marker""",
-    "sort_asymmetry": f"""WITH {SHINGLES}, sized AS (SELECT d.doc_id, source, {_SORTING} AS sorts, count(s.shingle) AS n FROM documents d JOIN shingles s ON d.doc_id = s.doc_id GROUP BY ALL),
+    "sort_asymmetry": f"""WITH {SHINGLES}, sized AS (SELECT d.doc_id, lang, {_SORTING} AS sorts, count(s.shingle) AS n FROM documents d JOIN shingles s ON d.doc_id = s.doc_id GROUP BY ALL),
 both_n AS (SELECT t.doc_id, o.doc_id AS other, any_value(o.sorts) AS other_sorts, any_value(t.n) AS n_a, any_value(o.n) AS n_b, count(*) AS shared FROM sized t JOIN shingles x ON x.doc_id = t.doc_id
-  JOIN shingles y ON y.shingle = x.shingle JOIN sized o ON o.doc_id = y.doc_id WHERE t.sorts AND o.source = t.source AND o.doc_id <> t.doc_id GROUP BY 1, 2)
+  JOIN shingles y ON y.shingle = x.shingle JOIN sized o ON o.doc_id = y.doc_id WHERE t.sorts AND o.lang = t.lang AND o.doc_id <> t.doc_id GROUP BY 1, 2)
 SELECT doc_id, count(*) AS n_similar FROM both_n WHERE shared / (n_a + n_b - shared) >= 0.4 GROUP BY doc_id HAVING NOT bool_or(other_sorts)""",
     "sibling_pool": """WITH files AS (SELECT '/corpus/' || source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS file, source, lang FROM documents),
 near AS (SELECT t.file AS target, o.file, row_number() OVER (PARTITION BY t.file ORDER BY o.file) AS r FROM files t JOIN files o ON t.source = o.source AND t.lang = o.lang AND t.file <> o.file)
 SELECT target, file FROM near WHERE r <= 20""",
-    "basename_pool": """WITH files AS (SELECT '/corpus/' || source || '/' || doc_id || '/' || (doc_id % 97) || '.txt' AS file, source, doc_id % 97 AS name FROM documents),
+    "basename_pool": """WITH files AS (SELECT '/corpus/' || source || '/' || doc_id || '/' || (doc_id % 7) || '.txt' AS file, source, doc_id % 7 AS name FROM documents),
 near AS (SELECT t.file AS target, o.file, row_number() OVER (PARTITION BY t.file ORDER BY o.file) AS r FROM files t JOIN files o ON t.source = o.source AND t.name = o.name AND t.file <> o.file)
 SELECT target, file FROM near WHERE r <= 30""",
     "findings_topk": f"""WITH lines AS (SELECT source, doc_id, '- ' || source || ':' || doc_id || '-' || doc_id || ' [' || CASE WHEN text LIKE '%|%' THEN 'table, conf=0.50' WHEN text LIKE '%!!%' THEN 'compat-shim:shouting' ELSE lang END || ']: ' || n_chars || ' characters' AS line FROM documents),

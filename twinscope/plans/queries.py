@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
-from twinscope.functions.text import exploded_shingles, word_shingles
+from twinscope.functions.text import exploded_shingles, let, word_shingles
 from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
 from twinscope.operators.verdicts import characterise
 from twinscope.plans.examples import CODE
@@ -124,7 +124,7 @@ def label_divergence(spark, sf_dir):
 
 def tree_trigrams(spark, sf_dir):
     tags = tag_units(spark, sf_dir).where("n_nodes >= 3")
-    grams = F.transform(F.sequence(F.lit(1), F.col("n_nodes") - 2), lambda i: F.array_join(F.slice("tags", i, 3), ">"))
+    grams = let(F.col("tags"), lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.array_join(F.slice(t, i, 3), ">")))
     return tags.select(F.col("unit_id").alias("page_id"), F.size(F.array_distinct(grams)).cast("long").alias("n_trigrams"))
 
 
@@ -151,8 +151,8 @@ def import_path_scan(spark, sf_dir):
 
 def sort_asymmetry(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("file"), "source", word_shingles(F.col("text")).alias("identifiers"), F.col("text").contains(SHOUTING).alias("has_sort"))
-    return asymmetry.asymmetric(rows, "source").select(F.col("unit").alias("doc_id"), "n_similar")
+    rows = docs.select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("file"), "lang", word_shingles(F.col("text")).alias("identifiers"), (F.char_length("text") % 2 == 0).alias("has_sort"))
+    return asymmetry.asymmetric(rows, "lang").select(F.col("unit").alias("doc_id"), "n_similar")
 
 
 def placed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +167,7 @@ def sibling_pool(spark, sf_dir):
 def basename_pool(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     folder = F.concat_ws("/", F.lit("/corpus"), "source", F.col("doc_id").cast("string"))
-    files = docs.select(F.concat_ws("/", folder, F.concat((F.col("doc_id") % 97).cast("string"), F.lit(".txt"))).alias("file"), folder.alias("dir"), "source")
+    files = docs.select(F.concat_ws("/", folder, F.concat((F.col("doc_id") % 7).cast("string"), F.lit(".txt"))).alias("file"), folder.alias("dir"), "source")
     roots = files.select("file", F.concat_ws("/", F.lit("/corpus"), "source").alias("root"))
     return corpus.cross_file_siblings(files.select("file", "dir"), roots)
 
