@@ -11,8 +11,9 @@ No bucket is expanded into all pairs, and none is capped:
 1. star: a text is paired with the most central text of its buckets (the one it resembles most);
 2. one: in buckets that verified links haven't made one class, each text is paired with the text of
    another class that it resembles most;
-3. all: what is still in different classes in one bucket, resembles by more than chance may hide, and
-   hasn't been aligned yet is aligned.
+3. rest: texts that still have a partner in another class of a bucket are brought to it, and all such pairs
+   are aligned there, each in the first bucket that it shares; only links leave the task, one for two
+   classes, so its output is no larger than its input.
 Resemblance is estimated from BINS one-byte minima of one permutation; a pair is passed over when the
 estimate is three deviations below the threshold. A link inside a class can't change the classes, so
 leaving it out loses nothing.
@@ -169,48 +170,105 @@ def one(nodes: np.ndarray, bins: np.ndarray, classes: np.ndarray) -> Iterator[tu
             yield nodes[k], nodes[best], float(same[best])
 
 
-def every(nodes: np.ndarray, bins: np.ndarray, classes: np.ndarray) -> Iterator[tuple[bytes, bytes, float]]:
-    """All pairs of a bucket in different classes that reach the floor."""
-    for k in range(len(nodes) - 1):
-        same, good = estimates(bins[k], bins[k + 1 :])
-        for j in np.flatnonzero(good & (classes[k + 1 :] != classes[k])):
-            yield nodes[k], nodes[k + 1 + j], float(same[j])
+def unsettled(keys: np.ndarray, bucket: int, bins: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a bucket, the later ones of other classes that reach the floor and share no earlier bucket."""
+    for k in range(len(bins) - 1):
+        other = np.flatnonzero(classes[k + 1 :] != classes[k]) + k + 1
+        if len(other):
+            other = other[estimates(bins[k], bins[other])[1]]
+            shared = keys[other] == keys[k]
+            yield k, other[keys[k][shared.argmax(1)] == bucket] if len(other) else other
 
 
-def pairs_of(buckets: DataFrame, how: Callable) -> DataFrame:
-    """Pairs a < b with their estimates, from (bucket, node, bins, class)."""
+def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """bucket and its columns, from batches sorted by bucket."""
+    held: list[list[np.ndarray]] = []
+    current = None
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+        columns = [np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in names]
+        edges = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if bucket[lo] != current:
+                if held:
+                    yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, current = [], bucket[lo]
+            held.append([c[lo:hi] for c in columns])
+    if held:
+        yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
+
 
-    def emit(parts: list[tuple]) -> Iterator[tuple[bytes, bytes, float]]:
-        nodes = np.concatenate([p[0] for p in parts])
-        if len(nodes) > 1:
-            bins = np.frombuffer(b"".join(x for p in parts for x in p[1]), np.uint8).reshape(-1, BINS)
-            for a, b, same in how(nodes, bins, np.concatenate([p[2] for p in parts])):
-                yield (a, b, same) if a < b else (b, a, same)
+def stack(columns: np.ndarray, kind: str) -> np.ndarray:
+    """Rows of equal length, from bytes or lists."""
+    return np.stack([np.frombuffer(x, kind) if isinstance(x, bytes) else np.array(x, kind) for x in columns])
+
+
+def remaining(buckets: DataFrame) -> DataFrame:
+    """bucket, node of members with an unsettled partner, from (bucket, node, bins, keys, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current, out = None, []
+        for bucket, (nodes, bins, keys, classes) in grouped(batches, ("node", "bins", "keys", "class")):
+            hit = np.zeros(len(nodes), bool)
+            for k, partners in unsettled(stack(keys, "i8"), bucket, stack(bins, "u1"), classes):
+                hit[partners] = True
+                hit[k] |= len(partners) > 0
+            if hit.any():
+                yield pa.record_batch({"bucket": pa.array(np.full(int(hit.sum()), bucket), pa.int64()), "node": pa.array(nodes[hit].tolist(), pa.binary())})
 
-        def flushed(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "same"])
+    return dealt(buckets, "bins", "keys", "class").mapInArrow(run, "bucket long, node binary")
 
-        for batch in batches:
-            bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
-            nodes, bins, classes = (np.array(batch.column(c).to_pylist(), object) for c in ("node", "bins", "class"))
-            edges = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if bucket[lo] != current:
-                    out += emit(held) if held else ()
-                    held, current = [], bucket[lo]
-                held.append((nodes[lo:hi], bins[lo:hi], classes[lo:hi]))
-                if len(out) >= 4096:
-                    yield flushed(out)
-                    out = []
-        out += emit(held) if held else ()
-        if out:
-            yield flushed(out)
-
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", "bins", "class").mapInArrow(run, "a binary, b binary, same double")
+
+def settle(buckets: DataFrame) -> DataFrame:
+    """a, b, linked: links between classes of a bucket, from (bucket, node, bins, keys, class, zipped)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        unzip = zstandard.ZstdDecompressor()
+        for bucket, (nodes, bins, keys, classes, zipped) in grouped(batches, ("node", "bins", "keys", "class", "zipped")):
+            kmers: dict[int, np.ndarray] = {}
+            ordered: dict[int, np.ndarray] = {}
+
+            def read(k: int, kmers=kmers, ordered=ordered, zipped=zipped) -> np.ndarray:
+                if k not in kmers:
+                    kmers[k] = kmers_of(unzip.decompress(zipped[k]))
+                    ordered[k] = np.sort(kmers[k])
+                return kmers[k]
+
+            number = {c: i for i, c in enumerate(dict.fromkeys(classes))}
+            own = np.array([number[c] for c in classes])
+            links = []
+            for k, partners in unsettled(stack(keys, "i8"), bucket, stack(bins, "u1"), classes):
+                for j in partners.tolist():
+                    if own[j] != own[k]:
+                        a, b = read(k), read(j)
+                        at = np.minimum(np.searchsorted(ordered[k], b), len(a) - 1)
+                        shared = int((ordered[k][at] == b).sum())
+                        if shared >= THRESHOLD * (len(a) + len(b) - shared) - 1e-9 and alignment(a, b) >= THRESHOLD:
+                            links.append(sorted((nodes[k], nodes[j])))
+                            own[own == own[j]] = own[k]
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a))})
+
+    return dealt(buckets, "bins", "keys", "class", "zipped").mapInArrow(run, "a binary, b binary, linked boolean")
+
+
+def dealt(buckets: DataFrame, *columns: str) -> DataFrame:
+    """Buckets whole in a partition, in order."""
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", *columns)
+
+
+def pairs_of(buckets: DataFrame, how: Callable) -> DataFrame:
+    """Pairs a < b with their estimates, from (bucket, node, bins, class)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (nodes, bins, classes) in grouped(batches, ("node", "bins", "class")):
+            if len(nodes) > 1:
+                out = [(a, b, same) if a < b else (b, a, same) for a, b, same in how(nodes, stack(bins, "u1"), classes)]
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "same"])
+
+    return dealt(buckets, "bins", "class").mapInArrow(run, "a binary, b binary, same double")
 
 
 def longest_rise(values: list[int]) -> int:
@@ -335,16 +393,27 @@ def classes(docs: DataFrame) -> DataFrame:
     release(spark)
     tested = materialise(verify(pairs, texts), "verified")
     labels = components(tested.where("linked").select("a", "b"))
-    for how in (one, every):
+
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Buckets with members of several classes."""
         named = buckets.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        mixed = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-        more = pairs_of(named.join(mixed, "bucket", "left_semi").join(bins, "node"), how).select("a", "b").distinct()
-        more = materialise(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        release(spark)
-        if more.isEmpty():
-            continue
+        several = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
+        return named.join(several, "bucket", "left_semi")
+
+    more = pairs_of(mixed(labels).join(bins, "node"), one).select("a", "b").distinct()
+    more = materialise(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    release(spark)
+    if not more.isEmpty():
         tested = materialise(verify(more, texts).unionByName(tested), "verified")
         labels = components(tested.where("linked").select("a", "b"))
+    rest = mixed(labels).join(nodes.select("node", "bins", "keys"), "node")
+    open_ones = materialise(remaining(rest), "open")
+    release(spark)
+    if not open_ones.isEmpty():
+        brought = rest.join(open_ones, ["bucket", "node"]).join(texts, "node")
+        found = materialise(settle(brought), "settled")
+        if not found.isEmpty():
+            labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")))
     release(spark)
     named = rows.select("doc_id", "text64", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialise(named.select("doc_id", "text64", "class"), "named")
