@@ -107,7 +107,10 @@ def edited(words, rng, share):
     return [w if rng.random() > share else "edit" + str(rng.integers(1e6)) for w in words]
 
 
-def test_near_dups(spark):
+@pytest.mark.parametrize("block", [near_dups.BLOCK, 3])
+def test_near_dups(spark, monkeypatch, block):
+    """Against all pairs; with small blocks, so that buckets are dealt into many."""
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     rng = np.random.default_rng(9)
     vocabulary = [f"w{k}" for k in range(3000)]
     shared = list(rng.choice(vocabulary, 60))

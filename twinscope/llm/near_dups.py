@@ -14,6 +14,10 @@ No bucket is expanded into all pairs, and none is capped:
 3. rest: texts that still have a partner in another class of a bucket are brought to it, and all such pairs
    are aligned there, each in the first bucket that it shares; only links leave the task, one for two
    classes, so its output is no larger than its input.
+A bucket of more than BLOCK texts is dealt into blocks. Its stars are made block by block, then among the
+blocks' centres, and so on until one is left; in 2 and 3 each two blocks that can hold a pair of different
+classes meet in a task of their own. So no task holds more than two blocks, and no pair is left out.
+
 Resemblance is estimated from BINS one-byte minima of one permutation; a pair is passed over when the
 estimate is three deviations below the threshold. A link inside a class can't change the classes, so
 leaving it out loses nothing.
@@ -36,7 +40,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope.llm.common import byte_chunks, materialise, splitmix, table
@@ -50,6 +54,10 @@ THRESHOLD = 0.8
 DEVIATIONS = 3.0
 #: Members that stand for a bucket when its most central one is sought.
 SOUNDED = 32
+#: Texts of a bucket that meet in one task; two such blocks at most.
+BLOCK = 2048
+#: Texts whose k-mers a task keeps at hand.
+HELD = 256
 _RNG = np.random.default_rng(20240229)
 SEEDS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 FACTORS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,30 +158,43 @@ def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return same, same >= floor_of(used)
 
 
-def star(nodes: np.ndarray, bins: np.ndarray, _: np.ndarray) -> Iterator[tuple[bytes, bytes, float]]:
-    """Each text of a bucket with the most central one."""
-    spots = np.unique(np.linspace(0, len(nodes) - 1, SOUNDED).astype(int))
+def star(bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Each text of a cell with the most central one."""
+    spots = np.unique(np.linspace(0, len(bins) - 1, SOUNDED).astype(int))
     best = max(spots.tolist(), key=lambda k: (estimates(bins[k], bins)[0].sum(), -k))
     same, good = estimates(bins[best], bins)
     for k in np.flatnonzero(good):
         if k != best:
-            yield nodes[k], nodes[best], float(same[k])
+            yield k, best, float(same[k])
+
+
+def several(blocks: np.ndarray) -> np.ndarray | None:
+    """The blocks of a cell, if it has two."""
+    return blocks if blocks.min() != blocks.max() else None
 
 
-def one(nodes: np.ndarray, bins: np.ndarray, classes: np.ndarray) -> Iterator[tuple[bytes, bytes, float]]:
-    """Each text of a bucket with the text of another class that it resembles most."""
-    for k in range(len(nodes)):
+def apart(classes: np.ndarray, blocks: np.ndarray | None, k: int) -> np.ndarray:
+    """Which texts of a cell are of another class than the k-th and, where the cell has two blocks, of the other one."""
+    other = classes != classes[k]
+    return other if blocks is None else other & (blocks != blocks[k])
+
+
+def one(bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Each text of a cell with the text of another class that it resembles most."""
+    blocks = several(blocks)
+    for k in range(len(bins)):
         same, good = estimates(bins[k], bins)
-        same = np.where(good & (classes != classes[k]), same, -1.0)
+        same = np.where(good & apart(classes, blocks, k), same, -1.0)
         best = int(same.argmax())
         if same[best] >= 0:
-            yield nodes[k], nodes[best], float(same[best])
+            yield k, best, float(same[best])
 
 
-def unsettled(keys: np.ndarray, bucket: int, bins: np.ndarray, classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For members of a bucket, the later ones of other classes that reach the floor and share no earlier bucket."""
+def unsettled(keys: np.ndarray, bucket: int, bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a cell, the later ones of other classes that reach the floor and share no earlier bucket."""
+    blocks = several(blocks)
     for k in range(len(bins) - 1):
-        other = np.flatnonzero(classes[k + 1 :] != classes[k]) + k + 1
+        other = np.flatnonzero(apart(classes, blocks, k)[k + 1 :]) + k + 1
         if len(other):
             other = other[estimates(bins[k], bins[other])[1]]
             shared = keys[other] == keys[k]
@@ -181,18 +202,18 @@ def unsettled(keys: np.ndarray, bucket: int, bins: np.ndarray, classes: np.ndarr
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """bucket and its columns, from batches sorted by bucket."""
+    """cell and its columns, from batches sorted by cell."""
     held: list[list[np.ndarray]] = []
     current = None
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cell = batch.column("cell").to_numpy(zero_copy_only=False)
         columns = [np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in names]
-        edges = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, int)
+        edges = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)] if len(cell) else np.zeros(1, int)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if bucket[lo] != current:
+            if cell[lo] != current:
                 if held:
                     yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
-                held, current = [], bucket[lo]
+                held, current = [], cell[lo]
             held.append([c[lo:hi] for c in columns])
     if held:
         yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -203,33 +224,36 @@ def stack(columns: np.ndarray, kind: str) -> np.ndarray:
     return np.stack([np.frombuffer(x, kind) if isinstance(x, bytes) else np.array(x, kind) for x in columns])
 
 
-def remaining(buckets: DataFrame) -> DataFrame:
-    """bucket, node of members with an unsettled partner, from (bucket, node, bins, keys, class)."""
+def remaining(cells: DataFrame) -> DataFrame:
+    """cell, node of members with an unsettled partner, from (cell, bucket, block, node, bins, keys, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, (nodes, bins, keys, classes) in grouped(batches, ("node", "bins", "keys", "class")):
+        for cell, (nodes, bucket, blocks, bins, keys, classes) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class")):
             hit = np.zeros(len(nodes), bool)
-            for k, partners in unsettled(stack(keys, "i8"), bucket, stack(bins, "u1"), classes):
+            for k, partners in unsettled(stack(keys, "i8"), bucket[0], stack(bins, "u1"), classes, blocks):
                 hit[partners] = True
                 hit[k] |= len(partners) > 0
             if hit.any():
-                yield pa.record_batch({"bucket": pa.array(np.full(int(hit.sum()), bucket), pa.int64()), "node": pa.array(nodes[hit].tolist(), pa.binary())})
+                yield pa.record_batch({"cell": pa.array(np.full(int(hit.sum()), cell), pa.int64()), "node": pa.array(nodes[hit].tolist(), pa.binary())})
 
-    return dealt(buckets, "bins", "keys", "class").mapInArrow(run, "bucket long, node binary")
+    return dealt(cells, "bucket", "block", "bins", "keys", "class").mapInArrow(run, "cell long, node binary")
 
 
-def settle(buckets: DataFrame) -> DataFrame:
-    """a, b, linked: links between classes of a bucket, from (bucket, node, bins, keys, class, zipped)."""
+def settle(cells: DataFrame) -> DataFrame:
+    """a, b, linked: links between classes of a cell, from (cell, bucket, block, node, bins, keys, class, zipped)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         unzip = zstandard.ZstdDecompressor()
-        for bucket, (nodes, bins, keys, classes, zipped) in grouped(batches, ("node", "bins", "keys", "class", "zipped")):
+        for _, (nodes, bucket, blocks, bins, keys, classes, zipped) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class", "zipped")):
             kmers: dict[int, np.ndarray] = {}
             ordered: dict[int, np.ndarray] = {}
 
             def read(k: int, kmers=kmers, ordered=ordered, zipped=zipped) -> np.ndarray:
                 if k not in kmers:
+                    if len(kmers) >= HELD:
+                        kmers.pop(old := next(iter(kmers)))
+                        ordered.pop(old)
                     kmers[k] = kmers_of(unzip.decompress(zipped[k]))
                     ordered[k] = np.sort(kmers[k])
                 return kmers[k]
@@ -237,12 +261,13 @@ def settle(buckets: DataFrame) -> DataFrame:
             number = {c: i for i, c in enumerate(dict.fromkeys(classes))}
             own = np.array([number[c] for c in classes])
             links = []
-            for k, partners in unsettled(stack(keys, "i8"), bucket, stack(bins, "u1"), classes):
+            for k, partners in unsettled(stack(keys, "i8"), bucket[0], stack(bins, "u1"), classes, blocks):
                 for j in partners.tolist():
                     if own[j] != own[k]:
-                        a, b = read(k), read(j)
-                        at = np.minimum(np.searchsorted(ordered[k], b), len(a) - 1)
-                        shared = int((ordered[k][at] == b).sum())
+                        b, a = read(j), read(k)
+                        mine = ordered[k]
+                        at = np.minimum(np.searchsorted(mine, b), len(a) - 1)
+                        shared = int((mine[at] == b).sum())
                         if shared >= THRESHOLD * (len(a) + len(b) - shared) - 1e-9 and alignment(a, b) >= THRESHOLD:
                             links.append(sorted((nodes[k], nodes[j])))
                             own[own == own[j]] = own[k]
@@ -250,25 +275,65 @@ def settle(buckets: DataFrame) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a))})
 
-    return dealt(buckets, "bins", "keys", "class", "zipped").mapInArrow(run, "a binary, b binary, linked boolean")
+    return dealt(cells, "bucket", "block", "bins", "keys", "class", "zipped").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def dealt(buckets: DataFrame, *columns: str) -> DataFrame:
-    """Buckets whole in a partition, in order."""
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "node").select("bucket", "node", *columns)
+def dealt(cells: DataFrame, *columns: str) -> DataFrame:
+    """Cells whole in a partition, in order."""
+    return cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", *columns)
 
 
-def pairs_of(buckets: DataFrame, how: Callable) -> DataFrame:
-    """Pairs a < b with their estimates, from (bucket, node, bins, class)."""
+def pairs_of(cells: DataFrame, how: Callable) -> DataFrame:
+    """A text, the partner found for it in a cell, and their estimate, from (cell, bucket, block, node, bins, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (nodes, bins, classes) in grouped(batches, ("node", "bins", "class")):
-            if len(nodes) > 1:
-                out = [(a, b, same) if a < b else (b, a, same) for a, b, same in how(nodes, stack(bins, "u1"), classes)]
-                if out:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], names=["a", "b", "same"])
+        for _, (nodes, bucket, blocks, bins, classes) in grouped(batches, ("node", "bucket", "block", "bins", "class")):
+            found = [*how(stack(bins, "u1"), classes, blocks)] if len(nodes) > 1 else []
+            if found:
+                text, partner, same = zip(*found, strict=True)
+                yield pa.record_batch({
+                    "bucket": pa.array([bucket[0]] * len(found), pa.int64()), "node": pa.array(nodes[list(text)].tolist(), pa.binary()), "partner": pa.array(nodes[list(partner)].tolist(), pa.binary()), "same": pa.array(same, pa.float64()),
+                })
+
+    return dealt(cells, "bucket", "block", "bins", "class").mapInArrow(run, "bucket long, node binary, partner binary, same double")
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """a < b, same of each pair."""
+    return pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"), "same")
+
 
-    return dealt(buckets, "bins", "class").mapInArrow(run, "a binary, b binary, same double")
+def sized(members: DataFrame) -> DataFrame:
+    """bucket, node, members of buckets with several members; counted before the join, which may split a hot bucket."""
+    counts = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    return members.join(counts, "bucket").select("bucket", "node", "members")
+
+
+def split(hash_of: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(hash_of), parts)
+
+
+def in_blocks(buckets: DataFrame) -> DataFrame:
+    """The blocks of buckets as cells, for stars."""
+    blocks = F.ceil(F.col("members") / BLOCK)
+    cell = F.when(blocks == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", split("node", blocks)))
+    return buckets.select(cell.alias("cell"), "bucket", F.lit(0).alias("block"), "node")
+
+
+def in_pairs_of_blocks(named: DataFrame) -> DataFrame:
+    """cell, bucket, block, node, class of buckets with several classes, from (bucket, node, class).
+
+    In a large bucket, the blocks of its largest class meet those of the rest, which meet each other too.
+    """
+    sizes = named.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    about = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max_by("class", F.struct("size", "class")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("n")).where("kinds > 1")
+    few, is_main = F.col("n") <= BLOCK, F.col("class") == F.col("main")
+    main_blocks, rest_blocks = F.ceil(F.col("n_main") / BLOCK), F.ceil((F.col("n") - F.col("n_main")) / BLOCK)
+    block = F.when(few, 0).when(is_main, rest_blocks + split("node", main_blocks)).otherwise(split("node", rest_blocks))
+    met = F.when(few, 1).when(is_main, rest_blocks).otherwise(rest_blocks + main_blocks)
+    placed = named.join(about, "bucket").select("bucket", "node", "class", few.alias("few"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), met - 1)).alias("other"))
+    cell = F.when(F.col("few"), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")))
+    return placed.select(cell.alias("cell"), "bucket", "block", "node", "class")
 
 
 def longest_rise(values: list[int]) -> int:
@@ -378,16 +443,26 @@ def classes(docs: DataFrame) -> DataFrame:
     standing = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text64"))  # an id before none
     # one row for each word sequence: partial aggregation keeps hot copies from meeting in a task
     nodes = materialise(rows.where(F.col("keys").isNotNull()).groupBy("node").agg(standing.alias("row"), F.first("keys").alias("keys"), F.first("bins").alias("bins")), "nodes")
-    members = F.count("*").over(Window.partitionBy("bucket"))
-    buckets = nodes.select("node", F.explode("keys").alias("bucket")).withColumn("members", members).where(F.col("members") > 1).select("bucket", "node")
-    buckets = materialise(buckets, "buckets")
+    buckets = materialise(sized(nodes.select("node", F.explode("keys").alias("bucket"))), "buckets")
     release(spark)
     bins = nodes.select("node", "bins")
-    candidates = pairs_of(buckets.join(bins, "node").withColumn("class", F.col("node")), star)
+
+    def stars(buckets: DataFrame) -> DataFrame:
+        return pairs_of(in_blocks(buckets).join(bins, "node").withColumn("class", F.col("node")), star)
+
+    candidates = in_order(stars(buckets.where(F.col("members") <= BLOCK)))
+    rounds, level = [], buckets.where(F.col("members") > BLOCK)
+    while not level.isEmpty():
+        rounds.append(materialise(stars(level), "stars"))
+        candidates = candidates.unionByName(in_order(rounds[-1]))
+        level = materialise(sized(rounds[-1].select("bucket", F.col("partner").alias("node")).distinct()), "centres")
     # of each text the centre it resembles most; a centre may be either end of its pairs
     found = materialise(candidates.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
     ends = found.select(F.col("a").alias("end"), "a", "b", "same").unionByName(found.select(F.col("b").alias("end"), "a", "b", "same"))
-    pairs = materialise(ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    pairs = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
+    for joints in rounds[1:]:  # centres with centres
+        pairs = pairs.unionByName(in_order(joints).select("a", "b"))
+    pairs = materialise(pairs.distinct(), "pairs")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", id_key(F.col("row.doc_id")).alias("id_key"), F.col("row.text64").alias("text64"))
     texts = materialise(zipped_texts(docs, wanted), "texts")
     release(spark)
@@ -395,12 +470,11 @@ def classes(docs: DataFrame) -> DataFrame:
     labels = components(tested.where("linked").select("a", "b"))
 
     def mixed(labels: DataFrame) -> DataFrame:
-        """Buckets with members of several classes."""
-        named = buckets.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        several = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("bucket")
-        return named.join(several, "bucket", "left_semi")
+        """Cells of buckets with members of several classes."""
+        return in_pairs_of_blocks(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
 
-    more = pairs_of(mixed(labels).join(bins, "node"), one).select("a", "b").distinct()
+    nearest = pairs_of(mixed(labels).join(bins, "node"), one).groupBy("bucket", "node").agg(F.max_by(F.struct("partner", "same"), F.struct("same", "partner")).alias("p"))
+    more = in_order(nearest.select("node", "p.*")).select("a", "b").distinct()
     more = materialise(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     release(spark)
     if not more.isEmpty():
@@ -410,7 +484,7 @@ def classes(docs: DataFrame) -> DataFrame:
     open_ones = materialise(remaining(rest), "open")
     release(spark)
     if not open_ones.isEmpty():
-        brought = rest.join(open_ones, ["bucket", "node"]).join(texts, "node")
+        brought = rest.join(open_ones, ["cell", "node"]).join(texts, "node")
         found = materialise(settle(brought), "settled")
         if not found.isEmpty():
             labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")))
