@@ -394,20 +394,27 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return first.join(texts.select(F.col("node").alias("b"), F.col("zipped").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and class (the smallest node of its component) of all nodes with a link."""
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node and class (the smallest node of its component) of all nodes with a link.
+
+    `known` are the classes of some of these links. In each round a node takes the smallest class that it or a
+    neighbour has, and then its whole former class follows the smallest one that a member took, two steps on.
+    """
     links = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
-    labels = materialise(links.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("class")), "labels")
+    labels = links.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("class"))
+    if known is not None:
+        labels = links.select(F.col("u").alias("node")).distinct().join(known, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+    labels = materialise(labels, "labels")
     while True:
         near = links.join(labels.select(F.col("node").alias("v"), "class"), "v").groupBy("u").agg(F.min("class").alias("near"))
         step = labels.join(near, labels.node == near.u).select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         step = materialise(step, "labels")
-        jump = labels.select(F.col("node").alias("class"), F.col("class").alias("further"))
-        labels = materialise(step.join(jump, "class", "left").select("node", "was", F.least("class", F.coalesce("further", "class")).alias("class")), "labels")
-        changed = not labels.where(F.col("class") != F.col("was")).isEmpty()
-        labels = labels.select("node", "class")
-        if not changed:
-            return labels
+        if step.where(F.col("class") != F.col("was")).isEmpty():
+            return step.select("node", "class")
+        moves = materialise(step.groupBy("was").agg(F.min("class").alias("to")), "moves")
+        onward = moves.select(F.col("was").alias("to"), F.col("to").alias("further"))
+        labels = step.join(moves, "was").join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("class"))
+        labels = materialise(labels, "labels")
 
 
 def release(spark: SparkSession) -> None:
@@ -479,15 +486,16 @@ def classes(docs: DataFrame) -> DataFrame:
     release(spark)
     if not more.isEmpty():
         tested = materialise(verify(more, texts).unionByName(tested), "verified")
-        labels = components(tested.where("linked").select("a", "b"))
-    rest = mixed(labels).join(nodes.select("node", "bins", "keys"), "node")
+        labels = components(tested.where("linked").select("a", "b"), labels)
+    cells = materialise(mixed(labels), "cells")
+    rest = cells.join(nodes.select("node", "bins", "keys"), "node")
     open_ones = materialise(remaining(rest), "open")
     release(spark)
     if not open_ones.isEmpty():
         brought = rest.join(open_ones, ["cell", "node"]).join(texts, "node")
         found = materialise(settle(brought), "settled")
         if not found.isEmpty():
-            labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")))
+            labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")), labels)
     release(spark)
     named = rows.select("doc_id", "text64", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialise(named.select("doc_id", "text64", "class"), "named")
