@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
+from twinscope.functions.text import word_shingles
 from twinscope.operators.storage import cut
 
 
@@ -19,32 +20,92 @@ def hashed_sets(exploded: DataFrame, key: str = "doc_id", item: str = "shingle")
     return exploded.groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_set(F.xxhash64(item))).alias("items"))
 
 
+def text_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """hashed_sets of the word shingles of texts, without a shuffle; keys must be unique."""
+    return docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.transform(word_shingles(F.col(text), k), lambda s: F.xxhash64(s)))).alias("items"))
+
+
 def set_classes(sets: DataFrame) -> DataFrame:
     """rep (smallest key), items, n, members: a row for each distinct set."""
     return sets.groupBy("items").agg(F.min("key").alias("rep"), F.count("*").alias("members")).withColumn("n", F.size("items"))
 
 
+def class_members(sets: DataFrame, reps: DataFrame | None = None) -> DataFrame:
+    """key, rep, members: the class of each set and its number of sets."""
+    return sets.join(set_classes(sets) if reps is None else reps, "items").select("key", "rep", "members")
+
+
+def _known(reps: DataFrame) -> DataFrame:
+    """rep, n, item, df of all items of more than one class; an item of one set makes no pair."""
+    items = reps.select("rep", "n", F.explode("items").alias("item"))
+    return items.join(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "item")
+
+
+def _prefix(known: DataFrame, threshold: float) -> DataFrame:
+    """rep, n, item: the first n - ceil(threshold n) + 1 items of each class, rarest first."""
+    ranked = known.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    # items of one set come first in the order; they use up that much of the prefix
+    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("ranked"))
+    return ranked.where(length > 0).select("rep", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("x")).select("rep", "n", F.col("x.item").alias("item"))
+
+
+def _measured(candidates: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b, n_a, n_b, shared, members_a, members_b of candidates (a, b)."""
+    one = reps.select(F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("n").alias("n_a"), F.col("members").alias("members_a"))
+    two = reps.select(F.col("rep").alias("b"), F.col("items").alias("ib"), F.col("n").alias("n_b"), F.col("members").alias("members_b"))
+    return candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ia", "ib")).alias("shared"), "members_a", "members_b")
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     """a < b, n_a, n_b, shared, similarity, members_a, members_b of all class pairs with Jaccard >= threshold.
 
     A pair at the threshold shares an item among the first n - ceil(threshold n) + 1 of either set, in any
     fixed order of items; rarest first, so that common items are hardly ever join keys. Nothing is lost.
     """
-    reps = cut(set_classes(sets).where("n > 0"))
-    items = reps.select("rep", "n", F.explode("items").alias("item"))
-    counted = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")  # an item of one set makes no pair
-    ranked = items.join(counted, "item").groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
-    # items of one set come first in the order; they use up that much of the prefix
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("ranked"))
-    prefix = ranked.where(length > 0).select("rep", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("x")).select("rep", "n", F.col("x.item").alias("item"))
+    return class_pairs(cut(set_classes(sets).where("n > 0")), threshold)
+
+
+def class_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """jaccard_pairs of distinct sets (rep, items, n > 0, members)."""
+    prefix = _prefix(_known(reps), threshold)
     left, right = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "item"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "item")
     long_enough = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
     candidates = left.join(right, "item").where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
-    one = reps.select(F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("n").alias("n_a"), F.col("members").alias("members_a"))
-    two = reps.select(F.col("rep").alias("b"), F.col("items").alias("ib"), F.col("n").alias("n_b"), F.col("members").alias("members_b"))
-    both = candidates.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("ia", "ib")))
     similarity = metrics.jaccard(F.col("n_a"), F.col("n_b"), F.col("shared"))
-    return both.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).select("a", "b", "n_a", "n_b", "shared", "similarity", "members_a", "members_b")
+    both = _measured(candidates, reps).withColumn("similarity", similarity)
+    return both.where(F.col("similarity") >= threshold).select("a", "b", "n_a", "n_b", "shared", "similarity", "members_a", "members_b")
+
+
+def overlap_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """a < b, n_a, n_b, shared, members_a, members_b of all pairs of distinct sets (rep, items, n > 0, members) with overlap >= threshold.
+
+    The smaller set shares at least ceil(threshold n) of its items, so one among its first n - ceil(threshold n) + 1,
+    rarest first; the larger may be of any size and hold that item anywhere, so all of its items are looked up.
+    """
+    known = _known(reps)
+    small, large = _prefix(known, threshold).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item"), known.select(F.col("rep").alias("y"), F.col("n").alias("ny"), "item")
+    held = small.join(large, "item").where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    found = _measured(held.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps)
+    return found.where(metrics.overlap(F.col("n_a"), F.col("n_b"), F.col("shared")) >= threshold)
+
+
+#: The least Jaccard similarity of a pair at the threshold of a metric; overlap has none.
+LEAST_JACCARD = {"jaccard": lambda t: t, "cosine": lambda t: t * t, "dice": lambda t: t / (2 - t)}
+
+
+def metric_pairs(reps: DataFrame, thresholds: dict[str, float]) -> dict[str, DataFrame]:
+    """Of each metric all pairs of distinct sets (rep, items, n > 0, members) (a, b, n_a, n_b, shared, members_a, members_b) at its threshold or over it.
+
+    One join at the least Jaccard similarity serves jaccard, cosine and dice.
+    """
+    columns = "a", "b", "n_a", "n_b", "shared", "members_a", "members_b"
+    out, bounds = {}, [LEAST_JACCARD[m](t) for m, t in thresholds.items() if m in LEAST_JACCARD]
+    if bounds:
+        near = cut(class_pairs(reps, min(bounds) - 1e-9).select(*columns))
+    for m, t in thresholds.items():
+        value = metrics.METRICS[m](F.col("n_a"), F.col("n_b"), F.col("shared"))
+        out[m] = near.where(value >= t) if m in LEAST_JACCARD else overlap_pairs(reps, t).select(*columns)
+    return out
 
 
 def lsh_pairs(exploded: DataFrame, key: str = "doc_id", item: str = "shingle", n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:

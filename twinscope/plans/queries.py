@@ -26,6 +26,10 @@ def shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded_shingles(table(spark, sf_dir, "documents"))
 
 
+def document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.text_sets(table(spark, sf_dir, "documents"))
+
+
 def document_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.4) -> DataFrame:
     return pairs.jaccard_pairs(pairs.hashed_sets(shingled(spark, sf_dir)), threshold)
 
@@ -40,9 +44,7 @@ def jaccard_pairs(spark, sf_dir):
 
 
 def shingle_classes(spark, sf_dir):
-    sets = pairs.hashed_sets(shingled(spark, sf_dir))
-    reps = pairs.set_classes(sets).select("items", "rep", "members")
-    return sets.join(reps, "items").select(F.col("key").alias("doc_id"), "rep", "members")
+    return pairs.class_members(pairs.hashed_sets(shingled(spark, sf_dir))).withColumnRenamed("key", "doc_id")
 
 
 def pair_metrics(spark, sf_dir):
@@ -94,12 +96,7 @@ def largest_family(spark, sf_dir):
 
 
 def metric_families(spark, sf_dir):
-    found = document_pairs(spark, sf_dir)
-    named = [families.families_by_metric(found, m, t).select(F.lit(m).alias("metric"), "node", "family") for m, t in evaluate.DEFAULT_THRESHOLDS.items()]
-    out = named[0]
-    for x in named[1:]:
-        out = out.unionByName(x)
-    return out
+    return families.families_by_metric(document_sets(spark, sf_dir), evaluate.DEFAULT_THRESHOLDS)
 
 
 def tag_units(spark: SparkSession, sf_dir: str) -> DataFrame:
