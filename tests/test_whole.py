@@ -59,3 +59,15 @@ def test_metric_families(spark, tables):
     got = {tuple(r) for r in QUERIES["metric_families"](spark, folder).select("metric", "node", "family").collect()}
     for m, t in DEFAULT_THRESHOLDS.items():
         assert {x[1:] for x in got if x[0] == m} == families(sets, lambda a, b, m=m, t=t: similarity(m, a, b) >= t), m
+
+
+def test_threshold_sweep(spark, tables):
+    folder, rows = tables
+    sets = {r[0]: s for r in rows if (s := shingles(r[1]))}
+    lang = {r[0]: r[2] for r in rows}
+    scored = [(similarity("jaccard", sets[a], sets[b]), lang[a] == lang[b]) for a, b in itertools.combinations(sets, 2)]
+    assert any(0.2 <= s < 0.4 for s, _ in scored)
+    got = {r.threshold: (r.kept, r.positives, r.negatives) for r in QUERIES["threshold_sweep"](spark, folder).collect()}
+    for t in range(20, 99, 2):
+        at = [same for s, same in scored if int(round(s * 100, 6)) >= t]
+        assert got[t] == (len(at), sum(at), len(at) - sum(at)), t

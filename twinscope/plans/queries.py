@@ -11,6 +11,7 @@ from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
 from twinscope.functions.text import exploded_shingles, let, word_shingles
 from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
+from twinscope.operators.storage import cut
 from twinscope.operators.verdicts import characterise
 from twinscope.plans.examples import CODE
 from twinscope.sources import corpus
@@ -218,9 +219,18 @@ def eval_recall_fp(spark, sf_dir):
 
 
 def threshold_sweep(spark, sf_dir):
-    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    found = document_pairs(spark, sf_dir).join(lang.select(F.col("doc_id").alias("a"), F.col("lang").alias("la")), "a").join(lang.select(F.col("doc_id").alias("b"), F.col("lang").alias("lb")), "b")
-    swept = evaluate.sweep(found.select("similarity", F.col("la").eqNullSafe(F.col("lb")).alias("is_positive")))
+    """Pairs of documents, copies included, that reach each threshold, and how many of them are of one language."""
+    sets = document_sets(spark, sf_dir)
+    reps = cut(pairs.set_classes(sets).where("n > 0"))
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang")
+    # copies are counted, never paired: a class is its number of members of each language
+    tally = cut(pairs.class_members(sets, reps).join(lang, "key").groupBy("rep", "lang").agg(F.count("*").alias("m")).withColumn("lang", F.struct("lang")))
+    one, two = tally.select(F.col("rep").alias("a"), "lang", F.col("m").alias("ma")), tally.select(F.col("rep").alias("b"), "lang", F.col("m").alias("mb"))
+    found = pairs.class_pairs(reps, 0.2).select("a", "b", "similarity", (F.col("members_a") * F.col("members_b")).alias("pairs"))
+    same = found.join(one, "a").join(two, ["b", "lang"]).groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("same"))
+    between = found.join(same, ["a", "b"], "left").select("similarity", "pairs", F.coalesce("same", F.lit(0)).alias("positives"))
+    inside = tally.groupBy("rep").agg(F.sum("m").alias("m"), F.sum(F.expr("m * (m - 1) div 2")).alias("positives")).where("m > 1")
+    swept = evaluate.sweep(between.unionByName(inside.select(F.lit(1.0).alias("similarity"), F.expr("m * (m - 1) div 2").alias("pairs"), "positives")))
     return swept.select([F.col(c).cast("long").alias(c) for c in swept.columns])
 
 
