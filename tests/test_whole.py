@@ -71,3 +71,13 @@ def test_threshold_sweep(spark, tables):
     for t in range(20, 99, 2):
         at = [same for s, same in scored if int(round(s * 100, 6)) >= t]
         assert got[t] == (len(at), sum(at), len(at) - sum(at)), t
+
+
+def test_one_signature(spark, tmp_path):
+    words = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(words), " ".join(words[:9000] + ["other"] + words[9001:])] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    signatures = {r.signature for r in QUERIES["minhash_signature"](spark, str(tmp_path)).collect()}
+    assert len(signatures) == 1  # the texts differ, their signatures don't
+    assert [(r.a, r.b) for r in QUERIES["lsh_candidates"](spark, str(tmp_path)).collect()] == [(0, 1)]
+    assert [(r.a, r.b) for r in QUERIES["twin_pairs"](spark, str(tmp_path)).collect()] == [(0, 1)]

@@ -109,17 +109,19 @@ def metric_pairs(reps: DataFrame, thresholds: dict[str, float]) -> dict[str, Dat
 
 
 def lsh_pairs(exploded: DataFrame, key: str = "doc_id", item: str = "shingle", n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:
-    """a < b: representatives of equal signatures that share a band."""
-    signed = sketches.signatures(exploded, key, item, hashes)
-    reps = signed.groupBy("signature").agg(F.min(key).alias("rep"))
-    keyed = reps.select("rep", F.explode(sketches.bands(F.col("signature"), n_bands, hashes)).alias("band"))
+    """a < b: representatives of equal sets that share a band; different sets of one signature are a pair too."""
+    reps = set_classes(hashed_sets(exploded, key, item)).select(F.col("rep").alias(key))
+    signed = sketches.signatures(exploded.join(reps, key, "left_semi"), key, item, hashes)
+    keyed = signed.select(F.col(key).alias("rep"), F.explode(sketches.bands(F.col("signature"), n_bands, hashes)).alias("band"))
     left, right = keyed.select(F.col("rep").alias("a"), "band"), keyed.select(F.col("rep").alias("b"), "band")
     return left.join(right, "band").where("a < b").select("a", "b").distinct()
 
 
 def twin_pairs(exploded: DataFrame, threshold: float = 0.5, key: str = "doc_id", item: str = "shingle") -> DataFrame:
-    """LSH candidates verified by exact Jaccard, most similar first."""
-    sets = hashed_sets(exploded, key, item)
-    one, two = sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), sets.select(F.col("key").alias("b"), F.col("items").alias("ib"))
-    found = lsh_pairs(exploded, key, item).join(one, "a").join(two, "b").withColumn("similarity", metrics.of_arrays("jaccard", F.col("ia"), F.col("ib")))
-    return found.where(F.col("similarity") >= threshold).select("a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b")
+    """a, b, similarity, members_a, members_b: LSH candidates verified by exact Jaccard, most similar first.
+
+    Pairs are between representatives of equal sets; class_members has the members of each.
+    """
+    reps = set_classes(hashed_sets(exploded, key, item))
+    found = _measured(lsh_pairs(exploded, key, item), reps).withColumn("similarity", metrics.jaccard(F.col("n_a"), F.col("n_b"), F.col("shared")))
+    return found.where(F.col("similarity") >= threshold).select("a", "b", "similarity", "members_a", "members_b").orderBy(F.desc("similarity"), "a", "b")

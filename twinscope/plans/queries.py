@@ -76,6 +76,7 @@ def lsh_candidates(spark, sf_dir):
 
 
 def twin_pairs(spark, sf_dir):
+    """Pairs of representatives of equal sets; shingle_classes has the members of each."""
     found = pairs.twin_pairs(shingled(spark, sf_dir))
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
