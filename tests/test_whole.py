@@ -6,6 +6,7 @@ import random
 import pytest
 
 from twinscope.operators.evaluate import DEFAULT_THRESHOLDS
+from twinscope.operators.pairs import pairs_within
 from twinscope.plans.queries import QUERIES
 
 VALUE = {
@@ -43,6 +44,7 @@ def tables(spark, tmp_path_factory):
     for g in range(6):
         base = [f"w{g}x{i}" for i in range(40)]
         texts += [" ".join(base), " ".join(base[:10]), " ".join(base[5:25]), " ".join(base + [f"v{g}x{i}" for i in range(60)])]
+        texts.append(" ".join(base[10:] + [f"q{g}x{i}" for i in range(10)]))  # near the base, far from its other twins
         for k in (3, 8, 14, 19, 22, 24, 27):
             texts.append(" ".join(base[:-k] + [f"r{rnd.random()}" for _ in range(k)]))
         texts += [" ".join(base[:-8] + [f"s{g}"] * 8)] * (g + 1)
@@ -81,3 +83,23 @@ def test_one_signature(spark, tmp_path):
     assert len(signatures) == 1  # the texts differ, their signatures don't
     assert [(r.a, r.b) for r in QUERIES["lsh_candidates"](spark, str(tmp_path)).collect()] == [(0, 1)]
     assert [(r.a, r.b) for r in QUERIES["twin_pairs"](spark, str(tmp_path)).collect()] == [(0, 1)]
+
+
+def test_metric_floor(spark, tables):
+    folder, rows = tables
+    sets = {r[0]: s for r in rows if (s := shingles(r[1]))}
+    members = {}
+    for k, f in families(sets, lambda a, b: similarity("jaccard", a, b) >= 0.4):
+        members.setdefault(f, []).append(sets[k])
+    floor = {(f, m): min(similarity(m, a, b) for a, b in itertools.combinations(x, 2)) for f, x in members.items() for m in DEFAULT_THRESHOLDS}
+    got = {(r.family, r.metric): (r.floor, r.margin) for r in QUERIES["metric_floor"](spark, folder).collect()}
+    assert got == {k: (pytest.approx(v, abs=1e-6), pytest.approx(v - DEFAULT_THRESHOLDS[k[1]], abs=1e-6)) for k, v in floor.items()}
+    assert min(margin for (_, m), (_, margin) in got.items() if m == "jaccard") < 0
+    best = {f: max(floor[f, m] - t for m, t in DEFAULT_THRESHOLDS.items()) for f in members}
+    assert {r.family: r.margin for r in QUERIES["metric_rescue"](spark, folder).collect()} == {f: pytest.approx(v, abs=1e-6) for f, v in best.items() if v >= 0}
+
+
+def test_pairs_within_blocks(spark):
+    placed = spark.createDataFrame([(g, g * 100 + i, [g * 100 + i]) for g, n in ((0, 1), (1, 2), (2, 23)) for i in range(n)], "family int, rep long, items array<long>")
+    got = sorted((r.family, *sorted((r.ia[0], r.ib[0]))) for r in pairs_within(placed, "family", 3).collect())
+    assert got == sorted((g, g * 100 + i, g * 100 + j) for g, n in ((1, 2), (2, 23)) for i, j in itertools.combinations(range(n), 2))

@@ -108,6 +108,19 @@ def metric_pairs(reps: DataFrame, thresholds: dict[str, float]) -> dict[str, Dat
     return out
 
 
+def pairs_within(placed: DataFrame, group: str, block: int = 64) -> DataFrame:
+    """group, ia, ib: the items of all pairs of sets of each group, from (group, rep, items).
+
+    The members of a group are dealt into blocks of about `block`, and each two blocks meet by themselves, so no task
+    holds a whole group.
+    """
+    sizes = placed.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = cut(placed.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
+    left = dealt.select(group, F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select(group, F.col("rep").alias("b"), F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    return left.join(right, [group, "i", "j"]).where("i < j OR a < b").select(group, "ia", "ib")
+
+
 def lsh_pairs(exploded: DataFrame, key: str = "doc_id", item: str = "shingle", n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:
     """a < b: representatives of equal sets that share a band; different sets of one signature are a pair too."""
     reps = set_classes(hashed_sets(exploded, key, item)).select(F.col("rep").alias(key))

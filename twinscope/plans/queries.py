@@ -236,18 +236,22 @@ def threshold_sweep(spark, sf_dir):
 
 
 def floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = F.col("n_a"), F.col("n_b"), F.col("shared")
-    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), "lang")
-    found = document_pairs(spark, sf_dir).select("a", *[f(*sizes).alias(m) for m, f in metrics.METRICS.items()]).join(lang, "a")
-    return evaluate.metric_floors(found, "lang")
+    """metric_floors of all pairs of distinct sets of each twin family, however far apart; a family of copies only has its own set."""
+    reps = cut(pairs.set_classes(document_sets(spark, sf_dir)).where("n > 0"))
+    family = graph.components(pairs.class_pairs(reps, families.THRESHOLD))
+    placed = reps.join(family, reps.rep == family.node).select("family", "rep", "items")
+    sizes = F.size("ia"), F.size("ib"), F.size(F.array_intersect("ia", "ib"))
+    copies = reps.where("members > 1").join(family, reps.rep == family.node, "left_anti").select(F.col("rep").alias("family"), F.col("items").alias("ia"), F.col("items").alias("ib"))
+    both = pairs.pairs_within(placed, "family").unionByName(copies)
+    return evaluate.metric_floors(both.select("family", *[f(*sizes).alias(m) for m, f in metrics.METRICS.items()]), "family")
 
 
 def metric_floor(spark, sf_dir):
-    return floors(spark, sf_dir).select("lang", "metric", F.round("floor", 6).alias("floor"), F.round("margin", 6).alias("margin"))
+    return floors(spark, sf_dir).select("family", "metric", F.round("floor", 6).alias("floor"), F.round("margin", 6).alias("margin"))
 
 
 def metric_rescue(spark, sf_dir):
-    return evaluate.rescued(floors(spark, sf_dir), "lang").select("lang", "metric", F.round("margin", 6).alias("margin"))
+    return evaluate.rescued(floors(spark, sf_dir), "family").select("family", "metric", F.round("margin", 6).alias("margin"))
 
 
 def verdicts_code(spark, sf_dir):
