@@ -7,9 +7,9 @@ the output of the merges. Whether they can is decided by undoing merges at their
 Each position is given up at most once, so the work is linear in the piece. The result is the one of
 the rank-ordered merges, because a sequence of tokens whose neighbours are all compatible is unique.
 
-`Codec.encode_bytes` splits text as the public pattern does. Most texts hold words that single blanks
-or line breaks part; there a word with its blank is always a run of whole matches, so words are looked
-up in a bounded memo; other texts take the pattern as it is. Both ways give the same ids.
+A batch's texts are cut into spans (see splitting), and only spans that a bounded memo lacks are encoded.
+The longest tokens of many pieces come from one scan of the automaton; a piece all of whose neighbours are
+compatible is done, and only the others are stepped back through one by one.
 
 Defined results: null and empty texts give no ids; texts of any length work, a run of one character
 too; rows may repeat; other columns of the input are ignored.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope.llm.common import table
+from twinscope.llm.splitting import Memo, encode_column
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
-#: Words that one worker's memo holds before it starts anew.
-MEMO_WORDS = 600_000
-#: White space other than the blank and the line break, as the public pattern's \s has it.
-OTHER_SPACE = regex.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-
+#: Pairs of tokens whose compatibility one worker remembers before it starts anew.
+MEMO_PAIRS = 300_000
+#: Pieces whose longest tokens are taken in one scan, and ids that are decoded at once.
+SCANNED, DECODED = 4096, 1 << 16
+#: Parts pieces in a scan; no token has it, since bytes end at 255.
+APART = "\u0100"
 
 class Vocabulary:
     """Tokens, their automaton and how merges build them, for ranks given as {bytes: rank}."""
@@ -47,6 +50,8 @@ class Vocabulary:
         self.name_of = {i: b.decode("latin-1") for b, i in ranks.items()}
         self.id_of = {s: i for i, s in self.name_of.items()}
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
+        self.lengths = np.zeros(max(self.length) + 1, np.int64)
+        self.lengths[list(self.length)] = list(self.length.values())
         self.automaton = ahocorasick.Automaton()
         for i, s in self.name_of.items():
             self.automaton.add_word(s, i)
@@ -54,7 +59,7 @@ class Vocabulary:
         self.longest_name = max(map(len, self.id_of))
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         self.shorter = self._shorter()
         for i in sorted(self.name_of):
             self.parts[i] = self._split(i)
@@ -99,10 +104,10 @@ class Vocabulary:
                 bound, right = right + 1, right_parts[0]
 
     def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         known = self.memo.get(key)
         if known is None:
-            if len(self.memo) > 2_000_000:
+            if len(self.memo) >= MEMO_PAIRS:
                 self.memo.clear()
             known = self.memo[key] = self._fits(left, right)
         return known
@@ -121,17 +126,7 @@ class Vocabulary:
         whole = self.id_of.get(text)
         if whole is not None:
             return [whole]
-        fits, length = self.fits, self.length
-        greedy = [i for _, i in self.automaton.iter_long(text)]
-        if sum(map(length.__getitem__, greedy)) == len(text):
-            before = greedy[0]
-            for i in greedy[1:]:
-                if not fits(before, i):
-                    break
-                before = i
-            else:
-                return greedy
-        shorter = self.shorter
+        fits, length, shorter = self.fits, self.length, self.shorter
         open_end = bytearray(b"\1") * (len(text) + 1)
         tokens: list[int] = []
         at, token, end_of_text = 0, None, len(text)
@@ -156,36 +151,22 @@ class Vocabulary:
             at -= length[token]
         return tokens
 
+    def encode_many(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece, little-endian unsigned 32-bit.
 
-class Memo:
-    """A bounded memo: when the younger half is full, it becomes the older half and that is forgotten."""
-
-    def __init__(self, make, most: int = MEMO_WORDS):
-        self.make, self.half = make, most // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def __call__(self, key: str) -> bytes:
-        known = self.young.get(key)
-        if known is None:
-            known = self.old.get(key)
-            if known is None:
-                known = self.make(key)
-            if len(key) <= 32:
-                if len(self.young) >= self.half:
-                    self.old, self.young = self.young, {}
-                self.young[key] = known
-        return known
-
-
-def is_plain(text: str) -> bool:
-    """Whether single blanks or line breaks, and no other white space, part the words of a nonempty text."""
-    return not ("\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text))
-
-
-def plain_words(text: str) -> list[str]:
-    """A plain text's words, each after the first of a line with its blank, and its line breaks."""
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        One scan takes the longest tokens of all pieces; where all neighbours of a piece fit, these are its ids.
+        """
+        ends, ids = np.fromiter(itertools.chain.from_iterable(self.automaton.iter_long(APART.join(pieces))), np.int64).reshape(-1, 2).T
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        home = np.searchsorted(np.cumsum(size + 1) - 1, ends, side="right")
+        covered = np.bincount(home, self.lengths[ids], len(pieces))[: len(pieces)] == size
+        inner = np.flatnonzero(home[1:] == home[:-1])
+        pairs, which = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
+        fit = np.array([self.fits(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], bool)
+        covered[home[inner[~fit[which]]]] = False
+        cut = 4 * np.searchsorted(home, np.arange(len(pieces) + 1))
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] if done else np.array(self.encode(p), "<u4").tobytes() for p, done, a, b in zip(pieces, covered.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 class Codec:
@@ -194,19 +175,39 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.piece = Memo(lambda p: np.array(self.vocabulary.encode(p.encode().decode("latin-1")), "<u4").tobytes())
-        self.word = Memo(lambda w: b"".join(map(self.piece, self.pattern.findall(w))))
+        self.spans = Memo(self.encode_spans)
+
+    def encode_spans(self, spans: list[bytes]) -> list[bytes]:
+        """The ids of each span; letters alone, or behind a blank, are one piece, others go through the pattern."""
+        pieces, count = [], []
+        for span in spans:
+            text = span.decode()
+            if (text[1:] if text[0] == " " else text).isalpha():
+                pieces.append(span.decode("latin-1"))
+                count.append(1)
+            else:
+                found = self.pattern.findall(text)
+                pieces += [p.encode().decode("latin-1") for p in found]
+                count.append(len(found))
+        ids = [x for lo in range(0, len(pieces), SCANNED) for x in self.vocabulary.encode_many(pieces[lo : lo + SCANNED])]
+        rest = iter(ids)
+        return [next(rest) if n == 1 else b"".join(itertools.islice(rest, n)) for n in count]
+
+    def encode_rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of rows: (first row, end row, their ids, where each row's begin)."""
+        return encode_column(column, self.spans)
 
     def encode_bytes(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if is_plain(text):
-            return b"".join(map(self.word, plain_words(text)))
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        return b"".join(ids.tobytes() for _, _, ids, _ in self.encode_rows(pa.array([text], pa.string())))
 
-    def decode_bytes(self, ids: bytes) -> bytes:
+    def decoded(self, ids: np.ndarray) -> Iterator[bytes]:
+        """The bytes of ids, in runs of DECODED ids."""
         get = self.vocabulary.bytes_of.__getitem__
-        return b"".join(map(get, np.frombuffer(ids, "<u4").tolist()))
+        for lo in range(0, len(ids), DECODED):
+            yield b"".join(map(get, ids[lo : lo + DECODED].tolist()))
+
+    def decode_bytes(self, ids: bytes) -> bytes:
+        return b"".join(self.decoded(np.frombuffer(ids, "<u4")))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -228,11 +229,10 @@ def encode_texts(docs: DataFrame, text: str = "text", path: str | None = None, p
     path, pattern = path or public_tokenizers.path(RANK_FILE), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = codec(path, pattern).encode_bytes
+        c = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "ids": pa.array([encode(t or "") for t in part.column("t").to_pylist()], pa.binary())})
+            for lo, hi, ids, cut in c.encode_rows(batch.column("t")):
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -244,14 +244,15 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for lo in range(0, batch.num_rows, 256):
-                for t in batch.column("t").slice(lo, 256).to_pylist():
-                    ids = c.encode_bytes(t or "")
-                    counts.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+            for lo, hi, ids, cut in c.encode_rows(batch.column("t")):
+                ids_sha, text_sha = [], []
+                for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    ids_sha.append(hashlib.sha256(ids[a:b].tobytes()).hexdigest())
+                    text = hashlib.sha256()
+                    for data in c.decoded(ids[a:b]):
+                        text.update(data)
+                    text_sha.append(text.hexdigest())
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_tokens": pa.array(np.diff(cut), pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, RESULT)
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -34,16 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinscope.llm.bpe import is_plain, plain_words
-from twinscope.llm.common import materialise, open_fs, shuffle_partitions, table, work_dir
+from twinscope.llm.common import byte_chunks, materialise, open_fs, shuffle_partitions, table, work_dir
+from twinscope.llm.splitting import Memo, encode_column
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
-#: Words that one worker's memo holds.
-MEMO_WORDS = 1_000_000
+#: Bytes of text that are encoded at once, and spans that one worker's memo holds.
+PASS_BYTES, MEMO_SPANS = 2 << 20, 500_000
 #: A splitting at the public pattern without a blank put before the text.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-SIMPLE = re.compile(r"( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:|*$%&#]*)")
 BLOCK_IDS = 1 << 16
 MAGIC = b"TWPACK1\n"
 #: bits, documents, ids, blocks, where the footer starts, MAGIC again.
@@ -152,60 +150,52 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memo of words.
+    """The tokenizers library behind a bounded memo of spans (see splitting).
 
-    In a plain text (see bpe.is_plain) without the vocabulary's special strings, each word with its blank
-    is a run of whole pieces, so the library is asked for words it has not seen lately; for any other
-    text it is asked for the whole text.
+    Where the file's splitting and merging are the plain byte-level ones, the library is asked for the spans
+    that the memo lacks: its model for letters alone, which are one piece, itself for others. A text that
+    holds one of the file's added strings goes to the library whole, and so does any text for other files.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.model = self.library.model
-        # only where the file's splitting and merging are the plain ones
         kind = json.loads(self.library.to_str())
         self.split = kind["normalizer"] is None and kind["pre_tokenizer"] == BYTE_LEVEL and kind["model"]["type"] == "BPE"
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of one match of the splitting pattern, from the library's model."""
-        known = self.young.get(piece) or self.old.get(piece)
-        if known is None:
-            known = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_NAMES))]).tobytes()
-        return known
-
-    def word(self, word: str) -> bytes:
-        """Letters and the signs after them are two pieces; any other word goes to the library as it is."""
-        simple = self.split and SIMPLE.fullmatch(word)
-        if not simple:
-            return self.whole(word)
-        head, tail = simple.groups()
-        if not tail:
-            return self.piece(word)
-        ids = self.young[head] = self.piece(head)
-        return ids + self.piece(tail)
-
-    def lookup(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of each word; the library is asked for those that the memo lacks."""
-        found = {w: self.young.get(w) or self.old.get(w) for w in words}
-        if len(self.young) + len(found) > MEMO_WORDS // 2:
-            self.old, self.young = self.young, {}
-        for w in [w for w, ids in found.items() if ids is None]:
-            found[w] = self.word(w)
-        self.young.update((w, ids) for w, ids in found.items() if len(w) <= 32)
-        return found
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split = [plain_words(t) if t and is_plain(t) and not any(s in t for s in self.special) else None for t in texts]
-        ids_of = self.lookup(set().union(*(row for row in split if row))).__getitem__
-        return [b"".join(map(ids_of, row)) if row else self.whole(t) if t else b"" for t, row in zip(texts, split, strict=True)]
+        self.memo = Memo(self.encode_spans, MEMO_SPANS)
+
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def encode_spans(self, spans: list[bytes]) -> list[bytes]:
+        tokenize, out = self.model.tokenize, []
+        for span in spans:
+            text = span.decode()
+            if (text[1:] if text[0] == " " else text).isalpha():
+                out.append(array("I", [t.id for t in tokenize(span.decode("latin-1").translate(BYTE_NAMES))]).tobytes())
+            else:
+                out.append(self.whole(span))
+        return out
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of rows: (first row, end row, their ids, where each row's begin). Nulls count as empty."""
+        for lo, hi, raw, offs in byte_chunks(column, PASS_BYTES):
+            data = raw.tobytes()
+            if self.split and not any(s in data for s in self.special):
+                for _, _, ids, cut in encode_column(column.slice(lo, hi - lo), self.memo, PASS_BYTES):
+                    yield lo, hi, ids, cut
+            else:
+                for k in range(hi - lo):
+                    text = data[offs[k] : offs[k + 1]]
+                    if self.split and not any(s in text for s in self.special):
+                        for _, _, ids, cut in encode_column(column.slice(lo + k, 1), self.memo, PASS_BYTES):
+                            yield lo + k, lo + k + 1, ids, cut
+                    else:
+                        ids = np.frombuffer(self.whole(text), "<u4")
+                        yield lo + k, lo + k + 1, ids, np.array([0, len(ids)])
 
 
 @functools.lru_cache(maxsize=2)
@@ -225,24 +215,24 @@ def write_shards(docs: DataFrame, text: str = "text", path: str | None = None, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, uri = TaskContext.get().partitionId(), f"{folder}/ids-{uuid.uuid4().hex}.twpack"
         writer = stream = None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             enc = encoder(path)
-            for lo in range(0, batch.num_rows, 1024):
-                rows = batch.slice(lo, 1024)
-                if writer is None:
-                    fs, local = open_fs(uri)
-                    stream = fs.open_output_stream(local)
-                    writer = ShardWriter(stream, enc.bits)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), enc.batch([t or "" for t in rows.column("t").to_pylist()]), strict=True):
-                    writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
+            if writer is None:
+                fs, local = open_fs(uri)
+                stream = fs.open_output_stream(local)
+                writer = ShardWriter(stream, enc.bits)
+            doc_ids = batch.column("doc_id").to_pylist()
+            for lo, hi, ids, cut in enc.rows(batch.column("t")):
+                for k in range(lo, hi):
+                    writer.add(doc_ids[k], np.r_[ids[cut[k - lo] : cut[k - lo + 1]], end])
         if writer is not None:
             writer.close()
             stream.close()
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.starts[-1]], pa.int64())], names=["part", "path", "n_docs", "n_ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("t"))
+    rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     shards = sorted(materialise(rows.mapInArrow(run, MANIFEST), "manifest").collect())  # a row for each shard
     start, said = 0, []
     for s in shards:
