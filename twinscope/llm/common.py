@@ -12,12 +12,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that one numpy pass handles; a longer text is a pass of its own, or several (see lexical.segments).
+CHUNK_BYTES = 1 << 18
+#: Rows that Spark hands to Python at once, unless the session says otherwise.
+ARROW_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` below `sf_dir`, read by Spark so that any store works."""
+    """The table `name` below `sf_dir`, read by Spark so that any store works.
+
+    A session with Spark's default of 10 000 rows a batch is set to ARROW_ROWS, since a batch of whole texts is
+    held several times over, by the executor and by its Python worker.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -55,9 +63,20 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = work_dir(spark, what) + "/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = work_dir(spark, what)
+    df.write.parquet(path + "/table")
+    out = spark.read.schema(df.schema).parquet(path + "/table")
+    out._twinscope_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables; for those that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_twinscope_path", None)
+        if path:
+            fs, local = open_fs(path)
+            fs.delete_dir(local)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

@@ -2,7 +2,8 @@
 
 Each language learns the byte n-grams (GRAM bytes of lower-case words with their borders) that are
 typical of it: from about MOST_DOCS documents of each language, those seen LEAST_COUNT times whose rate
-is at least SHARE of the highest rate of any language, the MOST_GRAMS best. One Bloom filter holds all
+is at least SHARE of the highest rate of any language, the commonest up to MOST_GRAMS (of equally common ones
+all or none). Every language of the labelled rows is learned. One Bloom filter holds all
 languages: a slot is a bit mask with a bit for each, so HASHES look-ups and an AND return all languages
 that contain an n-gram. A text's popcount of each language is corrected for that language's chance of a
 false positive; the largest corrected count decides, and its share of all is the score.
@@ -18,19 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import byte_chunks, crc_mod, held_out, splitmix, table
-from twinscope.llm.lexical import LETTER, LOWER, UPPER, lower
+from twinscope.llm.common import byte_chunks, crc_mod, held_out, materialise, splitmix, table
+from twinscope.llm.lexical import LETTER, LOWER, UPPER, lower, segments
 
 GRAM = 4
 MOST_DOCS = 1500
 MOST_GRAMS = 20_000
 LEAST_COUNT = 3
 SHARE = 0.3
-#: The commonest languages that are learned, and how many rows of n-grams that bounds on the driver.
-MOST_LANGUAGES = 200
+#: Bits beside an n-gram for the number of its language.
+LANGUAGE_BITS = 24
 SLOTS_PER_GRAM, HASHES = 16, 3
 UNKNOWN = "und"
 
@@ -82,50 +83,56 @@ class Filters:
         return out
 
     def counts(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Of each row and language, the n-grams that it contains, corrected for false positives."""
-        n = len(offs) - 1
-        values, home = grams(raw, offs)
-        total = np.bincount(home, minlength=n)[:n, None].astype(float)
-        masks = self.masks(values)
-        found = np.stack([np.bincount(home, (masks[:, k // 8] >> (k % 8)) & 1, n) for k in range(len(self.languages))], axis=1)
+        """Of each row and language, the n-grams that it contains, corrected for false positives; a long row part by part."""
+        found, total = 0, 0
+        for part, cut in segments(raw, offs):
+            n = len(cut) - 1
+            values, home = grams(part, cut)
+            total = total + np.bincount(home, minlength=n)[:n, None].astype(float)
+            masks = self.masks(values)
+            found = found + np.stack([np.bincount(home, (masks[:, k // 8] >> (k % 8)) & 1, n) for k in range(len(self.languages))], axis=1)
         return np.clip((found - total * self.false_rate) / (1 - self.false_rate), 0, None)
 
 
 def learn(docs: DataFrame, most: int = MOST_DOCS) -> Filters | None:
     """Filters from the documents that have a language and aren't held out; None without any."""
+    spark = docs.sparkSession
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod(F.col("doc_id"), 4), F.lit(0)) != 2))
-    rows = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
     if not rows:
         return None
     languages = [r.lang for r in rows]
-    share = F.create_map(*[F.lit(x) for r in rows for x in (r.lang, min(1.0, most / r["count"]))])
+    numbered = spark.createDataFrame([(r.lang, k, min(1.0, most / r["count"])) for k, r in enumerate(rows)], "l string, number int, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
-    sample = able.where(F.col("lang").isin(languages)).where(draw < F.element_at(share, F.col("lang"))).select(F.col("lang").alias("l"), F.col("text").cast("string").alias("text"))
-    number = {x: k for k, x in enumerate(languages)}
+    named = able.select(F.col("lang").alias("l"), F.col("text").cast("string").alias("text"), draw.alias("draw"))
+    sample = named.join(F.broadcast(numbered), "l").where("draw < share").select("number", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.array([number[x] for x in batch.column("l").to_pylist()], np.int64)
+            own = batch.column("number").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, _, raw, offs in byte_chunks(batch.column("text")):
-                values, home = grams(raw, offs)
-                key, n = np.unique(values.astype(np.int64) << 8 | own[lo + home], return_counts=True)
-                yield pa.record_batch({"language": (key & 255).astype(np.int32), "gram": key >> 8, "n": n.astype(np.int64)})
+                for part, cut in segments(raw, offs):
+                    values, home = grams(part, cut)
+                    key, n = np.unique(values.astype(np.int64) << LANGUAGE_BITS | own[lo + home], return_counts=True)
+                    yield pa.record_batch({"language": (key & (1 << LANGUAGE_BITS) - 1).astype(np.int32), "gram": key >> LANGUAGE_BITS, "n": n.astype(np.int64)})
 
-    counted = sample.mapInArrow(run, "language int, gram long, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
+    counted = materialise(sample.mapInArrow(run, "language int, gram long, n long").groupBy("gram", "language").agg(F.sum("n").alias("n")), "grams")
+    totals = counted.groupBy("language").agg(F.sum("n").cast("double").alias("total"))
     # by n-gram there is at most one row for each language
-    by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("language", "n")).alias("seen"))
-    totals = {r.language: r.n for r in counted.groupBy("language").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return None
-    total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
-    rated = by_gram.withColumn("seen", F.transform("seen", lambda s: F.struct(s.language.alias("language"), s.n.alias("n"), (s.n / F.element_at(total, s.language)).alias("rate"))))
+    rated = counted.join(F.broadcast(totals), "language").groupBy("gram").agg(F.collect_list(F.struct("language", "n", (F.col("n") / F.col("total")).alias("rate"))).alias("seen"))
     best = F.array_max(F.transform("seen", lambda s: s.rate))
-    rated = rated.select("gram", F.explode(F.filter("seen", lambda s: (s.rate >= SHARE * best) & (s.n >= LEAST_COUNT))).alias("s")).select("gram", "s.*")
-    entries = [np.zeros(0, np.int64) for _ in languages]
-    rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("rate"), "gram"))
-    for r in rated.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).groupBy("language").agg(F.collect_list("gram").alias("grams")).collect():
-        entries[r.language] = np.array(r.grams, np.int64)
-    return Filters(languages, entries)
+    rated = rated.select("gram", F.explode(F.filter("seen", lambda s: (s.rate >= SHARE * best) & (s.n >= LEAST_COUNT))).alias("s")).select("gram", "s.language", "s.n")
+    rated = materialise(rated, "typical-grams")
+    # how many n-grams of each count: rows are few, so no language's n-grams have to be sorted in one place
+    least, held = [LEAST_COUNT] * len(languages), [0] * len(languages)
+    for r in sorted(rated.groupBy("language", "n").count().collect(), key=lambda r: (r.language, -r.n)):
+        held[r.language] += r["count"]
+        if held[r.language] > MOST_GRAMS:
+            least[r.language] = max(least[r.language], r.n + 1)
+    taken = spark.createDataFrame(list(enumerate(least)), "language int, least long")
+    got = rated.join(F.broadcast(taken), "language").where("n >= least").select("language", "gram").toArrow()
+    language, gram = (got.column(c).to_numpy() for c in ("language", "gram"))
+    return Filters(languages, [np.sort(gram[language == k]) for k in range(len(languages))])
 
 
 def has_letter(text: bytes) -> bool:

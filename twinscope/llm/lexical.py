@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ WIDE = np.arange(256) >= 128
 LETTER = UPPER | LOWER | WIDE
 SPACE = byte_set(b" \t\n\r\x0b\x0c")
 PUNCT = ~(LETTER | DIGIT | SPACE)
+WORDLY = UPPER | LOWER | DIGIT
 _LOWER_TABLE = np.arange(256, dtype=np.uint8)
 _LOWER_TABLE[65:91] += 32
 
@@ -54,6 +56,35 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def safe_cuts(raw: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """Cuts of one long text into passes of about `limit` bytes, each at a blank between ASCII letters or digits."""
+    cuts, at = [0], 0
+    while len(raw) - at > limit:
+        lo = at + limit // 2
+        while True:
+            hi = min(len(raw), lo + limit // 2)
+            part = raw[lo - 1 : hi + 1]
+            found = np.flatnonzero((part[1:-1] == 32) & WORDLY[part[:-2]] & WORDLY[part[2:]])
+            if len(found) or hi == len(raw):
+                break
+            lo = hi
+        if not len(found):
+            break
+        at = lo + int(found[-1])
+        cuts.append(at)
+    return np.array([*cuts, len(raw)])
+
+
+def segments(raw: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes and offsets of some rows as they are, or a single long row part by part."""
+    if len(offs) == 2 and len(raw) > CHUNK_BYTES:
+        cuts = safe_cuts(raw)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield raw[a:b], np.array([0, b - a])
+    else:
+        yield raw, offs
+
+
 def word_bounds(letters: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; a run ends where its row does."""
     if not len(letters):

@@ -18,9 +18,10 @@ A bucket of more than BLOCK texts is dealt into blocks. Its stars are made block
 blocks' centres, and so on until one is left; in 2 and 3 each two blocks that can hold a pair of different
 classes meet in a task of their own. So no task holds more than two blocks, and no pair is left out.
 
-Resemblance is estimated from BINS one-byte minima of one permutation; a pair is passed over when the
-estimate is three deviations below the threshold. A link inside a class can't change the classes, so
-leaving it out loses nothing.
+Resemblance is estimated from BINS one-byte minima of one permutation. A pair is passed over when one text
+has fewer than THRESHOLD of the other's k-mers, which loses nothing, or when the estimate is DEVIATIONS
+deviations below the threshold, which a pair at the threshold is with a probability of about 1e-8. A link
+inside a class can't change the classes, so leaving it out loses nothing.
 
 Equal word sequences are one node throughout, so copies never meet each other in buckets. Classes are
 connected components, found by label propagation with pointer jumping over the cluster.
@@ -43,15 +44,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import byte_chunks, materialise, splitmix, table
-from twinscope.llm.lexical import DIGIT, LETTER, lower, prefix_sums, span_hash, word_bounds
+from twinscope.llm.common import byte_chunks, discard, materialise, splitmix, table, text_bytes
+from twinscope.llm.lexical import DIGIT, LETTER, lower, prefix_sums, segments, span_hash, word_bounds
 
 WORDS = 5
 KEPT = 3
 SKETCHES = 16
 BINS = 128
 THRESHOLD = 0.8
-DEVIATIONS = 3.0
+DEVIATIONS = 6.0
 #: Members that stand for a bucket when its most central one is sought.
 SOUNDED = 32
 #: Texts of a bucket that meet in one task; two such blocks at most.
@@ -64,12 +65,21 @@ FACTORS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) +
 PLACES = np.cumprod(np.full(WORDS, 0xD6E8FEB86659FD93, np.uint64))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 TOKEN = LETTER | DIGIT
+#: Of a text: a byte for each bin, and how many k-mers it has.
+PROFILE = np.dtype([("bins", "u1", BINS), ("size", "<u4")])
+NODE = np.dtype("V16")
 
 
 def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each row's begin (one more than rows)."""
-    starts, ends = word_bounds(TOKEN[raw], offs)
-    return span_hash(prefix_sums(lower(raw)), starts, ends), np.searchsorted(starts, offs)
+    """Hashes of all words, and where each row's begin (one more than rows). A long row is read part by part."""
+    found = []
+    for part, cut in segments(raw, offs):
+        starts, ends = word_bounds(TOKEN[part], cut)
+        found.append(span_hash(prefix_sums(lower(part)), starts, ends))
+    if len(found) > 1:
+        words = np.concatenate(found)
+        return words, np.array([0, len(words)])
+    return found[0], np.searchsorted(starts, cut)
 
 
 def labelled_kmers(words: np.ndarray) -> np.ndarray:
@@ -103,14 +113,16 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
-def minima(kmers: np.ndarray) -> bytes:
-    """One byte for each bin of the hash range, from its smallest k-mer; 0 if it has none."""
-    out = np.zeros(BINS, np.uint8)
+def profile(kmers: np.ndarray) -> bytes:
+    """As PROFILE: one byte for each bin of the hash range, from its smallest k-mer (0 if it has none), and the number of k-mers."""
+    whole = np.zeros(1, PROFILE)
+    whole["size"] = len(kmers)
+    out = whole["bins"][0]
     s = np.sort(kmers)
     b = (s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, b[1:] != b[:-1]]
     out[b[first]] = 1 + (s[first] & np.uint64(0xFFFF)) % np.uint64(255)
-    return out.tobytes()
+    return whole.tobytes()
 
 
 SKETCHED = "doc_id long, text64 long, node binary, keys array<long>, bins binary"
@@ -132,7 +144,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     if len(own):
                         nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                         keys.append(sketches(kmers).view(np.int64))
-                        bins.append(minima(kmers))
+                        bins.append(profile(kmers))
                     else:
                         nodes.append(None if null[lo + k] else hashlib.blake2b(raw[offs[k] : offs[k + 1]].tobytes(), digest_size=16, person=b"wordless").digest())
                         keys.append(None)
@@ -151,18 +163,20 @@ def floor_of(bins: np.ndarray) -> np.ndarray:
     return THRESHOLD - DEVIATIONS * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(1, bins))
 
 
-def estimates(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated resemblance of one text with many, and whether it reaches its floor."""
-    used = ((one != 0) | (many != 0)).sum(1)
-    same = ((one == many) & (one != 0)).sum(1) / np.maximum(1, used)
-    return same, same >= floor_of(used)
+def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated resemblance of one text with many, by their profiles, and whether the pair has to be looked at."""
+    bins, own = many["bins"], one["bins"]
+    used = ((own != 0) | (bins != 0)).sum(1)
+    same = ((own == bins) & (own != 0)).sum(1) / np.maximum(1, used)
+    small, large = np.minimum(one["size"], many["size"]), np.maximum(one["size"], many["size"])
+    return same, (same >= floor_of(used)) & (small >= THRESHOLD * large - 1e-9)
 
 
-def star(bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def star(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Each text of a cell with the most central one."""
-    spots = np.unique(np.linspace(0, len(bins) - 1, SOUNDED).astype(int))
-    best = max(spots.tolist(), key=lambda k: (estimates(bins[k], bins)[0].sum(), -k))
-    same, good = estimates(bins[best], bins)
+    spots = np.unique(np.linspace(0, len(profiles) - 1, SOUNDED).astype(int))
+    best = max(spots.tolist(), key=lambda k: (estimates(profiles[k], profiles)[0].sum(), -k))
+    same, good = estimates(profiles[best], profiles)
     for k in np.flatnonzero(good):
         if k != best:
             yield k, best, float(same[k])
@@ -179,35 +193,46 @@ def apart(classes: np.ndarray, blocks: np.ndarray | None, k: int) -> np.ndarray:
     return other if blocks is None else other & (blocks != blocks[k])
 
 
-def one(bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def one(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Each text of a cell with the text of another class that it resembles most."""
     blocks = several(blocks)
-    for k in range(len(bins)):
-        same, good = estimates(bins[k], bins)
+    for k in range(len(profiles)):
+        same, good = estimates(profiles[k], profiles)
         same = np.where(good & apart(classes, blocks, k), same, -1.0)
         best = int(same.argmax())
         if same[best] >= 0:
             yield k, best, float(same[best])
 
 
-def unsettled(keys: np.ndarray, bucket: int, bins: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For members of a cell, the later ones of other classes that reach the floor and share no earlier bucket."""
+def unsettled(keys: np.ndarray, bucket: int, profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a cell, the later ones of other classes that have to be looked at and share no earlier bucket."""
     blocks = several(blocks)
-    for k in range(len(bins) - 1):
+    for k in range(len(profiles) - 1):
         other = np.flatnonzero(apart(classes, blocks, k)[k + 1 :]) + k + 1
         if len(other):
-            other = other[estimates(bins[k], bins[other])[1]]
+            other = other[estimates(profiles[k], profiles[other])[1]]
             shared = keys[other] == keys[k]
             yield k, other[keys[k][shared.argmax(1)] == bucket] if len(other) else other
 
 
+def column_values(name: str, column: pa.Array) -> np.ndarray:
+    """A column without nulls as numpy: nodes, classes and profiles by their width, keys as rows."""
+    if name == "keys":
+        return column.flatten().to_numpy().reshape(-1, SKETCHES)
+    kind = {"node": NODE, "class": NODE, "bins": PROFILE}.get(name)
+    if kind is None:
+        return column.to_numpy(zero_copy_only=False)
+    raw, offs = text_bytes(column)
+    return np.frombuffer(raw[offs[0] : offs[-1]], kind)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """cell and its columns, from batches sorted by cell."""
     held: list[list[np.ndarray]] = []
     current = None
     for batch in batches:
         cell = batch.column("cell").to_numpy(zero_copy_only=False)
-        columns = [np.array([*batch.column(c).to_pylist(), None], object)[:-1] for c in names]
+        columns = [column_values(c, batch.column(c)) for c in names]
         edges = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)] if len(cell) else np.zeros(1, int)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if cell[lo] != current:
@@ -219,18 +244,13 @@ def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def stack(columns: np.ndarray, kind: str) -> np.ndarray:
-    """Rows of equal length, from bytes or lists."""
-    return np.stack([np.frombuffer(x, kind) if isinstance(x, bytes) else np.array(x, kind) for x in columns])
-
-
 def remaining(cells: DataFrame) -> DataFrame:
     """cell, node of members with an unsettled partner, from (cell, bucket, block, node, bins, keys, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, (nodes, bucket, blocks, bins, keys, classes) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class")):
             hit = np.zeros(len(nodes), bool)
-            for k, partners in unsettled(stack(keys, "i8"), bucket[0], stack(bins, "u1"), classes, blocks):
+            for k, partners in unsettled(keys, bucket[0], bins, classes, blocks):
                 hit[partners] = True
                 hit[k] |= len(partners) > 0
             if hit.any():
@@ -258,10 +278,10 @@ def settle(cells: DataFrame) -> DataFrame:
                     ordered[k] = np.sort(kmers[k])
                 return kmers[k]
 
-            number = {c: i for i, c in enumerate(dict.fromkeys(classes))}
-            own = np.array([number[c] for c in classes])
+            number: dict[bytes, int] = {}
+            own = np.array([number.setdefault(c, len(number)) for c in classes.tolist()])
             links = []
-            for k, partners in unsettled(stack(keys, "i8"), bucket[0], stack(bins, "u1"), classes, blocks):
+            for k, partners in unsettled(keys, bucket[0], bins, classes, blocks):
                 for j in partners.tolist():
                     if own[j] != own[k]:
                         b, a = read(j), read(k)
@@ -269,7 +289,7 @@ def settle(cells: DataFrame) -> DataFrame:
                         at = np.minimum(np.searchsorted(mine, b), len(a) - 1)
                         shared = int((mine[at] == b).sum())
                         if shared >= THRESHOLD * (len(a) + len(b) - shared) - 1e-9 and alignment(a, b) >= THRESHOLD:
-                            links.append(sorted((nodes[k], nodes[j])))
+                            links.append(sorted((nodes[k].tobytes(), nodes[j].tobytes())))
                             own[own == own[j]] = own[k]
             if links:
                 a, b = zip(*links, strict=True)
@@ -288,7 +308,7 @@ def pairs_of(cells: DataFrame, how: Callable) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (nodes, bucket, blocks, bins, classes) in grouped(batches, ("node", "bucket", "block", "bins", "class")):
-            found = [*how(stack(bins, "u1"), classes, blocks)] if len(nodes) > 1 else []
+            found = [*how(bins, classes, blocks)] if len(nodes) > 1 else []
             if found:
                 text, partner, same = zip(*found, strict=True)
                 yield pa.record_batch({
@@ -409,12 +429,15 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         near = links.join(labels.select(F.col("node").alias("v"), "class"), "v").groupBy("u").agg(F.min("class").alias("near"))
         step = labels.join(near, labels.node == near.u).select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
         step = materialise(step, "labels")
+        discard(labels)
         if step.where(F.col("class") != F.col("was")).isEmpty():
+            discard(links)
             return step.select("node", "class")
         moves = materialise(step.groupBy("was").agg(F.min("class").alias("to")), "moves")
         onward = moves.select(F.col("was").alias("to"), F.col("to").alias("further"))
         labels = step.join(moves, "was").join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("class"))
         labels = materialise(labels, "labels")
+        discard(step, moves)
 
 
 def release(spark: SparkSession) -> None:
@@ -469,11 +492,13 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
     for joints in rounds[1:]:  # centres with centres
         pairs = pairs.unionByName(in_order(joints).select("a", "b"))
+    spent = [found, *rounds]
     pairs = materialise(pairs.distinct(), "pairs")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", id_key(F.col("row.doc_id")).alias("id_key"), F.col("row.text64").alias("text64"))
     texts = materialise(zipped_texts(docs, wanted), "texts")
     release(spark)
     tested = materialise(verify(pairs, texts), "verified")
+    spent += [pairs, tested]
     labels = components(tested.where("linked").select("a", "b"))
 
     def mixed(labels: DataFrame) -> DataFrame:
@@ -486,6 +511,7 @@ def classes(docs: DataFrame) -> DataFrame:
     release(spark)
     if not more.isEmpty():
         tested = materialise(verify(more, texts).unionByName(tested), "verified")
+        spent.append(tested)
         labels = components(tested.where("linked").select("a", "b"), labels)
     cells = materialise(mixed(labels), "cells")
     rest = cells.join(nodes.select("node", "bins", "keys"), "node")
@@ -494,11 +520,13 @@ def classes(docs: DataFrame) -> DataFrame:
     if not open_ones.isEmpty():
         brought = rest.join(open_ones, ["cell", "node"]).join(texts, "node")
         found = materialise(settle(brought), "settled")
+        spent.append(found)
         if not found.isEmpty():
             labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")), labels)
     release(spark)
     named = rows.select("doc_id", "text64", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
     named = materialise(named.select("doc_id", "text64", "class"), "named")
+    discard(rows, nodes, buckets, texts, more, cells, open_ones, *spent)  # all that the result reads is in `named`
     sizes = named.where(F.col("class").isNotNull()).groupBy("class").agg(standing.alias("row"), F.count("*").alias("class_size"))
     # a class of many rows is a hot key on one side only, which Spark's skew join splits
     with_text = named.where(F.col("class").isNotNull()).join(sizes, "class").select("doc_id", "text64", F.col("row.doc_id").alias("class_id"), F.col("row.text64").alias("class_text64"), "class_size")

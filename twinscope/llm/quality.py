@@ -4,8 +4,9 @@ A document is a bag of passages of PASSAGE bytes. Each passage is encoded from d
 capitals, punctuation, repetition, word lengths) by a hidden layer; gated attention, tanh(V h) times
 sigmoid(U h), weighs the passages; the weighted sum of the encodings is scored by a logistic unit. All
 layers are learned together from document labels, by Adam with hand-written gradients, from a sample of
-at most MOST_DOCS labelled documents, of which long ones show MOST_PASSAGES evenly spread passages.
-Scoring takes every passage of every text.
+about MOST_DOCS labelled documents (fewer, where these have over MOST_PASSAGES passages in all), with all
+passages of each. Scoring takes every passage of every text. Words end where a part of CHUNK_BYTES of a
+long text does, so a text of any length is read part by part.
 
 Defined results: null and empty texts are one passage without bytes, and have a score; equal texts have
 equal scores; with no labels, or labels of one kind, all scores are the share of ones (0.5 if none);
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import byte_chunks, held_out, table
+from twinscope.llm.common import CHUNK_BYTES, byte_chunks, held_out, materialise, table
 from twinscope.llm.lexical import DIGIT, LETTER, PUNCT, SPACE, UPPER, WIDE, byte_set, counts, labelled_sample, lower, prefix_sums, span_hash, word_bounds
 
 PASSAGE = 512
 MOST_DOCS = 8000
-MOST_PASSAGES = 48
+#: Passages of the whole sample; it gets fewer documents where they are longer.
+MOST_PASSAGES = 500_000
 HIDDEN, GATE = 24, 16
 EPOCHS, BATCH, RATE, DECAY = 25, 64, 0.01, 1e-4
 SYMBOL = byte_set(b"*$%&#@~^+=<>{}[]\\_")
@@ -144,16 +146,16 @@ class Attention:
         return self
 
 
-def bag_features(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def bag_features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of rows: (first row, end row, passage features, passages of each row)."""
     for lo, hi, raw, offs in byte_chunks(column):
-        cuts, n = passages(raw, offs)
-        x = encode(raw, offs, cuts)
-        if most and n.max() > most:
-            first = np.cumsum(n) - n
-            keep = [first[i] + (np.arange(n[i]) if n[i] <= most else np.linspace(0, n[i] - 1, most).astype(int)) for i in range(len(n))]
-            x, n = x[np.concatenate(keep)], np.minimum(n, most)
-        yield lo, hi, x, n
+        if hi - lo == 1 and len(raw) > CHUNK_BYTES:
+            parts = [raw[a : a + CHUNK_BYTES] for a in range(0, len(raw), CHUNK_BYTES)]
+            x = np.concatenate([encode(p, o, passages(p, o)[0]) for p in parts for o in (np.array([0, len(p)]),)])
+            yield lo, hi, x, np.array([len(x)])
+        else:
+            cuts, n = passages(raw, offs)
+            yield lo, hi, encode(raw, offs, cuts), n
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Attention | float:
@@ -161,12 +163,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Attentio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, x, n in bag_features(batch.column("text"), MOST_PASSAGES):
+            for lo, hi, x, n in bag_features(batch.column("text")):
                 ends = np.cumsum(n)
                 bags = [x[e - k : e].astype("<f4").tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo), "bag": pa.array(bags, pa.binary())})
 
-    rows = labelled_sample(docs, labels, "quality", 3, 1, most).mapInArrow(run, "doc_id long, label int, bag binary").collect()
+    sample = materialise(labelled_sample(docs, labels, "quality", 3, 1, most), "quality-sample")
+    size = sample.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).first().n or 0
+    if size > MOST_PASSAGES:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) < int(MOST_PASSAGES / size * (1 << 30)))
+    rows = sample.mapInArrow(run, "doc_id long, label int, bag binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     y = np.array([r.label for r in rows], np.float32)
     if not len(y) or y.min() == y.max():

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 from twinscope.llm.common import byte_chunks
+from twinscope.llm.lexical import safe_cuts
 
 PASS_BYTES = 1 << 20
 #: Spans that a memo holds at most, in two halves, and the longest that it keeps.
@@ -74,26 +75,6 @@ def span_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def safe_cuts(raw: np.ndarray, limit: int) -> np.ndarray:
-    """Cuts of one long text into passes of about `limit` bytes, each at a blank between ASCII letters or digits."""
-    plain = (CLASS == LETTER) | (CLASS == DIGIT)
-    cuts, at = [0], 0
-    while len(raw) - at > limit:
-        lo = at + limit // 2
-        while True:
-            hi = min(len(raw), lo + limit // 2)
-            part = raw[lo - 1 : hi + 1]
-            found = np.flatnonzero((part[1:-1] == 32) & plain[part[:-2]] & plain[part[2:]])
-            if len(found) or hi == len(raw):
-                break
-            lo = hi
-        if not len(found):
-            break
-        at = lo + int(found[-1])
-        cuts.append(at)
-    return np.array([*cuts, len(raw)])
-
-
 class Memo:
     """Ids of spans as bytes, bounded: when the younger half is full, it becomes the older one and that is forgotten."""
 

@@ -2,10 +2,12 @@
 
 Features of a text: densities of three lexicons, second-person proximity of their words, capitals,
 punctuation and obfuscation rates. One lexicon is fixed; two are learned from the labelled sample, of
-whole words and of word beginnings, keeping those whose documents are toxic far more often than chance
-allows. Trees are grown on histograms of the features by the driver, from at most MOST_DOCS labelled
-documents. Scores are calibrated by isotonic regression on the margins that each fold gets from trees
-grown on the other folds.
+whole words and of word beginnings, keeping all those whose documents are toxic far more often than chance
+allows. Trees are grown on histograms of the features by the driver, from about MOST_DOCS labelled
+documents at most. Scores are calibrated by isotonic regression on the margins that each fold gets from
+lexicons and trees learned from the other folds alone.
+
+Features are ratios of sums over a text's words and bytes; a long text is summed part by part, cut at blanks.
 
 Defined results: null and empty texts have no words and a score; equal texts have equal scores; with no
 labels, or labels of one kind, all scores are the share of ones (0 if none); other columns of the input
@@ -19,16 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinscope.llm.common import byte_chunks, held_out, materialise, table
-from twinscope.llm.lexical import DIGIT, LETTER, LOWER, PUNCT, SPACE, UPPER, byte_set, counts, hash_words, labelled_sample, lower, member, prefix_sums, span_hash, word_bounds
+from twinscope.llm.lexical import DIGIT, LETTER, LOWER, PUNCT, SPACE, UPPER, byte_set, counts, hash_words, labelled_sample, lower, member, prefix_sums, segments, span_hash, word_bounds
 
 MOST_DOCS = 12_000
 #: A learned entry: in so many toxic documents, so many times as often there, so many deviations above chance.
 LEAST_DOCS, LEAST_RATIO, LEAST_Z = 3, 4.0, 4.0
-MOST_ENTRIES = 5000
+FOLDS = 3
 BEGINNING = 4
 NEAR = 6
 INSULTS = "idiot moron stupid loser trash scum worthless pathetic disgusting clown dumb fool jerk filth hate kill ugly dummkopf blöd idioten arschloch abschaum widerlich idiote imbécile crétin ordure pourriture débile idiota imbécil estúpido basura escoria asqueroso".split()
@@ -61,11 +63,10 @@ def tokens(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, home, span_hash(sums, starts, ends), begin
 
 
-def features(raw: np.ndarray, offs: np.ndarray, lex: Lexicons) -> np.ndarray:
+def tallies(raw: np.ndarray, offs: np.ndarray, lex: Lexicons) -> np.ndarray:
+    """The sums of each row from which its features are made."""
     n = len(offs) - 1
     starts, ends, home, hashes, begins = tokens(raw, offs)
-    n_words = np.maximum(1, np.bincount(home, minlength=n)).astype(float)
-    size = np.maximum(1, np.diff(offs)).astype(float)
 
     def per_row(values: np.ndarray) -> np.ndarray:
         return np.bincount(home, values, n)
@@ -102,45 +103,74 @@ def features(raw: np.ndarray, offs: np.ndarray, lex: Lexicons) -> np.ndarray:
     if len(starts):
         total = np.r_[0, np.cumsum(upper)]
         caps = (total[ends] - total[starts] == ends - starts) & (ends - starts > 1)
-    hits, begin_hits, fixed_hits = per_row(word >= 0), per_row(begin >= 0), per_row(fixed)
-    n_letters = np.maximum(1, counts(letters, offs))
     return np.stack([
-        hits / n_words, np.log1p(hits), per_row(word_w) / n_words, begin_hits / n_words, np.log1p(begin_hits), per_row(begin_w) / n_words,
-        fixed_hits / n_words, np.log1p(fixed_hits), np.log1p(masked), masked / n_words, per_row(you) / n_words, per_row(near) / np.maximum(1, per_row(bad)), np.log1p(per_row(near)),
-        counts(upper, offs) / n_letters, per_row(caps) / n_words, counts(punct, offs) / size, counts(twice, offs) / size, counts(raw == 33, offs) / size, counts(raw == 63, offs) / size,
-        counts(hidden, offs) / size, counts(DIGIT[raw], offs) / size, counts(SPACE[raw], offs) / size, per_row((ends - starts).astype(float)) / n_words, np.log1p(n_words),
+        np.bincount(home, minlength=n), np.diff(offs), counts(letters, offs), per_row(word >= 0), per_row(word_w), per_row(begin >= 0), per_row(begin_w), per_row(fixed), masked, per_row(you), per_row(near), per_row(bad),
+        counts(upper, offs), per_row(caps), counts(punct, offs), counts(twice, offs), counts(raw == 33, offs), counts(raw == 63, offs), counts(hidden, offs), counts(DIGIT[raw], offs), counts(SPACE[raw], offs),
+        per_row((ends - starts).astype(float)),
+    ], axis=1).astype(float)
+
+
+def features(raw: np.ndarray, offs: np.ndarray, lex: Lexicons) -> np.ndarray:
+    n_words, size, n_letters, hits, word_w, begin_hits, begin_w, fixed, masked, you, near, bad, upper, caps, punct, twice, bang, query, hidden, digit, space, length = sum(tallies(r, o, lex) for r, o in segments(raw, offs)).T
+    n_words, size, n_letters = np.maximum(1, n_words), np.maximum(1, size), np.maximum(1, n_letters)
+    return np.stack([
+        hits / n_words, np.log1p(hits), word_w / n_words, begin_hits / n_words, np.log1p(begin_hits), begin_w / n_words, fixed / n_words, np.log1p(fixed), np.log1p(masked), masked / n_words,
+        you / n_words, near / np.maximum(1, bad), np.log1p(near), upper / n_letters, caps / n_words, punct / size, twice / size, bang / size, query / size, hidden / size, digit / size, space / size,
+        length / n_words, np.log1p(n_words),
     ], axis=1)
 
 
-def learn_lexicons(sample: DataFrame) -> Lexicons:
-    """Words and beginnings that mark toxic documents of the sample, counted once a document."""
+def fold_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(41)), F.lit(FOLDS)).cast("int")
+
+
+def learn_lexicons(sample: DataFrame) -> list[Lexicons]:
+    """Words and beginnings that mark toxic documents: of the sample (doc_id, text, label, fold), then of it without each fold.
+
+    Documents are counted, not occurrences. A word needs LEAST_DOCS toxic documents, so entries are bounded by
+    the sample.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            labels, fold = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "fold"))
             for lo, _, raw, offs in byte_chunks(batch.column("text")):
-                _, _, home, hashes, begins = tokens(raw, offs)
-                for kind, h in ((0, hashes), (1, begins)):
-                    pair = np.unique(np.stack([h, home.astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-                    pair = pair[pair[:, 0] != 0]
-                    key, at = np.unique(pair[:, 0], return_inverse=True)
-                    toxic = np.bincount(at, labels[lo + pair[:, 1].astype(int)], len(key)).astype(np.int64)
-                    yield pa.record_batch({"kind": np.full(len(key), kind, np.int32), "key": key.view(np.int64), "toxic": toxic, "n": np.bincount(at, minlength=len(key)).astype(np.int64)})
-
-    total = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).first()
-    share = total.toxic / total.n
-    rows = sample.select("text", "label").mapInArrow(run, "kind int, key long, toxic long, n long").groupBy("kind", "key").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
-    expected = F.col("n") * F.lit(share)
-    ratio = (F.col("toxic") + 0.5) / (total.toxic + 1) / ((F.col("n") - F.col("toxic") + 0.5) / (total.n - total.toxic + 1))
-    z = (F.col("toxic") - expected) / F.sqrt(expected * F.lit(1 - share))
-    rows = rows.where((F.col("toxic") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z)).withColumn("weight", F.log(ratio))
-    out = Lexicons()
-    for kind, names in ((0, ("words", "word_weight")), (1, ("starts", "start_weight"))):
-        got = rows.where(F.col("kind") == kind).orderBy(F.desc("weight"), "key").limit(MOST_ENTRIES).select("key", "weight").collect()
-        keys, weights = np.array([r.key for r in got], np.int64).view(np.uint64), np.array([r.weight for r in got], float)
-        order = np.argsort(keys)
-        setattr(out, names[0], keys[order])
-        setattr(out, names[1], weights[order])
+                seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for part, cut in segments(raw, offs):
+                    _, _, home, hashes, begins = tokens(part, cut)
+                    seen += [(np.full(len(h), kind, np.uint64), h, home.astype(np.uint64)) for kind, h in ((0, hashes), (1, begins))]
+                kind, key, home = (np.concatenate(x) for x in zip(*seen, strict=True))
+                once = np.unique(np.stack([kind, key, home], axis=1)[key != 0], axis=0)
+                if len(once):
+                    row = lo + once[:, 2].astype(int)
+                    group, at = np.unique(np.c_[once[:, :2], fold[row].astype(np.uint64)], axis=0, return_inverse=True)
+                    yield pa.record_batch({
+                        "kind": group[:, 0].astype(np.int32), "key": np.ascontiguousarray(group[:, 1]).view(np.int64), "fold": group[:, 2].astype(np.int32),
+                        "toxic": np.bincount(at.ravel(), labels[row], len(group)).astype(np.int64), "n": np.bincount(at.ravel(), minlength=len(group)).astype(np.int64),
+                    })
+
+    totals = {r.fold: (r.toxic, r.n) for r in sample.groupBy("fold").agg(F.sum("label").alias("toxic"), F.count("*").alias("n")).collect()}
+    folds = range(FOLDS)
+    parts = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in folds for c in ("toxic", "n")]
+    counted = sample.select("text", "label", "fold").mapInArrow(run, "kind int, key long, fold int, toxic long, n long").groupBy("kind", "key").agg(*parts)
+    weights = []
+    for without in (None, *folds):
+        used = [k for k in folds if k != without]
+        all_toxic, all_n = (sum(totals.get(k, (0, 0))[c] for k in used) for c in (0, 1))
+        toxic, n = (sum((F.col(f"{c}{k}") for k in used), F.lit(0)) for c in ("toxic", "n"))
+        share = all_toxic / max(1, all_n)
+        ratio = (toxic + 0.5) / (all_toxic + 1) / ((n - toxic + 0.5) / (all_n - all_toxic + 1))
+        z = (toxic - n * share) / F.sqrt(F.greatest(n, F.lit(1)) * max(share * (1 - share), 1e-9))
+        weights.append(F.when((toxic >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (z >= LEAST_Z), F.log(ratio)))
+    told = counted.select("kind", "key", F.array(*weights).alias("weights")).where(F.exists("weights", lambda w: w.isNotNull())).collect()
+    out = []
+    for j in range(1 + FOLDS):
+        lex = Lexicons()
+        for kind, names in ((0, ("words", "word_weight")), (1, ("starts", "start_weight"))):
+            own = sorted((r.key & 0xFFFFFFFFFFFFFFFF, r.weights[j]) for r in told if r.kind == kind and r.weights[j] is not None)
+            setattr(lex, names[0], np.array([k for k, _ in own], np.uint64))
+            setattr(lex, names[1], np.array([w for _, w in own], float))
+        out.append(lex)
     return out
 
 
@@ -227,15 +257,16 @@ class Toxicity:
     def __init__(self, lex: Lexicons):
         self.lex, self.trees, self.knots = lex, Trees(), (np.zeros(1), np.zeros(1))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, folds: int = 3) -> Toxicity:
+    def fit(self, x: np.ndarray, y: np.ndarray, apart: list[np.ndarray], fold: np.ndarray) -> Toxicity:
+        """`x`: features by all lexicons; `apart`: by those learned without each fold; `fold`: that of each row."""
         self.trees.fit(x, y)
-        fold = np.arange(len(y)) % folds
-        out = np.zeros(len(y))
-        for k in range(folds):
+        margin = self.trees.margin(x)
+        for k, own_x in enumerate(apart):
             own = fold == k
             rest = y[~own]
-            out[own] = Trees().fit(x[~own], rest).margin(x[own]) if 0 < rest.mean() < 1 else self.trees.margin(x[own])
-        self.knots = isotonic(out, y)
+            if own.any() and len(rest) and 0 < rest.mean() < 1:
+                margin[own] = Trees().fit(own_x[~own], rest).margin(own_x[own])
+        self.knots = isotonic(margin, y)
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -246,20 +277,21 @@ class Toxicity:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Toxicity | float:
     """The classifier, or the share of ones where labels of both kinds are lacking."""
-    sample = materialise(labelled_sample(docs, labels, "toxic", 5, 0, most), "toxic-sample")
+    sample = materialise(labelled_sample(docs, labels, "toxic", 5, 0, most).withColumn("fold", fold_of(F.col("doc_id"))), "toxic-sample")
     kinds = sample.agg(F.min("label").alias("lo"), F.max("label").alias("hi")).first()
     if kinds.lo is None or kinds.lo == kinds.hi:
         return float(kinds.lo or 0)
-    lex = learn_lexicons(sample)
+    lexicons = learn_lexicons(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offs in byte_chunks(batch.column("text")):
-                x = features(raw, offs, lex)
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo), "x": pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())})
+                x = np.concatenate([features(raw, offs, lex) for lex in lexicons], axis=1).astype("<f8")
+                yield pa.record_batch({**{c: batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "label", "fold")}, "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = sorted(sample.mapInArrow(run, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
-    return Toxicity(lex).fit(np.stack([np.frombuffer(r.x, "<f8") for r in rows]), np.array([float(r.label) for r in rows]))
+    rows = sorted(sample.mapInArrow(run, "doc_id long, label int, fold int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    x, *apart = np.split(np.stack([np.frombuffer(r.x, "<f8") for r in rows]), 1 + FOLDS, axis=1)
+    return Toxicity(lexicons[0]).fit(x, np.array([float(r.label) for r in rows]), apart, np.array([r.fold for r in rows]))
 
 
 def batch_scores(column: pa.Array, model: Toxicity | float) -> np.ndarray:
