@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the
 last return the columns of documents. `run` writes each stage's rows as Parquet to the shared folder and
-reads them again for the next.
+reads them again for the next; the rows of the stage before are then deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinscope.llm import bpe, mixing, near_dups, quality, toxicity
-from twinscope.llm.common import materialise, table
+from twinscope.llm.common import discard, materialise, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
