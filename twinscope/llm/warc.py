@@ -3,11 +3,12 @@
 `write_archives`: each task writes the records of its pages, gzipped one by one, to a file in the shared
 folder. Equal payloads of at least SMALLEST_SHARED bytes are stored once, by the smallest page_id; the
 other pages become revisit records that refer to it.
-`write_index`: the captures, keyed by reversed host and path (com,example,blog)/a/b), are sorted over
-the cluster; each range partition writes a file of gzipped blocks of BLOCK_LINES lines and a sparse
-directory of the blocks' first keys.
-`CaptureIndex.lookup`: binary search in the directory, a range read of one block, binary search in its
-lines, a range read of the record. `read_captures`: all records, block by block, over the cluster.
+`write_index`: the captures, keyed by reversed host and path (com,example,blog)/a/b) and then page_id, are
+sorted over the cluster; each range partition writes a shard of gzipped blocks of BLOCK_LINES lines, with a
+sparse directory of the blocks' first keys at its end. The index is a table of one row a shard.
+`CaptureIndex`: binary search among the shards' first keys, in the directory of one shard, and in the lines
+of one block, then a range read of the record. `read_captures` does that for a table of keys, dealt out in
+the order of the index, so that a task reads a directory and a block once.
 
 A task that runs again writes a file of another name; the index names those whose tasks succeeded.
 
@@ -19,7 +20,9 @@ responses; a null page_id sorts after every number, so it never stands for other
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -137,49 +140,82 @@ def write_archives(pages: DataFrame, smallest: int = SMALLEST_SHARED) -> DataFra
     return materialise(rows.select("digest", "page_id", "url", "payload", "n_bytes", "first_id").mapInArrow(run, CAPTURES), "captures")
 
 
-DIRECTORY = "part int, first_key string, path string, at long, size long, n_lines long"
+SHARDS = "first_key string, first_page long, path string, at long, size long, n_blocks long, n_lines long"
+#: Directories, blocks and archives that a task keeps at hand.
+KEPT_DIRECTORIES, KEPT_BLOCKS, KEPT_FILES = 16, 4, 32
+Key = tuple[str, int]
+
+
+def key_of(surt_key: str, page_id: int | None) -> Key:
+    """Sorts as Spark does: by the bytes of the text, a null page_id first."""
+    return surt_key, -(1 << 63) - 1 if page_id is None else page_id
+
+
+def zipped(lines: list[str]) -> bytes:
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress("".join(lines).encode()) + z.flush()
+
+
+def said(page_id: int | None) -> str:
+    return "-" if page_id is None else str(page_id)
+
+
+def told(text: str) -> int | None:
+    return None if text == "-" else int(text)
+
+
+class ShardWriter:
+    """Blocks of sorted captures, then the directory: key, page_id, start and size of each block."""
+
+    def __init__(self, uri: str, lines: int):
+        fs, local = open_fs(uri)
+        self.uri, self.lines, self.stream = uri, lines, fs.open_output_stream(local, compression=None)
+        self.at, self.n_lines, self.first = 0, 0, None
+        self.held: list[str] = []
+        self.directory: list[str] = []
+
+    def add(self, key: str, page_id: int | None, kind: str, path: str, at: int, size: int) -> None:
+        if not self.held:
+            self.head = (key, page_id)
+            self.first = self.first or self.head
+        self.held.append(f"{key} {said(page_id)} {kind} {path} {at} {size}\n")
+        if len(self.held) >= self.lines:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            data = zipped(self.held)
+            self.stream.write(data)
+            self.directory.append(f"{self.head[0]} {said(self.head[1])} {self.at} {len(data)}\n")
+            self.at, self.n_lines, self.held = self.at + len(data), self.n_lines + len(self.held), []
+
+    def close(self) -> tuple:
+        self.flush()
+        data = zipped(self.directory)
+        self.stream.write(data)
+        self.stream.close()
+        return *self.first, self.uri, self.at, len(data), len(self.directory), self.n_lines
 
 
 def write_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
-    """Sorted, gzipped blocks of captures; returns their sparse directory, a row for each block."""
+    """Writes the shards; returns the index, a row for each."""
     spark = captures.sparkSession
     folder = work_dir(spark, "cdx")
+    columns = ("surt", "page_id", "kind", "path", "at", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, uri = TaskContext.get().partitionId(), f"{folder}/index-{uuid.uuid4().hex}.cdx.gz"
-        stream, at, held, keys = None, 0, [], []
-        found: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal at, stream
-            if stream is None:
-                fs, local = open_fs(uri)
-                stream = fs.open_output_stream(local, compression=None)
-            z = zlib.compressobj(6, zlib.DEFLATED, 31)
-            data = z.compress("".join(held).encode()) + z.flush()
-            stream.write(data)
-            found.append((part, keys[0], uri, at, len(data), len(held)))
-            at += len(data)
-            held.clear()
-            keys.clear()
-
+        shard = None
         for batch in batches:
-            for key, page_id, kind, path, start, size in zip(*(batch.column(c).to_pylist() for c in ("surt", "page_id", "kind", "path", "at", "size")), strict=True):
-                keys.append(key)
-                held.append(f"{key} {'-' if page_id is None else page_id} {kind} {path} {start} {size}\n")
-                if len(held) >= lines:
-                    flush()
-        if held:
-            flush()
-        if stream is not None:
-            stream.close()
-            names = DIRECTORY.replace(",", "").split()[::2]
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                shard = shard or ShardWriter(f"{folder}/index-{uuid.uuid4().hex}.cdx.gz", lines)
+                shard.add(*row)
+        if shard:
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array([x], k) for x, k in zip(shard.close(), kinds, strict=True)], names=SHARDS.replace(",", "").split()[::2])
 
     # the page_id parts ranges within one host or url
     rows = captures.repartitionByRange(shuffle_partitions(spark), "surt", "page_id").sortWithinPartitions("surt", "page_id", "path", "at")
-    return materialise(rows.select("surt", "page_id", "kind", "path", "at", "size").mapInArrow(run, DIRECTORY), "directory")
+    return materialise(rows.select(*columns).mapInArrow(run, SHARDS), "index")
 
 
 def read_range(uri: str, at: int, size: int) -> bytes:
@@ -188,68 +224,116 @@ def read_range(uri: str, at: int, size: int) -> bytes:
         return f.read_at(size, at)
 
 
-def block_lines(path: str, at: int, size: int) -> list[list[str]]:
-    """key, page_id, kind, path, start, size of each line of a block."""
-    return [line.split(" ") for line in zlib.decompress(read_range(path, at, size), 31).decode().split("\n")[:-1]]
+def read_lines(uri: str, at: int, size: int) -> list[list[str]]:
+    return [line.split(" ") for line in zlib.decompress(read_range(uri, at, size), 31).decode().split("\n")[:-1]]
 
 
 class CaptureIndex:
-    """Lookups of single urls. The directory, a row for each block, is held; blocks are read as needed."""
-
-    def __init__(self, directory: DataFrame):
-        rows = directory.orderBy("part", "path", "at").collect()
-        self.blocks = [(r.path, r.at, r.size) for r in rows]
-        self.keys = [r.first_key for r in rows]
+    """Searches over the shards: (first_key, first_page, path, at, size) of each. A shard's directory and blocks are read when a search needs them."""
+
+    def __init__(self, shards: list[tuple]):
+        self.shards = sorted((key_of(s[0], s[1]), *s[2:5]) for s in shards)
+        self.firsts = [s[0] for s in self.shards]
+        self.directory = functools.lru_cache(KEPT_DIRECTORIES)(self._directory)
+        self.block = functools.lru_cache(KEPT_BLOCKS)(self._block)
+
+    def _directory(self, shard: int) -> tuple[list[Key], list[tuple[int, int]]]:
+        lines = read_lines(*self.shards[shard][1:])
+        return [key_of(x[0], told(x[1])) for x in lines], [(int(x[2]), int(x[3])) for x in lines]
+
+    def _block(self, shard: int, block: int) -> tuple[list[Key], list[list[str]]]:
+        lines = read_lines(self.shards[shard][1], *self.directory(shard)[1][block])
+        return [key_of(x[0], told(x[1])) for x in lines], lines
+
+    def captures_from(self, key: Key) -> Iterator[tuple[Key, list[str]]]:
+        """The captures from the first that isn't before `key` on; equal keys may begin in the block before."""
+        for shard in range(max(0, bisect.bisect_left(self.firsts, key) - 1), len(self.shards)):
+            keys = self.directory(shard)[0]
+            for block in range(max(0, bisect.bisect_left(keys, key) - 1), len(keys)):
+                own, lines = self.block(shard, block)
+                for k in range(bisect.bisect_left(own, key), len(own)):
+                    yield own[k], lines[k]
+
+    def of_page(self, surt_key: str, page_id: int | None) -> list[list[str]]:
+        key = key_of(surt_key, page_id)
+        return [line for _, line in itertools.takewhile(lambda x: x[0] == key, self.captures_from(key))]
+
+    def of_url(self, url: str | None) -> list[list[str]]:
+        key = surt(url)
+        return [line for _, line in itertools.takewhile(lambda x: x[0][0] == key, self.captures_from(key_of(key, None)))]
 
     def lookup(self, url: str | None) -> list[tuple[dict[str, str], dict[str, str], bytes]]:
         """The records of a url."""
-        key, found = surt(url), []
-        block = max(0, bisect.bisect_left(self.keys, key) - 1)  # equal keys may begin in the block before
-        while block < len(self.blocks) and self.keys[block] <= key:
-            lines = block_lines(*self.blocks[block])
-            lo, hi = bisect.bisect_left(lines, key, key=lambda x: x[0]), bisect.bisect_right(lines, key, key=lambda x: x[0])
-            found += [parse(read_range(x[3], int(x[4]), int(x[5]))) for x in lines[lo:hi]]
-            if hi < len(lines):
-                break
-            block += 1
-        return found
+        return [parse(read_range(x[3], int(x[4]), int(x[5]))) for x in self.of_url(url)]
+
+
+def capture_index(index: DataFrame) -> CaptureIndex:
+    """Of an index, of which a row for each shard is held: as many as partitions wrote it."""
+    return CaptureIndex([tuple(r) for r in index.collect()])
+
+
+def capture_keys(pages: DataFrame) -> DataFrame:
+    """surt and page_id of the pages to look up, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"surt": pa.array(map(surt, batch.column("url").to_pylist()), pa.string()), "page_id": batch.column("page_id")})
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    return rows.mapInArrow(run, "surt string, page_id long").distinct()
 
 
 RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_captures(directory: DataFrame) -> DataFrame:
-    """All records that the index points to. A response's digest and size are those of the bytes read."""
+class Archives:
+    """Random access to archive files, of which the last KEPT_FILES stay open."""
+
+    def __init__(self):
+        self.opened: dict[str, pa.NativeFile] = {}
+
+    def read(self, uri: str, at: int, size: int) -> bytes:
+        if uri not in self.opened:
+            if len(self.opened) >= KEPT_FILES:
+                self.opened.pop(next(iter(self.opened))).close()
+            fs, local = open_fs(uri)
+            self.opened[uri] = fs.open_input_file(local)
+        return self.opened[uri].read_at(size, at)
+
+    def close(self) -> None:
+        for f in self.opened.values():
+            f.close()
+
+
+def read_captures(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The records of the keys (surt, page_id), found by search. A response's digest and size are those of the bytes read."""
+    shards = [tuple(r) for r in index.select("first_key", "first_page", "path", "at", "size").collect()]  # a row for each shard
+    spark = index.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = RESULT.replace(",", "").split()[::2]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        searched, archives = CaptureIndex(shards), Archives()
         for batch in batches:
-            for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("path", "at", "size")), strict=True):
-                out = []
-                opened: dict[str, object] = {}
-                for _, _, kind, archive, start, length in sorted(block_lines(path, at, size), key=lambda x: (x[3], int(x[4]))):
-                    if archive not in opened:
-                        for f in opened.values():
-                            f.close()
-                        fs, local = open_fs(archive)
-                        opened = {archive: fs.open_input_file(local)}
-                    warc, http, body = parse(opened[archive].read_at(int(length), int(start)))
-                    digest, n_bytes = warc["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
-                    if kind == "response":
-                        if hashlib.sha256(body).hexdigest() != digest or len(body) != n_bytes:
-                            raise ValueError(f"{archive} at {start}: the payload isn't the one written")
-                    out.append((page_of(warc["warc-record-id"]), warc["warc-target-uri"], n_bytes, digest, warc["warc-type"], page_of(warc.get("warc-refers-to"))))
-                for f in opened.values():
-                    f.close()
+            found = [line for key, page in zip(batch.column("surt").to_pylist(), batch.column("page_id").to_pylist(), strict=True) for line in searched.of_page(key, page)]
+            out = []
+            for _, _, kind, archive, start, length in sorted(found, key=lambda x: (x[3], int(x[4]))):
+                warc, http, body = parse(archives.read(archive, int(start), int(length)))
+                digest, n_bytes = warc["warc-payload-digest"].removeprefix("sha256:"), int(http["content-length"])
+                if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != n_bytes):
+                    raise ValueError(f"{archive} at {start}: the payload isn't the one written")
+                out.append((page_of(warc["warc-record-id"]), warc["warc-target-uri"], n_bytes, digest, warc["warc-type"], page_of(warc.get("warc-refers-to"))))
+            if out:
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        archives.close()
 
-    spread = directory.select("path", "at", "size").repartition(shuffle_partitions(directory.sparkSession))
-    return spread.mapInArrow(run, RESULT)
+    dealt = keys.select("surt", "page_id").repartitionByRange(shuffle_partitions(spark), "surt", "page_id").sortWithinPartitions("surt", "page_id")
+    return dealt.mapInArrow(run, RESULT)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_captures(write_index(write_archives(table(spark, sf_dir, "pages")))).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return read_captures(write_index(write_archives(pages)), capture_keys(pages)).drop("url")
 
 
 OP7_SQL = """
