@@ -99,6 +99,8 @@ def test_media(docs):
         whole = data.ljust(max(1, -(-len(data) // 192)) * 192, b" ")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
         assert r.feature.startswith("vide:raw ") and r.media_bytes > r.payload_bytes
+        assert r.codec == "raw" and r.duration == len(whole) / 192 / 25 and sum(k.size for k in r.keyframes) <= len(whole)
+        assert sorted(sum([[*range(k.at, k.at + k.size, 192)] for k in r.keyframes], [])) == [r.media_bytes - len(whole) + 192 * (n - 1) for n in media.keyframes_of(whole)]
     assert media.probe_media(media.pack_media(docs.limit(0))).count() == 0
 
 
@@ -116,17 +118,39 @@ def test_warc(spark):
     long = "<p>" + "x" * 200
     rows = [(1, "http://a.B.c:8080/x y?q#f", long), (2, "https://a.b.c/", long), (7, None, None), (8, "", "<b>"), (9, "no url\n", "<b>"), (2, "https://a.b.c/", long), (None, "http://z/", long), (3, "http://ü.de/é", "é" * 60), (4, "http://[::1]/a", "y" * 100000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    directory = warc.write_index(warc.write_archives(pages), lines=2)
-    got = sorted((tuple(r) for r in warc.read_captures(directory).drop("url").collect()), key=str)
+    captures = warc.write_archives(pages)
+    index = warc.write_index(captures, lines=2)
+    got = sorted((tuple(r) for r in warc.read_captures(index, warc.capture_keys(pages)).drop("url").collect()), key=str)
+    walked = []  # the archives read from end to end
+    for path in {r.path for r in captures.select("path").collect()}:
+        data = open(path.removeprefix("file://"), "rb").read()
+        while data:
+            z = zlib.decompressobj(31)
+            z.decompress(data)
+            w, h, _ = warc.parse(data[: len(data) - len(z.unused_data)])
+            walked.append((warc.page_of(w["warc-record-id"]), int(h["content-length"]), w["warc-payload-digest"].removeprefix("sha256:"), w["warc-type"], warc.page_of(w.get("warc-refers-to"))))
+            data = z.unused_data
+    assert got == sorted(walked, key=str)
     con = duckdb.connect()
     con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]).astype({"page_id": "Int64"}))
     assert got == sorted((tuple(r) for r in con.sql(warc.OP7_SQL).fetchall()), key=str)
-    index = warc.CaptureIndex(directory)
+    index = warc.capture_index(index)
     assert sorted(w["warc-type"] for w, _, _ in index.lookup("https://a.b.c/")) == ["revisit", "revisit"]
     assert [b.decode() for _, _, b in index.lookup("http://a.b.C:8080/x y?q")] == [long]
     assert len(index.lookup(None)) == 2 and index.lookup("http://nowhere/") == []
     assert warc.surt("https://www.Example.org:443/a?b=1#c") == "org,example,www)/a?b=1"
-    assert warc.read_captures(warc.write_index(warc.write_archives(pages.limit(0)))).count() == 0
+    none = pages.limit(0)
+    assert warc.read_captures(warc.write_index(warc.write_archives(none)), warc.capture_keys(none)).count() == 0
+    assert warc.read_captures(warc.write_index(captures), spark.createDataFrame([("nowhere)/", 1), ("a,b,c)/", 5)], "surt string, page_id long")).count() == 0
+
+
+def test_warc_hot_url(spark):
+    """One url for most pages: its captures fill many blocks and shards, and each is found by its page."""
+    pages = spark.range(900).selectExpr("id as page_id", "IF(id % 3 = 0, concat('http://x.org/', id), 'http://hot.org/') as url", "concat('body ', id) as html")
+    index = warc.write_index(warc.write_archives(pages), lines=7)
+    got = warc.read_captures(index, warc.capture_keys(pages)).collect()
+    assert sorted(r.page_id for r in got) == [*range(900)]
+    assert len(warc.capture_index(index).of_url("http://hot.org/")) == 600
 
 
 def test_mixing(spark, docs):

@@ -1,9 +1,12 @@
 """Media columns: ISO base media containers, walked without decoding payloads.
 
 `pack_media` wraps a byte payload as an uncompressed grey-scale video track: each media sample is a
-16 x 12 picture of 8-bit samples (192 bytes), so the payload is kept as it is. `probe` walks the nested
-boxes of any ISO media file, decodes the sample tables (stts, stsc, stsz, stco/co64, stss) and returns
-codec, duration and the byte ranges of keyframes; it never reads the sample bytes.
+16 x 12 picture of 8-bit samples (192 bytes), so the payload is kept as it is. A picture is a keyframe
+(sync table, stss) if it is one of every KEYFRAME_EVERY, or its mean is SCENE away from that of the one
+before. The media column is written to the shared folder and read again. `probe` walks the nested boxes of
+any ISO media file, decodes the sample tables (stts, stsc, stsz, stco/co64, stss) and returns codec,
+duration and the byte ranges of keyframes, which `probe_media` stores as columns; it never reads the
+sample bytes.
 
 Defined results: a null text is an empty one; an empty payload becomes one padded picture; equal texts
 give equal containers; rows may repeat; other columns of the input are ignored.
@@ -22,13 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import table
+from twinscope.llm.common import byte_chunks, materialise, table
 
 WIDTH, HEIGHT = 16, 12
 SAMPLE_BYTES = WIDTH * HEIGHT
 #: Pictures a second of the track, which is also its time scale.
 TIMESCALE = 25
 SAMPLES_PER_CHUNK = 64
+KEYFRAME_EVERY, SCENE = 12, 6.0
+#: Bytes of text that are packed at once.
+PASS_BYTES = 1 << 20
 #: Boxes that only hold boxes, with the bytes of their own before the first of those.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"meta": 4}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -51,6 +57,14 @@ def pad(data: bytes) -> bytes:
     return data.ljust(n, b" ")
 
 
+def keyframes_of(payload: bytes) -> list[int]:
+    """1-based numbers of the pictures that are keyframes."""
+    mean = np.frombuffer(payload, np.uint8).reshape(-1, SAMPLE_BYTES).mean(1)
+    key = np.arange(len(mean)) % KEYFRAME_EVERY == 0
+    key[1:] |= np.abs(np.diff(mean)) >= SCENE
+    return (np.flatnonzero(key) + 1).tolist()
+
+
 FTYP = box(b"ftyp", b"qt  ", struct.pack(">I", 0x200), b"qt  isom")
 HDLR = full(b"hdlr", 0, b"\0\0\0\0vide", bytes(12), b"raw\0")
 MINF_HEAD = full(b"vmhd", 1, bytes(8)) + box(b"dinf", full(b"dref", 0, struct.pack(">I", 1), full(b"url ", 1)))
@@ -212,7 +226,15 @@ def stored_payload(data: bytes, tracks: list[Track]) -> bytes:
 
 
 PACKED = "doc_id long, n_bytes long, media binary"
-PROBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PROBED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "codec string, duration double, keyframes array<struct<at: long, size: long>>"
+)
+RANGES = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())]))
+PROBED_KINDS = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "codec": pa.string(), "duration": pa.float64(), "keyframes": RANGES,
+}
 
 
 def pack_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -220,31 +242,36 @@ def pack_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [(x or "").encode() for x in part.column("t").to_pylist()]
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array([movie(pad(x)) for x in texts], pa.binary())})
+            for lo, hi, raw, offs in byte_chunks(batch.column("t"), PASS_BYTES):
+                payloads = [pad(raw[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "n_bytes": pa.array(np.diff(offs), pa.int64()), "media": pa.array([movie(x, keyframes_of(x)) for x in payloads], pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, PACKED)
 
 
+def probed(doc_id: int | None, n_bytes: int, media: bytes) -> tuple:
+    tracks = probe(media)
+    payload = stored_payload(media, tracks)
+    first = tracks[0] if tracks else Track()
+    ranges = [{"at": a, "size": n} for a, n in first.keyframes().tolist()]
+    return (
+        doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(tracks),
+        first.codec.strip(), first.seconds, ranges,
+    )
+
+
 def probe_media(packed: DataFrame) -> DataFrame:
-    """Digests and features of a media column, from the stored bytes alone."""
+    """Digests of a media column, and codec, duration and keyframe ranges of the first track, from the stored bytes alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = PROBED.replace(",", "").split()[::2]
         for batch in batches:
-            rows = []
-            for doc_id, n_bytes, media in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
-                tracks = probe(media)
-                payload = stored_payload(media, tracks)
-                rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(tracks)))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            kinds = [pa.string() if n in ("payload_sha256", "media_sha256", "feature") else pa.int64() for n in names]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for lo, hi, raw, offs in byte_chunks(batch.column("media"), PASS_BYTES):
+                ids, sizes = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("doc_id", "n_bytes"))
+                rows = [probed(i, n, raw[a:b].tobytes()) for i, n, a, b in zip(ids, sizes, offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), PROBED_KINDS.values(), strict=True)], names=[*PROBED_KINDS])
 
     return packed.mapInArrow(run, PROBED)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe_media(pack_media(table(spark, sf_dir, "documents")))
+    return probe_media(materialise(pack_media(table(spark, sf_dir, "documents")), "media"))
