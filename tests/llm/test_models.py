@@ -158,7 +158,7 @@ def test_search(spark):
     x = rng.standard_normal((600, 16)).astype(np.float32) * rng.uniform(0.2, 3, (600, 1)).astype(np.float32)
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
     rows += [(1000 + 20 * i, [float(v) for v in x[7]], 0) for i in range(60)]  # many copies
-    rows += [(2001, None, 0), (2002, [], 0), (2003, [0.0] * 16, 0), (2020, [float("nan")] * 16, 0), (2040, [None] * 16, 0), (2060, [1.0] * 3, 0), (None, [1.0] * 16, 0), (20, rows[20][1], 0)]
+    rows += [(2001, None, 0), (2002, [], 0), (2003, [0.0] * 16, 0), (2020, [float("nan")] * 16, 0), (2040, [None] * 16, 0), (None, [1.0] * 16, 0), (20, rows[20][1], 0)]
     got = multi_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).toPandas()
     ids = np.array([r[0] for r in rows[:660]])
     full = np.array([r[1] for r in rows[:660]], float)
@@ -175,11 +175,60 @@ def test_search(spark):
     assert multi_index.search(few.limit(0)).count() == 0
 
 
+def test_short_vectors(spark):
+    """A shorter vector counts as ending in zeros."""
+    rows = spark.createDataFrame([(0, [1.0, 2.0, 2.0]), (1, [3.0]), (2, [0.0, 1.0]), (20, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in multi_index.search(rows).collect()}
+    assert got == {(0, 1): (20, 15.0), (0, 2): (1, 3.0), (0, 3): (2, 2.0), (20, 1): (0, 15.0), (20, 2): (1, 15.0), (20, 3): (2, 5.0)}
+
+
+@pytest.mark.parametrize("n,clusters", [(2000, 0), (10_000, 0), (50_000, 0), (10_000, 40)])
+def test_recall(spark, monkeypatch, n, clusters):
+    """Recall against brute force, and the share of the entries that queries take."""
+    rng = np.random.default_rng(n + clusters)
+    x = rng.standard_normal((n, 32)) if not clusters else rng.standard_normal((clusters, 32))[rng.integers(0, clusters, n)] + 0.15 * rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = multi_index.Quantiser(x[:: max(1, n // 20_000)], 1.0)
+    monkeypatch.setattr(multi_index, "ENTRY_BLOCK", 700)
+    monkeypatch.setattr(multi_index, "QUERY_BLOCK", 1500)
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    step = 20 if n < 50_000 else 200
+    found = {}
+    for r in multi_index.search(frame, F.col("vec_id") % step == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, n, step):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(found[q] & {*np.argpartition(-score, 20)[:20].tolist()})
+    recall = hits / (20 * len(found))
+    print(f"n={n} clusters={clusters} share={model.share:.3f} recall={recall:.3f}")
+    assert len(found) == len(range(0, n, step)) and recall >= 0.9
+    assert model.share < (0.15 if clusters else 0.6)
+
+
+def test_blocks():
+    held = np.array([[3, 0, 9000], [4000, 200, 5]])
+    blocks = multi_index.Blocks(held)
+    seen = {}
+    for one in range(2):
+        for two in range(3):
+            own = blocks.of_entries(np.full(held[one, two], one), np.full(held[one, two], two), np.arange(held[one, two]))
+            assert {*own.tolist()} <= {*blocks.of_cells([(one, two)]).tolist()}
+            for b, n in zip(*np.unique(own, return_counts=True), strict=True):
+                seen[int(b)] = seen.get(int(b), 0) + int(n)
+    assert sum(seen.values()) == held.sum() and max(seen.values()) <= 2 * multi_index.ENTRY_BLOCK
+    assert len(blocks.of_cells([])) == 0
+
+
 def test_traverse():
     rng = np.random.default_rng(6)
     a, b, held = rng.random(9), rng.random(7), rng.integers(0, 4, (9, 7))
-    cells = multi_index.traverse(a, b, held, 10**9)
-    assert cells == [(i, j) for _, i, j in sorted((a[i] + b[j], i, j) for i in range(9) for j in range(7)) if held[i, j]]
+    cells, reach = multi_index.traverse(a, b, held, 10**9)
+    ranked = [(s, i, j) for s, i, j in sorted((a[i] + b[j], i, j) for i in range(9) for j in range(7)) if held[i, j]]
+    assert cells == [(i, j) for _, i, j in ranked] and reach == ranked[-1][0]
+    some, reach = multi_index.traverse(a, b, held, 20)
+    assert some == cells[: len(some)] and sum(held[c] for c in some) >= 20 > sum(held[c] for c in some[:-1]) and reach == ranked[len(some) - 1][0]
 
 
 def test_pipeline(spark, docs):
