@@ -49,6 +49,7 @@ def tables(spark, tmp_path_factory):
             texts.append(" ".join(base[:-k] + [f"r{rnd.random()}" for _ in range(k)]))
         texts += [" ".join(base[:-8] + [f"s{g}"] * 8)] * (g + 1)
     texts += ["only copies of one text stand here"] * 5
+    texts += ["", None, "two words", "other words", " "]  # empty sets
     rows = [(i, t, ("en", "de", None)[i % 3], "web", len(t or "")) for i, t in enumerate(texts)]
     folder = str(tmp_path_factory.mktemp("small"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
@@ -57,7 +58,7 @@ def tables(spark, tmp_path_factory):
 
 def test_metric_families(spark, tables):
     folder, rows = tables
-    sets = {r[0]: s for r in rows if (s := shingles(r[1]))}
+    sets = {r[0]: shingles(r[1]) for r in rows}
     got = {tuple(r) for r in QUERIES["metric_families"](spark, folder).select("metric", "node", "family").collect()}
     for m, t in DEFAULT_THRESHOLDS.items():
         assert {x[1:] for x in got if x[0] == m} == families(sets, lambda a, b, m=m, t=t: similarity(m, a, b) >= t), m
@@ -65,7 +66,7 @@ def test_metric_families(spark, tables):
 
 def test_threshold_sweep(spark, tables):
     folder, rows = tables
-    sets = {r[0]: s for r in rows if (s := shingles(r[1]))}
+    sets = {r[0]: shingles(r[1]) for r in rows}
     lang = {r[0]: r[2] for r in rows}
     scored = [(similarity("jaccard", sets[a], sets[b]), lang[a] == lang[b]) for a, b in itertools.combinations(sets, 2)]
     assert any(0.2 <= s < 0.4 for s, _ in scored)
@@ -87,7 +88,7 @@ def test_one_signature(spark, tmp_path):
 
 def test_metric_floor(spark, tables):
     folder, rows = tables
-    sets = {r[0]: s for r in rows if (s := shingles(r[1]))}
+    sets = {r[0]: shingles(r[1]) for r in rows}
     members = {}
     for k, f in families(sets, lambda a, b: similarity("jaccard", a, b) >= 0.4):
         members.setdefault(f, []).append(sets[k])

@@ -1,7 +1,11 @@
-"""MinHash and SimHash of exploded sets, as plain aggregates."""
+"""MinHash and SimHash of sets, each computed in its own row: the set is there, so nothing is exploded or shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +13,10 @@ HASHES, BANDS = 128, 32
 WORD = (1 << 32) - 1
 
 
-def coefficients(n: int = HASHES, seed: int = 20240607) -> list[tuple[int, int]]:
-    """Pairs (odd multiplier, addend) below 2^32, from a 64-bit linear congruence."""
-    state, out = seed, []
-    for _ in range(n):
-        pair = []
-        for _ in range(2):
-            state = (state * 6364136223846793005 + 1442695040888963407) & ((1 << 64) - 1)
-            pair.append(state >> 32)
-        out.append((pair[0] | 1, pair[1]))
-    return out
+def coefficients(n: int = HASHES, seed: int | None = None) -> list[tuple[int, int]]:
+    """Pairs (odd multiplier, addend) below 2^32, from the shared seed unless another is given."""
+    draws = mulberry32(SHARED_SEED if seed is None else seed)
+    return [(next(draws) | 1, next(draws)) for _ in range(n)]
 
 
 def hash32(text: Column) -> Column:
@@ -26,30 +24,55 @@ def hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def hash64(text: Column) -> Column:
-    return F.xxhash64(text)
+def hashes32(items: Column) -> Column:
+    """hash32 of each item of an array."""
+    return F.transform(items, hash32)
+
+
+def hashes64(items: Column) -> Column:
+    """Two 32-bit halves of the md5 of each item, the first in front, as a signed number."""
+    low = lambda x: F.conv(F.substring(F.md5(x), 9, 8), 16, 10).cast("long")
+    return F.transform(items, lambda x: F.shiftleft(hash32(x), 32).bitwiseOR(low(x)))
+
+
+def utf16_units(text: Column) -> Column:
+    """The code units of a text in UTF-16, each as 4 hexadecimal digits."""
+    return F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("([0-9A-F]{4})"), F.lit(1))
 
 
 def fnv1a32(text: Column) -> Column:
-    """FNV-1a over code points, for sets hashed elsewhere with it."""
-    def step(h: Column, c: Column) -> Column:
-        x = h.bitwiseXOR(F.ascii(c).cast("long"))
+    """FNV-1a over UTF-16 code units, for sets hashed elsewhere with it."""
+    def step(h: Column, unit: Column) -> Column:
+        x = h.bitwiseXOR(F.conv(unit, 16, 10).cast("long"))
         return (F.shiftleft((F.shiftrightunsigned(x, 16) * 16777619).bitwiseAND(F.lit(0xFFFF)), 16) + x.bitwiseAND(F.lit(0xFFFF)) * 16777619).bitwiseAND(F.lit(WORD))
 
-    return F.aggregate(F.split(text, ""), F.lit(0x811C9DC5).cast("long"), step)
+    return F.aggregate(utf16_units(text), F.lit(0x811C9DC5).cast("long"), step)
+
 
+def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column without nulls, and where each row's begin (one more than rows)."""
+    offs = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), (offs - offs[0]).astype(np.int64)
 
-def affine(h: Column, a: int, b: int) -> Column:
-    """(a h + b) mod 2^32 without leaving 63 bits."""
-    high = F.shiftleft((F.shiftright(h, 16) * a).bitwiseAND(F.lit(0xFFFF)), 16)
-    return (high + h.bitwiseAND(F.lit(0xFFFF)) * a + b).bitwiseAND(F.lit(WORD))
 
+def signatures(sets: DataFrame, key: str, hashes: str = "hashes", n: int = HASHES) -> DataFrame:
+    """key, signature: of each set of 32-bit hashes the minimum of each of `n` affine hashes; an empty set has the largest number throughout."""
+    a, b = (np.array(x, np.uint64)[:, None] for x in zip(*coefficients(n), strict=True))
 
-def signatures(items: DataFrame, key: str, item: str, hashes: int = HASHES) -> DataFrame:
-    """key, signature: of each set the minimum of each of `hashes` affine hashes of its items."""
-    hashed = items.select(key, hash32(F.col(item)).alias("h"))
-    minima = [F.min(affine(F.col("h"), a, b)).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(hashes))]
-    return hashed.groupBy(key).agg(*minima).select(key, F.array(*[f"m{i}" for i in range(hashes)]).alias("signature"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, cut = rows_of(batch.column("hashes"))
+            out = np.full((batch.num_rows, n), WORD, np.int64)
+            for k in range(batch.num_rows):
+                low = np.full(n, WORD, np.uint64)
+                for lo in range(cut[k], cut[k + 1], 1 << 14):
+                    h = values[lo : min(lo + (1 << 14), cut[k + 1])].astype(np.uint64)
+                    low = np.minimum(low, ((a * h + b) & np.uint64(WORD)).min(1))
+                out[k] = low
+            yield pa.record_batch({key: batch.column(key), "signature": pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * n, pa.array(out.ravel()))})
+
+    rows = sets.select(key, F.col(hashes).alias("hashes"))
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, signature array<long>")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -63,16 +86,33 @@ def bands(signature: Column, n_bands: int = BANDS, hashes: int = HASHES) -> Colu
     return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.concat_ws("-", b.cast("string"), F.array_join(F.slice(signature, b * rows + 1, rows).cast("array<string>"), "-")))
 
 
-def simhashes(items: DataFrame, key: str, item: str) -> DataFrame:
-    """key, n_items, simhash: bit k is set where more items' 64-bit hashes have it than not.
-
-    The hash joins two 32-bit halves of the md5.
-    """
-    low, high = F.conv(F.substring(F.md5(item), 9, 8), 16, 10).cast("long"), hash32(F.col(item))
-    halves = items.select(key, low.alias("low"), high.alias("high"))
-    votes = [F.sum(F.shiftright(F.col(half), k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"{half}{k}") for half in ("low", "high") for k in range(32)]
-    counted = halves.groupBy(key).agg(F.count("*").alias("n_items"), *votes)
-    word = F.lit(0).cast("long")
-    for k in range(64):
-        word = word.bitwiseOR(F.when(F.col(f"{'low' if k < 32 else 'high'}{k % 32}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    return counted.select(key, "n_items", word.alias("simhash"))
+def simhashes(sets: DataFrame, key: str, hashes: str = "hashes") -> DataFrame:
+    """key, n_items, simhash of sets of 64-bit hashes: bit k is set where more items have it than not."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, cut = rows_of(batch.column("hashes"))
+            n = np.diff(cut)
+            votes = np.zeros((batch.num_rows, 64), np.int64)
+            for k in np.flatnonzero(n):
+                for lo in range(cut[k], cut[k + 1], 1 << 14):
+                    part = np.ascontiguousarray(values[lo : min(lo + (1 << 14), cut[k + 1])].astype("<i8"))
+                    votes[k] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            word = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
+            yield pa.record_batch({key: batch.column(key), "n_items": pa.array(n, pa.int64()), "simhash": pa.array(word)})
+
+    rows = sets.select(key, F.col(hashes).alias("hashes"))
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, n_items long, simhash long")
+
+
+#: Seed of the coefficients that signatures made elsewhere share.
+SHARED_SEED = 0x1F2E3D4C
+
+
+def mulberry32(seed: int) -> Iterator[int]:
+    """The published 32-bit generator of that name."""
+    state = seed
+    while True:
+        state = (state + 0x6D2B79F5) & WORD
+        t = (state ^ state >> 15) * (state | 1) & WORD
+        t ^= (t + ((t ^ t >> 7) * (t | 61) & WORD)) & WORD
+        yield (t ^ t >> 14) & WORD

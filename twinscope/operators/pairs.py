@@ -2,7 +2,7 @@
 
 Sets come as (key, items) with distinct items. Equal sets are one class: pairs are between the
 representatives of classes (the smallest key), with the number of members of each, so that copies are
-never expanded.
+never expanded. All empty sets are one class, of similarity 0 to any other.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ def hashed_sets(exploded: DataFrame, key: str = "doc_id", item: str = "shingle")
 
 
 def text_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
-    """hashed_sets of the word shingles of texts, without a shuffle; keys must be unique."""
+    """hashed_sets of the word shingles of texts, in the row itself; texts of fewer than k words (nulls too) have empty sets. Keys must be unique."""
     return docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.transform(word_shingles(F.col(text), k), lambda s: F.xxhash64(s)))).alias("items"))
 
 
@@ -51,6 +51,8 @@ def _prefix(known: DataFrame, threshold: float) -> DataFrame:
 
 def _measured(candidates: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b, n_a, n_b, shared, members_a, members_b of candidates (a, b)."""
+    named = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    reps = reps.join(named, "rep", "left_semi")  # sets without a candidate aren't shuffled
     one = reps.select(F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("n").alias("n_a"), F.col("members").alias("members_a"))
     two = reps.select(F.col("rep").alias("b"), F.col("items").alias("ib"), F.col("n").alias("n_b"), F.col("members").alias("members_b"))
     return candidates.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("ia", "ib")).alias("shared"), "members_a", "members_b")
@@ -121,20 +123,25 @@ def pairs_within(placed: DataFrame, group: str, block: int = 64) -> DataFrame:
     return left.join(right, [group, "i", "j"]).where("i < j OR a < b").select(group, "ia", "ib")
 
 
-def lsh_pairs(exploded: DataFrame, key: str = "doc_id", item: str = "shingle", n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:
-    """a < b: representatives of equal sets that share a band; different sets of one signature are a pair too."""
-    reps = set_classes(hashed_sets(exploded, key, item)).select(F.col("rep").alias(key))
-    signed = sketches.signatures(exploded.join(reps, key, "left_semi"), key, item, hashes)
-    keyed = signed.select(F.col(key).alias("rep"), F.explode(sketches.bands(F.col("signature"), n_bands, hashes)).alias("band"))
+def lsh_pairs(reps: DataFrame, n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:
+    """a < b of distinct sets (rep, hashes: 32-bit hashes of its items) that share a band; different sets of one signature are a pair too."""
+    signed = sketches.signatures(reps.select("rep", "hashes"), "rep", "hashes", hashes)
+    keyed = signed.select("rep", F.explode(sketches.bands(F.col("signature"), n_bands, hashes)).alias("band"))
     left, right = keyed.select(F.col("rep").alias("a"), "band"), keyed.select(F.col("rep").alias("b"), "band")
     return left.join(right, "band").where("a < b").select("a", "b").distinct()
 
 
-def twin_pairs(exploded: DataFrame, threshold: float = 0.5, key: str = "doc_id", item: str = "shingle") -> DataFrame:
-    """a, b, similarity, members_a, members_b: LSH candidates verified by exact Jaccard, most similar first.
+def hashed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """set_classes of the word shingles of texts, with `hashes`, which sketches take instead of `items`."""
+    reps = set_classes(text_sets(docs, key, text, k))
+    hashes = docs.select(F.col(key).alias("rep"), sketches.hashes32(word_shingles(F.col(text), k)).alias("hashes"))
+    return reps.join(hashes, "rep")
+
+
+def twin_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """a, b, similarity, members_a, members_b of distinct sets (as hashed_classes): LSH candidates verified by exact Jaccard, most similar first.
 
     Pairs are between representatives of equal sets; class_members has the members of each.
     """
-    reps = set_classes(hashed_sets(exploded, key, item))
-    found = _measured(lsh_pairs(exploded, key, item), reps).withColumn("similarity", metrics.jaccard(F.col("n_a"), F.col("n_b"), F.col("shared")))
+    found = _measured(lsh_pairs(reps), reps).withColumn("similarity", metrics.jaccard(F.col("n_a"), F.col("n_b"), F.col("shared")))
     return found.where(F.col("similarity") >= threshold).select("a", "b", "similarity", "members_a", "members_b").orderBy(F.desc("similarity"), "a", "b")

@@ -15,7 +15,7 @@ shingles AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i +
 SETS = (
     SHINGLES
     + """,
-sets AS (SELECT doc_id, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS set_key, count(*) AS n FROM shingles GROUP BY doc_id),
+sets AS (SELECT d.doc_id, coalesce(md5(string_agg(shingle, chr(10) ORDER BY shingle)), '') AS set_key, count(shingle) AS n FROM documents d LEFT JOIN shingles s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
 reps AS (SELECT set_key, min(doc_id) AS rep, count(*) AS members, any_value(n) AS n FROM sets GROUP BY set_key),
 items AS (SELECT rep, n, members, shingle FROM reps JOIN shingles ON doc_id = rep),
 shared AS (SELECT x.rep AS a, y.rep AS b, any_value(x.n) AS n_a, any_value(y.n) AS n_b, count(*) AS shared, any_value(x.members) AS members_a, any_value(y.members) AS members_b
@@ -25,6 +25,8 @@ pairs AS (SELECT *, shared / (n_a + n_b - shared) AS jaccard, shared / sqrt(n_a
 """
 ).strip()
 PAIRS = SETS.replace("{threshold}", "0.4")
+#: The same without a threshold: all pairs that share a shingle.
+ALL_PAIRS = SETS.replace("{threshold}", "0")
 
 
 def components(edges: str, prefix: str = "") -> str:
@@ -35,14 +37,13 @@ def components(edges: str, prefix: str = "") -> str:
 {prefix}labels AS (SELECT node, min(family) AS family FROM {prefix}walk GROUP BY node)"""
 
 
-FAMILIES = (
-    PAIRS
-    + ","
-    + components("pairs")
-    + """,
-named AS (SELECT rep, coalesce(family, rep) AS family FROM reps LEFT JOIN labels ON node = rep WHERE members > 1 OR family IS NOT NULL),
-families AS (SELECT doc_id, family FROM sets JOIN reps USING (set_key) JOIN named USING (rep))"""
-)
+def families_of(sets: str, edges: str, prefix: str = "") -> str:
+    """{prefix}named: rep, family of all sets with a twin or a copy, by the edges (a, b) of a relation."""
+    return f"""{sets}, {components(edges, prefix)},
+{prefix}named AS (SELECT rep, coalesce(family, rep) AS family FROM reps LEFT JOIN {prefix}labels ON node = rep WHERE members > 1 OR family IS NOT NULL)"""
+
+
+FAMILIES = families_of(PAIRS, "pairs") + ", families AS (SELECT doc_id, family FROM sets JOIN reps USING (set_key) JOIN named USING (rep))"
 
 COEFFICIENTS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(coefficients()))
 SIGNATURES = (
@@ -51,13 +52,15 @@ SIGNATURES = (
 coefficients(slot, a, b) AS (VALUES {COEFFICIENTS}),
 hashed AS (SELECT doc_id, ('0x' || substr(md5(shingle), 1, 8))::BIGINT AS h FROM shingles),
 slots AS (SELECT doc_id, slot, min((a::UBIGINT * h::UBIGINT + b::UBIGINT) % 4294967296::UBIGINT)::BIGINT AS m FROM hashed, coefficients GROUP BY doc_id, slot),
-signatures AS (SELECT doc_id, list(m ORDER BY slot) AS signature FROM slots GROUP BY doc_id)"""
+signatures AS (SELECT doc_id, list(m ORDER BY slot) AS signature FROM slots GROUP BY doc_id
+  UNION ALL SELECT doc_id, list_transform(range({HASHES}), lambda x: 4294967295) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM shingles))"""
 )
 ROWS = HASHES // BANDS
 LSH = (
-    SIGNATURES
+    PAIRS
+    + SIGNATURES.removeprefix(SHINGLES)
     + f""",
-signed AS (SELECT signature, min(doc_id) AS rep FROM signatures GROUP BY signature),
+signed AS (SELECT rep, signature FROM reps JOIN signatures ON doc_id = rep),
 banded AS (SELECT rep, k || '-' || array_to_string(signature[k * {ROWS} + 1 : k * {ROWS} + {ROWS}], '-') AS band FROM (SELECT rep, signature, unnest(range(0, {BANDS})) AS k FROM signed)),
 candidates AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM banded x JOIN banded y ON x.band = y.band AND x.rep < y.rep)"""
 )
@@ -73,13 +76,17 @@ sold AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity::BIGINT):
 best AS (SELECT src, arg_max(dst, quantity * 1000 + dst) AS dst FROM sold GROUP BY src)
 """.strip()
 TAGS = "tags AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS family, url, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) AS tags FROM pages)"
+#: The least similar pair of distinct sets of each family; a family that is one set's copies has that set alone.
 FLOORS = (
-    PAIRS
+    families_of(ALL_PAIRS, "(SELECT * FROM pairs WHERE jaccard >= 0.4)")
     + ", limits(metric, threshold) AS (VALUES "
     + ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in DEFAULT_THRESHOLDS.items())
     + """),
-valued AS (SELECT lang, metric, threshold, CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END AS value FROM pairs JOIN documents ON doc_id = a, limits),
-floors AS (SELECT lang, metric, min(value) AS floor, min(value) - any_value(threshold) AS margin FROM valued GROUP BY lang, metric)"""
+within AS (SELECT x.family, x.rep AS a, y.rep AS b FROM named x JOIN named y ON x.family = y.family AND x.rep < y.rep),
+measured AS (SELECT w.family, coalesce(jaccard, 0) AS jaccard, coalesce(cosine, 0) AS cosine, coalesce(overlap, 0) AS overlap, coalesce(dice, 0) AS dice FROM within w LEFT JOIN pairs p ON p.a = w.a AND p.b = w.b
+  UNION ALL SELECT family, 1, 1, 1, 1 FROM named GROUP BY family HAVING count(*) = 1),
+valued AS (SELECT family, metric, threshold, CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END AS value FROM measured, limits),
+floors AS (SELECT family, metric, min(value) AS floor, min(value) - any_value(threshold) AS margin FROM valued GROUP BY family, metric)"""
 )
 _HIGH, _LOW = "('0x' || substr(md5(shingle), 1, 8))::BIGINT", "('0x' || substr(md5(shingle), 9, 8))::BIGINT"
 SIMHASHES = f""",
@@ -106,10 +113,10 @@ SELECT a, b, round(shared / (n_a + n_b - shared), 6) AS similarity FROM verified
     "twin_families": f"WITH RECURSIVE {FAMILIES} SELECT doc_id, family FROM families",
     "largest_family": f"WITH RECURSIVE {FAMILIES}, sizes AS (SELECT family, count(*) AS size FROM families GROUP BY family ORDER BY size DESC, family LIMIT 1) SELECT doc_id, family, size FROM families JOIN sizes USING (family)",
     "metric_families": "WITH RECURSIVE "
-    + PAIRS
-    + "".join(f", {m}_edges AS (SELECT a, b FROM pairs WHERE {m} >= {t}), {components(f'{m}_edges', m + '_')}" for m, t in DEFAULT_THRESHOLDS.items())
+    + ALL_PAIRS
+    + "".join(families_of("", f"(SELECT a, b FROM pairs WHERE {m} >= {t})", f"{m}_") for m, t in DEFAULT_THRESHOLDS.items())
     + " "
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, node, family FROM {m}_labels" for m in DEFAULT_THRESHOLDS),
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, doc_id AS node, family FROM sets JOIN reps USING (set_key) JOIN {m}_named USING (rep)" for m in DEFAULT_THRESHOLDS),
     "family_consensus": f"""WITH {TAGS}, members AS (SELECT family, page_id AS unit_id, array_to_string(tags, '>') AS root_key, len(tags) AS n_nodes, url FROM tags),
 groups AS (SELECT family, root_key, count(*) AS size, min(n_nodes) AS n_nodes, arg_min(unit_id, (url, unit_id)) AS first_unit, min((url, unit_id)) AS place FROM members GROUP BY family, root_key),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY size DESC, n_nodes, place) AS r FROM groups)
@@ -148,9 +155,11 @@ FROM ranked WHERE r <= {SHOWN} GROUP BY source""",
     "eval_recall_fp": """WITH r AS (SELECT quality = 1 AS control, (text LIKE '%!!%' OR text LIKE '%|%')::INTEGER AS hit FROM labels JOIN documents USING (doc_id)),
 s AS (SELECT sum((NOT control)::INTEGER)::BIGINT AS traps, sum((NOT control AND hit > 0)::INTEGER)::BIGINT AS true_positives, sum(control::INTEGER)::BIGINT AS controls, sum(CASE WHEN control THEN hit ELSE 0 END)::BIGINT AS control_fp FROM r)
 SELECT 'surface' AS layer, *, round(100.0::DOUBLE * true_positives / traps, 6) AS recall_pct, round(control_fp / controls, 6) AS fp_per_control, 100.0 * true_positives / traps >= 40 AND control_fp / controls <= 0.15 AS passed FROM s""",
-    "threshold_sweep": f"""WITH {PAIRS}, scored AS (SELECT jaccard, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER AS same FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b),
+    "threshold_sweep": f"""WITH {ALL_PAIRS}, classed AS (SELECT doc_id, rep, lang FROM sets JOIN reps USING (set_key) JOIN documents USING (doc_id)),
+scored AS (SELECT jaccard, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER AS same FROM pairs JOIN classed x ON x.rep = a JOIN classed y ON y.rep = b WHERE jaccard >= 0.2
+  UNION ALL SELECT 1.0, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER FROM classed x JOIN classed y ON x.rep = y.rep AND x.doc_id < y.doc_id),
 grid AS (SELECT unnest(range(20, 99, 2)) AS threshold)
 SELECT threshold, count(jaccard) AS kept, coalesce(sum(same), 0)::BIGINT AS positives, (count(jaccard) - coalesce(sum(same), 0))::BIGINT AS negatives FROM grid LEFT JOIN scored ON floor(round(jaccard * 100, 6)) >= threshold GROUP BY threshold""",
-    "metric_floor": f"WITH {FLOORS} SELECT lang, metric, round(floor, 6) AS floor, round(margin, 6) AS margin FROM floors",
-    "metric_rescue": f"WITH {FLOORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY margin DESC, metric DESC) AS r FROM floors) SELECT lang, metric, round(margin, 6) AS margin FROM ranked WHERE r = 1 AND margin >= 0",
+    "metric_floor": f"WITH RECURSIVE {FLOORS} SELECT family, metric, round(floor, 6) AS floor, round(margin, 6) AS margin FROM floors",
+    "metric_rescue": f"WITH RECURSIVE {FLOORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY margin DESC, metric DESC) AS r FROM floors) SELECT family, metric, round(margin, 6) AS margin FROM ranked WHERE r = 1 AND margin >= 0",
 }

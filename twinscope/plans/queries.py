@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
-from twinscope.functions.text import exploded_shingles, let, word_shingles
+from twinscope.functions.text import let, word_shingles
 from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
 from twinscope.operators.storage import cut
 from twinscope.operators.verdicts import characterise
@@ -23,16 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded_shingles(table(spark, sf_dir, "documents"))
-
-
 def document_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of word shingles; documents of fewer than three words have the empty set."""
     return pairs.text_sets(table(spark, sf_dir, "documents"))
 
 
 def document_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.4) -> DataFrame:
-    return pairs.jaccard_pairs(pairs.hashed_sets(shingled(spark, sf_dir)), threshold)
+    return pairs.jaccard_pairs(document_sets(spark, sf_dir), threshold)
+
+
+def paired(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """doc_id and shingles of the documents in pairs (a, b), so that no other is sketched or shuffled."""
+    named = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = table(spark, sf_dir, "documents").join(named, "doc_id", "left_semi")
+    return docs.select("doc_id", word_shingles(F.col("text")).alias("shingles"))
+
+
+def both_sides(found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """a, b and the columns of either, with a_ and b_ in front."""
+    side = lambda x: rows.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    return found.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
 
 def shingle_counts(spark, sf_dir):
@@ -45,7 +55,8 @@ def jaccard_pairs(spark, sf_dir):
 
 
 def shingle_classes(spark, sf_dir):
-    return pairs.class_members(pairs.hashed_sets(shingled(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+    """The class of each document; all documents of fewer than three words are one class."""
+    return pairs.class_members(document_sets(spark, sf_dir)).withColumnRenamed("key", "doc_id")
 
 
 def pair_metrics(spark, sf_dir):
@@ -54,46 +65,53 @@ def pair_metrics(spark, sf_dir):
 
 
 def pair_residual(spark, sf_dir):
-    sets = pairs.hashed_sets(shingled(spark, sf_dir))
-    one, two = sets.select(F.col("key").alias("a"), F.col("items").alias("ia")), sets.select(F.col("key").alias("b"), F.col("items").alias("ib"))
-    found = document_pairs(spark, sf_dir).select("a", "b").join(one, "a").join(two, "b").withColumn("r", metrics.residual(F.col("ia"), F.col("ib")))
-    return found.select("a", "b", F.size("r.only_a").cast("long").alias("only_a"), F.size("r.only_b").cast("long").alias("only_b"), F.col("r.shared").cast("long").alias("shared"))
+    found = cut(document_pairs(spark, sf_dir).select("a", "b"))
+    both = both_sides(found, paired(spark, sf_dir, found), "shingles").withColumn("r", metrics.residual(F.col("a_shingles"), F.col("b_shingles")))
+    return both.select("a", "b", F.size("r.only_a").cast("long").alias("only_a"), F.size("r.only_b").cast("long").alias("only_b"), F.col("r.shared").cast("long").alias("shared"))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, signature of documents (doc_id, shingles)."""
+    return sketches.signatures(docs.select("doc_id", sketches.hashes32(F.col("shingles")).alias("hashes")), "doc_id")
 
 
 def minhash_signature(spark, sf_dir):
-    signed = sketches.signatures(shingled(spark, sf_dir), "doc_id", "shingle")
-    return signed.select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    """Of documents of fewer than three words the largest number throughout."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", word_shingles(F.col("text")).alias("shingles"))
+    return signed(docs).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 def minhash_estimate(spark, sf_dir):
-    signed = sketches.signatures(shingled(spark, sf_dir), "doc_id", "shingle")
-    one, two = signed.select(F.col("doc_id").alias("a"), F.col("signature").alias("x")), signed.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
-    return document_pairs(spark, sf_dir).select("a", "b").join(one, "a").join(two, "b").select("a", "b", F.round(sketches.estimate(F.col("x"), F.col("y")), 6).alias("estimate"))
+    found = cut(document_pairs(spark, sf_dir).select("a", "b"))
+    both = both_sides(found, signed(paired(spark, sf_dir, found)), "signature")
+    return both.select("a", "b", F.round(sketches.estimate(F.col("a_signature"), F.col("b_signature")), 6).alias("estimate"))
 
 
 def lsh_candidates(spark, sf_dir):
-    return pairs.lsh_pairs(shingled(spark, sf_dir))
+    return pairs.lsh_pairs(pairs.hashed_classes(table(spark, sf_dir, "documents")))
 
 
 def twin_pairs(spark, sf_dir):
     """Pairs of representatives of equal sets; shingle_classes has the members of each."""
-    found = pairs.twin_pairs(shingled(spark, sf_dir))
+    found = pairs.twin_pairs(cut(pairs.hashed_classes(table(spark, sf_dir, "documents"))))
     return found.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def simhash_hamming(spark, sf_dir):
-    hashed = sketches.simhashes(shingled(spark, sf_dir), "doc_id", "shingle")
-    one, two = hashed.select(F.col("doc_id").alias("a"), F.col("simhash").alias("x"), F.col("n_items").alias("n")), hashed.select(F.col("doc_id").alias("b"), F.col("simhash").alias("y"), F.col("n_items").alias("m"))
-    both = document_pairs(spark, sf_dir).select("a", "b").join(one, "a").join(two, "b")
-    return both.select("a", "b", metrics.hamming(F.col("x"), F.col("y")).cast("long").alias("hamming"), F.round(metrics.simhash_similarity(F.col("x"), F.col("y"), F.col("n"), F.col("m")), 6).alias("similarity"))
+    found = cut(document_pairs(spark, sf_dir).select("a", "b"))
+    hashed = sketches.simhashes(paired(spark, sf_dir, found).select("doc_id", sketches.hashes64(F.col("shingles")).alias("hashes")), "doc_id")
+    both = both_sides(found, hashed, "simhash", "n_items")
+    x, y, n, m = (F.col(c) for c in ("a_simhash", "b_simhash", "a_n_items", "b_n_items"))
+    return both.select("a", "b", metrics.hamming(x, y).cast("long").alias("hamming"), F.round(metrics.simhash_similarity(x, y, n, m), 6).alias("similarity"))
 
 
 def twin_families(spark, sf_dir):
-    return families.families_of_sets(pairs.hashed_sets(shingled(spark, sf_dir))).select(F.col("node").alias("doc_id"), "family")
+    """Documents of fewer than three words are a family, since empty sets have similarity 1."""
+    return families.families_of_sets(document_sets(spark, sf_dir)).select(F.col("node").alias("doc_id"), "family")
 
 
 def largest_family(spark, sf_dir):
-    found = families.families_of_sets(pairs.hashed_sets(shingled(spark, sf_dir)))
+    found = families.families_of_sets(document_sets(spark, sf_dir))
     return graph.twin_family(found).select(F.col("node").alias("doc_id"), "family", "size")
 
 
@@ -222,12 +240,12 @@ def eval_recall_fp(spark, sf_dir):
 def threshold_sweep(spark, sf_dir):
     """Pairs of documents, copies included, that reach each threshold, and how many of them are of one language."""
     sets = document_sets(spark, sf_dir)
-    reps = cut(pairs.set_classes(sets).where("n > 0"))
+    reps = cut(pairs.set_classes(sets))
     lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang")
     # copies are counted, never paired: a class is its number of members of each language
     tally = cut(pairs.class_members(sets, reps).join(lang, "key").groupBy("rep", "lang").agg(F.count("*").alias("m")).withColumn("lang", F.struct("lang")))
     one, two = tally.select(F.col("rep").alias("a"), "lang", F.col("m").alias("ma")), tally.select(F.col("rep").alias("b"), "lang", F.col("m").alias("mb"))
-    found = pairs.class_pairs(reps, 0.2).select("a", "b", "similarity", (F.col("members_a") * F.col("members_b")).alias("pairs"))
+    found = pairs.class_pairs(reps.where("n > 0"), 0.2).select("a", "b", "similarity", (F.col("members_a") * F.col("members_b")).alias("pairs"))
     same = found.join(one, "a").join(two, ["b", "lang"]).groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("same"))
     between = found.join(same, ["a", "b"], "left").select("similarity", "pairs", F.coalesce("same", F.lit(0)).alias("positives"))
     inside = tally.groupBy("rep").agg(F.sum("m").alias("m"), F.sum(F.expr("m * (m - 1) div 2")).alias("positives")).where("m > 1")
@@ -237,8 +255,8 @@ def threshold_sweep(spark, sf_dir):
 
 def floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """metric_floors of all pairs of distinct sets of each twin family, however far apart; a family of copies only has its own set."""
-    reps = cut(pairs.set_classes(document_sets(spark, sf_dir)).where("n > 0"))
-    family = graph.components(pairs.class_pairs(reps, families.THRESHOLD))
+    reps = cut(pairs.set_classes(document_sets(spark, sf_dir)))
+    family = graph.components(pairs.class_pairs(reps.where("n > 0"), families.THRESHOLD))
     placed = reps.join(family, reps.rep == family.node).select("family", "rep", "items")
     sizes = F.size("ia"), F.size("ib"), F.size(F.array_intersect("ia", "ib"))
     copies = reps.where("members > 1").join(family, reps.rep == family.node, "left_anti").select(F.col("rep").alias("family"), F.col("items").alias("ia"), F.col("items").alias("ib"))
