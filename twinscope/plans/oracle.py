@@ -5,6 +5,7 @@ from __future__ import annotations
 from twinscope.functions.sketches import BANDS, HASHES, coefficients
 from twinscope.operators.evaluate import DEFAULT_THRESHOLDS
 from twinscope.operators.report import INTRO, SHOWN
+from twinscope.plans.examples import CALLS_OF_CODE, VERDICTS_OF_CODE, nodes_of_code
 
 #: doc_id, shingle: distinct runs of three words.
 SHINGLES = r"""
@@ -88,6 +89,24 @@ measured AS (SELECT w.family, coalesce(jaccard, 0) AS jaccard, coalesce(cosine,
 valued AS (SELECT family, metric, threshold, CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END AS value FROM measured, limits),
 floors AS (SELECT family, metric, min(value) AS floor, min(value) - any_value(threshold) AS margin FROM valued GROUP BY family, metric)"""
 )
+#: found, n_true and matched of each case. A finding is one line and truth entries don't touch, so a truth entry that has findings is matched once.
+CASES = """
+found AS (SELECT doc_id AS case_id, k AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k FROM documents) WHERE ls[k] LIKE '%!!%' OR ls[k] LIKE '%|%'),
+true_at AS (SELECT doc_id AS case_id, unnest([1, 4]) AS first_line FROM labels JOIN documents USING (doc_id) WHERE quality = 0),
+hit AS (SELECT case_id, count(DISTINCT first_line) AS matched FROM found JOIN true_at USING (case_id) WHERE line BETWEEN first_line AND first_line + 2 GROUP BY case_id),
+counted AS (SELECT case_id, coalesce(f.n, 0) AS found, coalesce(t.n, 0) AS n_true, coalesce(matched, 0) AS matched
+  FROM (SELECT case_id, count(*) AS n FROM found GROUP BY case_id) f FULL JOIN (SELECT case_id, count(*) AS n FROM true_at GROUP BY case_id) t USING (case_id) LEFT JOIN hit USING (case_id))
+""".strip()
+#: Of each pair and metric its value and verdict.
+VERDICTS = (
+    SETS.replace("{threshold}", "0.3")
+    + ", limits(metric, threshold) AS (VALUES "
+    + ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in DEFAULT_THRESHOLDS.items())
+    + """),
+rated AS (SELECT metric, a || '-' || b AS case_id, x.source IS NOT DISTINCT FROM y.source AS is_control, threshold, round(CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END, 6) AS value
+  FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b, limits),
+verdicts AS (SELECT *, CASE WHEN value >= threshold THEN 'flag' WHEN value >= round(threshold - 0.1, 6) THEN 'escalate' ELSE 'ignore' END AS verdict FROM rated)"""
+)
 _HIGH, _LOW = "('0x' || substr(md5(shingle), 1, 8))::BIGINT", "('0x' || substr(md5(shingle), 9, 8))::BIGINT"
 SIMHASHES = f""",
 halves AS (SELECT doc_id, {_LOW} AS low, {_HIGH} AS high FROM shingles),
@@ -146,15 +165,23 @@ SELECT target, file FROM near WHERE r <= 30""",
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM lines)
 SELECT '/corpus/' || source AS file, any_value(n) AS n_findings, chr(10) || '<twinscope>' || chr(10) || '{INTRO}' || chr(10) || string_agg(line, chr(10) ORDER BY r) || CASE WHEN any_value(n) > {SHOWN} THEN chr(10) || '  (... ' || (any_value(n) - {SHOWN}) || ' more findings)' ELSE '' END || chr(10) || '</twinscope>' AS warning
 FROM ranked WHERE r <= {SHOWN} GROUP BY source""",
-    "call_edges": f"WITH {NATIONS} SELECT src, dst FROM sold WHERE quantity >= 100",
+    "call_edges": f"WITH {NATIONS} SELECT src, dst FROM sold",
     "external_targets": f"WITH {NATIONS} SELECT src AS unit_id, n_name AS label FROM sold JOIN nation ON n_nationkey = dst WHERE n_regionkey = 0",
     "reachable": f"WITH RECURSIVE {NATIONS}, walk AS (SELECT n_nationkey AS start, n_nationkey AS node, 0 AS hops FROM nation UNION SELECT w.start, b.dst, w.hops + 1 FROM walk w JOIN best b ON b.src = w.node WHERE w.hops < 26) "
     "SELECT start, node, min(hops)::BIGINT AS hops FROM walk WHERE node <> start GROUP BY start, node",
     "neighbour_names": f"WITH {NATIONS} SELECT n_nationkey AS unit_id, coalesce((SELECT string_agg(m.n_name, ',' ORDER BY m.n_name) FROM best JOIN nation m ON m.n_nationkey = src WHERE dst = n.n_nationkey), '') AS callers, "
     "coalesce((SELECT string_agg(m.n_name, ',' ORDER BY m.n_name) FROM best JOIN nation m ON m.n_nationkey = dst WHERE src = n.n_nationkey), '') AS callees FROM nation n",
-    "eval_recall_fp": """WITH r AS (SELECT quality = 1 AS control, (text LIKE '%!!%' OR text LIKE '%|%')::INTEGER AS hit FROM labels JOIN documents USING (doc_id)),
-s AS (SELECT sum((NOT control)::INTEGER)::BIGINT AS traps, sum((NOT control AND hit > 0)::INTEGER)::BIGINT AS true_positives, sum(control::INTEGER)::BIGINT AS controls, sum(CASE WHEN control THEN hit ELSE 0 END)::BIGINT AS control_fp FROM r)
+    "matched_cases": f"WITH {CASES} SELECT case_id, found, matched, n_true - matched AS missed, found - matched AS false_positives FROM counted",
+    "eval_recall_fp": f"""WITH {CASES}, r AS (SELECT quality = 1 AS control, coalesce(matched, 0) AS matched, coalesce(found - matched, 0) AS fp FROM labels JOIN documents USING (doc_id) LEFT JOIN counted ON case_id = doc_id),
+s AS (SELECT sum((NOT control)::INTEGER)::BIGINT AS traps, sum((NOT control AND matched > 0)::INTEGER)::BIGINT AS true_positives, sum(control::INTEGER)::BIGINT AS controls, sum(CASE WHEN control THEN fp ELSE 0 END)::BIGINT AS control_fp FROM r)
 SELECT 'surface' AS layer, *, round(100.0::DOUBLE * true_positives / traps, 6) AS recall_pct, round(control_fp / controls, 6) AS fp_per_control, 100.0 * true_positives / traps >= 40 AND control_fp / controls <= 0.15 AS passed FROM s""",
+    "best_threshold": f"WITH swept AS ({{threshold_sweep}}) SELECT threshold, kept, positives, negatives FROM swept WHERE negatives = 0 ORDER BY positives DESC, threshold LIMIT 1",
+    "best_setting": f"""WITH {VERDICTS}, counts AS (SELECT metric, g AS threshold, sum((NOT is_control)::INTEGER)::BIGINT AS flags, sum(is_control::INTEGER)::BIGINT AS escalations, sum((value < 0.95)::INTEGER)::BIGINT AS unknown_fp
+  FROM verdicts, (SELECT unnest(range(20, 99, 2))::INTEGER AS g) WHERE floor(round(value * 100, 6)) >= g GROUP BY metric, g),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY flags DESC, escalations DESC, threshold) AS r FROM counts WHERE unknown_fp = 0)
+SELECT metric, threshold, flags, escalations, unknown_fp FROM ranked WHERE r = 1""",
+    "verdict_tally": f"WITH {VERDICTS} SELECT metric, is_control, count(*) FILTER (verdict = 'flag') AS flag, count(*) FILTER (verdict = 'escalate') AS escalate, count(*) FILTER (verdict = 'ignore') AS ignore FROM verdicts GROUP BY metric, is_control",
+    "verdict_changes": f"WITH {VERDICTS} SELECT v.metric, v.case_id, b.verdict AS was, v.verdict AS now FROM verdicts v JOIN verdicts b ON b.case_id = v.case_id AND b.metric = 'jaccard' WHERE v.metric <> 'jaccard' AND v.verdict <> b.verdict",
     "threshold_sweep": f"""WITH {ALL_PAIRS}, classed AS (SELECT doc_id, rep, lang FROM sets JOIN reps USING (set_key) JOIN documents USING (doc_id)),
 scored AS (SELECT jaccard, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER AS same FROM pairs JOIN classed x ON x.rep = a JOIN classed y ON y.rep = b WHERE jaccard >= 0.2
   UNION ALL SELECT 1.0, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER FROM classed x JOIN classed y ON x.rep = y.rep AND x.doc_id < y.doc_id),
@@ -163,3 +190,22 @@ SELECT threshold, count(jaccard) AS kept, coalesce(sum(same), 0)::BIGINT AS posi
     "metric_floor": f"WITH RECURSIVE {FLOORS} SELECT family, metric, round(floor, 6) AS floor, round(margin, 6) AS margin FROM floors",
     "metric_rescue": f"WITH RECURSIVE {FLOORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY margin DESC, metric DESC) AS r FROM floors) SELECT family, metric, round(margin, 6) AS margin FROM ranked WHERE r = 1 AND margin >= 0",
 }
+ORACLE_SQL["best_threshold"] = ORACLE_SQL["best_threshold"].replace("{threshold_sweep}", ORACLE_SQL["threshold_sweep"])
+
+
+def expected(columns: str, rows: list[tuple]) -> str:
+    """A table of literal rows, as they follow from the norm by hand."""
+    def literal(x: object) -> str:
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({columns})"
+
+
+ORACLE_SQL["verdicts_code"] = expected("family, n_units, verdict, confidence, shape, summary", VERDICTS_OF_CODE)
+ORACLE_SQL["code_calls"] = expected("file, label", CALLS_OF_CODE)
+ORACLE_SQL["code_shapes"] = f"""WITH nodes AS ({expected("file, pre, depth, kind", nodes_of_code())}),
+placed AS (SELECT n.*, (SELECT max(p.pre) FROM nodes p WHERE p.file = n.file AND p.pre < n.pre AND p.depth = n.depth - 1) AS parent FROM nodes n),
+grams AS (SELECT a.file, count(DISTINCT a.kind || '>' || b.kind || '>' || c.kind) AS n_trigrams FROM nodes a JOIN nodes b ON b.file = a.file AND b.pre = a.pre + 1 JOIN nodes c ON c.file = a.file AND c.pre = a.pre + 2 GROUP BY a.file),
+trees AS (SELECT file, count(DISTINCT shape) AS n_subtrees FROM (SELECT n.file, n.pre, any_value(n.kind) || '(' || coalesce(string_agg(c.kind, ',' ORDER BY c.pre), '') || ')' AS shape
+  FROM nodes n LEFT JOIN placed c ON c.file = n.file AND c.parent = n.pre GROUP BY n.file, n.pre) GROUP BY file)
+SELECT file, count(*) AS n_nodes, any_value(n_trigrams) AS n_trigrams, any_value(n_subtrees) AS n_subtrees FROM nodes JOIN grams USING (file) JOIN trees USING (file) GROUP BY file"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
-from twinscope.functions.text import let, word_shingles
+from twinscope.functions.text import word_shingles
 from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
 from twinscope.operators.storage import cut
 from twinscope.operators.verdicts import characterise
@@ -140,9 +140,9 @@ def label_divergence(spark, sf_dir):
 
 
 def tree_trigrams(spark, sf_dir):
-    tags = tag_units(spark, sf_dir).where("n_nodes >= 3")
-    grams = let(F.col("tags"), lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.array_join(F.slice(t, i, 3), ">")))
-    return tags.select(F.col("unit_id").alias("page_id"), F.size(F.array_distinct(grams)).cast("long").alias("n_trigrams"))
+    """Of pages as trees whose pre-order is their sequence of opening tags."""
+    tags = tag_units(spark, sf_dir).select(F.col("unit_id").alias("page_id"), F.transform("tags", lambda t: F.struct(t.alias("kind"))).alias("nodes"))
+    return units.trigram_shingles(tags, "page_id").groupBy("page_id").agg(F.count("*").alias("n_trigrams"))
 
 
 def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_edges(spark, sf_dir):
-    targets = nation_edges(spark, sf_dir).where("quantity >= 100").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("label")), "dst").select(F.col("src").alias("unit_id"), "label")
+    targets = nation_edges(spark, sf_dir).join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("label")), "dst").select(F.col("src").alias("unit_id"), "label")
     named = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit_id"), F.col("n_name").alias("name"))
     return calls.call_edges(targets, named)
 
@@ -230,13 +230,67 @@ def neighbour_names(spark, sf_dir):
     return calls.neighbours(best, named).select("unit_id", F.array_join("callers", ",").alias("callers"), F.array_join("callees", ",").alias("callees"))
 
 
-def eval_recall_fp(spark, sf_dir):
+def surface_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with shouting or a table bar, as findings: a case is a document, its file the source."""
     docs = table(spark, sf_dir, "documents")
-    hit = (F.col("text").contains(SHOUTING) | F.col("text").contains(TABLE)).cast("int")
-    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select((F.col("quality") == 1).alias("is_control"), F.lit("core").alias("tier"), hit.alias("matched"), hit.alias("false_positives"))
+    lines = docs.select(F.col("doc_id").alias("case_id"), F.col("source").alias("file"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
+    return lines.where(F.col("line").contains(SHOUTING) | F.col("line").contains(TABLE)).select("case_id", "file", (F.col("at") + 1).alias("start_line"), (F.col("at") + 1).alias("end_line"))
+
+
+def truth_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bad documents, each with two truth entries: the first three lines and the next three."""
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("case_id")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("source").alias("file")), "case_id")
+    return bad.select("case_id", "file", F.explode(F.array(F.lit(1), F.lit(4))).alias("start_line")).withColumn("end_line", F.col("start_line") + 2)
+
+
+def matched_cases(spark, sf_dir):
+    """Findings on the lines of documents against truth entries, greedily one to one."""
+    counted = evaluate.match_cases(surface_findings(spark, sf_dir), truth_entries(spark, sf_dir))
+    return counted.select(*[F.col(c).cast("long").alias(c) for c in counted.columns])
+
+
+def eval_recall_fp(spark, sf_dir):
+    cases = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select(F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("is_control"), F.lit("core").alias("tier"))
+    counted = evaluate.match_cases(surface_findings(spark, sf_dir), truth_entries(spark, sf_dir)).select("case_id", "matched", "false_positives")
+    rows = cases.join(counted, "case_id", "left").fillna(0, ["matched", "false_positives"])
     return evaluate.layer_stats(rows, "surface", 40.0, 0.15).withColumn("recall_pct", F.round("recall_pct", 6)).withColumn("fp_per_control", F.round("fp_per_control", 6))
 
 
+def metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metric, case_id, is_control, verdict: of each pair by each metric, flag at its threshold, escalate from a tenth below; pairs of one source are controls."""
+    found = cut(document_pairs(spark, sf_dir, 0.3))
+    source = table(spark, sf_dir, "documents").select("doc_id", "source")
+    both = found.join(source.select(F.col("doc_id").alias("a"), F.col("source").alias("sa")), "a").join(source.select(F.col("doc_id").alias("b"), F.col("source").alias("sb")), "b")
+    sizes = F.col("n_a"), F.col("n_b"), F.col("shared")
+    told = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(f(*sizes), 6).alias("value"), F.lit(evaluate.DEFAULT_THRESHOLDS[m]).alias("t")) for m, f in metrics.METRICS.items()])
+    rows = both.select(F.concat_ws("-", "a", "b").alias("case_id"), F.col("sa").eqNullSafe(F.col("sb")).alias("is_control"), F.explode(told).alias("x")).select("case_id", "is_control", "x.*")
+    verdict = F.when(F.col("value") >= F.col("t"), "flag").when(F.col("value") >= F.round(F.col("t") - 0.1, 6), "escalate").otherwise("ignore")
+    return rows.select("metric", "case_id", "is_control", verdict.alias("verdict"), "value")
+
+
+def verdict_tally(spark, sf_dir):
+    return evaluate.verdict_tally(metric_verdicts(spark, sf_dir))
+
+
+def verdict_changes(spark, sf_dir):
+    return evaluate.verdict_changes(metric_verdicts(spark, sf_dir))
+
+
+def best_threshold(spark, sf_dir):
+    """The threshold of the sweep that keeps most pairs of one language and none of two."""
+    return evaluate.best_threshold(threshold_sweep(spark, sf_dir))
+
+
+def best_setting(spark, sf_dir):
+    """Of each metric the threshold that flags most pairs of different sources, then escalates most of one source, with no pair below 0.95 of the metric kept."""
+    grid = spark.range(20, 99, 2).select(F.col("id").cast("int").alias("threshold"))
+    value = metric_verdicts(spark, sf_dir).withColumn("hundredths", F.floor(F.round(F.col("value") * 100, 6)))
+    binned = value.groupBy("metric", "hundredths", "is_control").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0.95).alias("low"))
+    kept = binned.join(F.broadcast(grid), F.col("hundredths") >= F.col("threshold"))  # at most a hundred bins a metric meet forty thresholds
+    counts = kept.groupBy("metric", "threshold").agg(F.sum(F.when(~F.col("is_control"), F.col("n")).otherwise(0)).alias("flags"), F.sum(F.when(F.col("is_control"), F.col("n")).otherwise(0)).alias("escalations"), F.sum("low").alias("unknown_fp"))
+    return evaluate.best_setting(counts)
+
+
 def threshold_sweep(spark, sf_dir):
     """Pairs of documents, copies included, that reach each threshold, and how many of them are of one language."""
     sets = document_sets(spark, sf_dir)
@@ -274,16 +328,35 @@ def metric_rescue(spark, sf_dir):
 
 def verdicts_code(spark, sf_dir):
     """Verdicts on the example families of twinscope.plans.examples; no table has source code."""
-    found = units.build_units(spark.createDataFrame(CODE, "family string, file string, language string, text string"))
+    found = cut(code_units(spark))
     placed = spark.createDataFrame([(f, path) for f, path, _, _ in CODE], "family string, file string").join(found.select("file", "unit_id"), "file").select("family", "unit_id")
     return characterise(placed, found).select("family", "n_units", "verdict", "confidence", "shape", "summary")
 
 
+def code_units(spark: SparkSession) -> DataFrame:
+    return units.build_units(spark.createDataFrame(CODE, "family string, file string, language string, text string"))
+
+
+def code_shapes(spark, sf_dir):
+    """Nodes, distinct trigrams and subtree shingles of each example function."""
+    found = cut(code_units(spark))
+    grams = units.trigram_shingles(found, "file").groupBy("file").agg(F.count("*").alias("n_trigrams"))
+    trees = units.subtree_shingles(found, "file").groupBy("file").agg(F.count("*").alias("n_subtrees"))
+    return found.select("file", F.col("n_nodes").cast("long").alias("n_nodes")).join(grams, "file").join(trees, "file")
+
+
+def code_calls(spark, sf_dir):
+    """What each example function calls."""
+    found = cut(code_units(spark))
+    return calls.call_targets(found, "file")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         shingle_counts, jaccard_pairs, shingle_classes, pair_metrics, pair_residual, minhash_signature, minhash_estimate, lsh_candidates, twin_pairs, simhash_hamming, twin_families, largest_family,
         metric_families, family_consensus, label_divergence, tree_trigrams, tree_subtrees, page_families, import_path_scan, sort_asymmetry, sibling_pool, basename_pool, findings_topk, call_edges,
-        external_targets, reachable, neighbour_names, eval_recall_fp, threshold_sweep, metric_floor, metric_rescue, verdicts_code,
+        external_targets, reachable, neighbour_names, matched_cases, eval_recall_fp, threshold_sweep, best_threshold, best_setting, verdict_tally, verdict_changes, metric_floor, metric_rescue, verdicts_code,
+        code_shapes, code_calls,
     )
 }
