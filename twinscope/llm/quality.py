@@ -74,6 +74,7 @@ def encode(raw: np.ndarray, offs: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     punct = PUNCT[raw]
     twice = punct.copy()
     twice[1:] &= punct[:-1]
+    twice[offs[:-1][np.diff(offs) > 0]] = False  # before a row stands another one
     mean = per_word(length)
     n_letters = np.maximum(1, counts(letters, cuts))
     return np.stack([

@@ -89,6 +89,8 @@ def tallies(raw: np.ndarray, offs: np.ndarray, lex: Lexicons) -> np.ndarray:
     hidden = np.zeros(len(raw), bool)
     if len(raw) > 2:
         hidden[1:-1] = INNER[raw[1:-1]] & letters[:-2] & letters[2:]
+    full = np.diff(offs) > 0  # what stands beside a row's ends is another row
+    twice[offs[:-1][full]] = hidden[offs[:-1][full]] = hidden[offs[1:][full] - 1] = False
     masked = np.zeros(n)
     if hidden.any():  # words again, with the signs inside them read as letters
         plain = np.where(hidden, LEET[raw], raw)
