@@ -1,3 +1,28 @@
-"""twinscope: structural similarity and divergence analytics on Spark DataFrames."""
+"""twinscope: structural similarity and divergence analytics on Spark DataFrames.
 
-__version__ = "0.1.0"
+The names below are the public surface; modules have more.
+"""
+
+from twinscope.functions.imports import import_findings
+from twinscope.functions.metrics import METRICS, register_metric, residual
+from twinscope.functions.sketches import estimate, fnv1a32, signatures, simhashes
+from twinscope.operators.asymmetry import sort_findings
+from twinscope.operators.calls import call_edges, call_targets
+from twinscope.operators.diff import tree_diff
+from twinscope.operators.families import consensus, families_by_metric, label_divergence, pool_families, twin_families
+from twinscope.operators.flow import critical_path, flow
+from twinscope.operators.graph import components, reach
+from twinscope.operators.pairs import jaccard_pairs, lsh_pairs, metric_pairs, overlap_pairs, text_sets, twin_pairs
+from twinscope.operators.report import annotate, warnings
+from twinscope.operators.units import build_units, register_language, shingles
+from twinscope.operators.verdicts import characterise, escalations, findings, resolve
+from twinscope.sources.corpus import SUPPORTED, cross_file_siblings, package_roots, read_cases, read_files, siblings
+from twinscope.streaming.watch import analyse, analyse_targets, update_units, watch, watch_events
+
+__version__ = "0.2.0"
+__all__ = [
+    "METRICS", "SUPPORTED", "analyse", "analyse_targets", "annotate", "build_units", "call_edges", "call_targets", "characterise", "components", "consensus", "critical_path", "cross_file_siblings", "escalations",
+    "estimate", "families_by_metric", "findings", "flow", "fnv1a32", "import_findings", "jaccard_pairs", "label_divergence", "lsh_pairs", "metric_pairs", "overlap_pairs", "package_roots", "pool_families", "reach",
+    "read_cases", "read_files", "register_language", "register_metric", "residual", "resolve", "shingles", "siblings", "signatures", "simhashes", "sort_findings", "text_sets", "tree_diff", "twin_families", "twin_pairs",
+    "update_units", "warnings", "watch", "watch_events",
+]

@@ -32,6 +32,11 @@ def dice(n_a: Column, n_b: Column, both: Column) -> Column:
 METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {"jaccard": jaccard, "cosine": cosine, "overlap": overlap, "dice": dice}
 
 
+def register_metric(name: str, metric: Callable[[Column, Column, Column], Column]) -> None:
+    """Adds a metric: a column of the sizes of two sets and of their intersection."""
+    METRICS[name] = metric
+
+
 def of_arrays(name: str, a: Column, b: Column) -> Column:
     """A metric of two arrays of distinct items."""
     return METRICS[name](F.size(a), F.size(b), F.size(F.array_intersect(a, b)))

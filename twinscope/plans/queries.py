@@ -221,7 +221,7 @@ def external_targets(spark, sf_dir):
 def reachable(spark, sf_dir):
     best = nation_edges(spark, sf_dir).groupBy("src").agg(F.max_by("dst", F.struct("quantity", "dst")).alias("dst"))
     starts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("start"))
-    return graph.reach(best, starts).where("node <> start").select("start", "node", F.col("hops").cast("long").alias("hops"))
+    return graph.reach(best, starts, paths=False).where("node <> start").select("start", "node", F.col("hops").cast("long").alias("hops"))
 
 
 def neighbour_names(spark, sf_dir):
