@@ -1,28 +1,38 @@
 """twinscope: structural similarity and divergence analytics on Spark DataFrames.
 
-The names below are the public surface; modules have more.
+The names in PUBLIC are the public surface; modules have more. They are imported when first asked for, so that
+a Python worker loads only the module that its task needs.
 """
 
-from twinscope.functions.imports import import_findings
-from twinscope.functions.metrics import METRICS, register_metric, residual
-from twinscope.functions.sketches import estimate, fnv1a32, signatures, simhashes
-from twinscope.operators.asymmetry import sort_findings
-from twinscope.operators.calls import call_edges, call_targets
-from twinscope.operators.diff import tree_diff
-from twinscope.operators.families import consensus, families_by_metric, label_divergence, pool_families, twin_families
-from twinscope.operators.flow import critical_path, flow
-from twinscope.operators.graph import components, reach
-from twinscope.operators.pairs import jaccard_pairs, lsh_pairs, metric_pairs, overlap_pairs, text_sets, twin_pairs
-from twinscope.operators.report import annotate, warnings
-from twinscope.operators.units import build_units, register_language, shingles
-from twinscope.operators.verdicts import characterise, escalations, findings, resolve
-from twinscope.sources.corpus import SUPPORTED, cross_file_siblings, package_roots, read_cases, read_files, siblings
-from twinscope.streaming.watch import analyse, analyse_targets, update_units, watch, watch_events
+import importlib
 
 __version__ = "0.2.0"
-__all__ = [
-    "METRICS", "SUPPORTED", "analyse", "analyse_targets", "annotate", "build_units", "call_edges", "call_targets", "characterise", "components", "consensus", "critical_path", "cross_file_siblings", "escalations",
-    "estimate", "families_by_metric", "findings", "flow", "fnv1a32", "import_findings", "jaccard_pairs", "label_divergence", "lsh_pairs", "metric_pairs", "overlap_pairs", "package_roots", "pool_families", "reach",
-    "read_cases", "read_files", "register_language", "register_metric", "residual", "resolve", "shingles", "siblings", "signatures", "simhashes", "sort_findings", "text_sets", "tree_diff", "twin_families", "twin_pairs",
-    "update_units", "warnings", "watch", "watch_events",
-]
+PUBLIC = {
+    "twinscope.functions.imports": "import_findings",
+    "twinscope.functions.metrics": "METRICS register_metric residual",
+    "twinscope.functions.sketches": "estimate fnv1a32 signatures simhashes",
+    "twinscope.operators.asymmetry": "sort_findings",
+    "twinscope.operators.calls": "call_edges call_targets",
+    "twinscope.operators.diff": "tree_diff",
+    "twinscope.operators.families": "consensus families_by_metric label_divergence pool_families twin_families",
+    "twinscope.operators.flow": "critical_path flow",
+    "twinscope.operators.graph": "components reach",
+    "twinscope.operators.pairs": "jaccard_pairs lsh_pairs metric_pairs overlap_pairs text_sets twin_pairs",
+    "twinscope.operators.report": "annotate warnings",
+    "twinscope.operators.units": "build_units register_language shingles",
+    "twinscope.operators.verdicts": "characterise escalations findings resolve",
+    "twinscope.sources.corpus": "SUPPORTED cross_file_siblings package_roots read_cases read_files siblings",
+    "twinscope.streaming.watch": "analyse analyse_targets update_units watch watch_events",
+}
+_MODULE_OF = {name: module for module, names in PUBLIC.items() for name in names.split()}
+__all__ = sorted(_MODULE_OF)
+
+
+def __getattr__(name: str) -> object:
+    if name not in _MODULE_OF:
+        raise AttributeError(f"module 'twinscope' has no attribute {name!r}")
+    return getattr(importlib.import_module(_MODULE_OF[name]), name)
+
+
+def __dir__() -> list[str]:
+    return [*__all__, "__version__"]
