@@ -166,3 +166,14 @@ def test_mixing(spark, docs):
     assert abs(counts["small"] - 3000) < 200 and abs(counts["big"] - 1000) < 130
     heavy = mixing.mix(many.where("doc_id < 3"), weights, total=30000.0).count()  # means above STEP
     assert abs(heavy - 3000) < 250
+
+
+def test_mixing_odd_weights(spark):
+    """Weights that aren't positive numbers give no copies; a source named twice has the sum."""
+    docs = spark.range(900).selectExpr("id as doc_id", "'word' as text", "element_at(array('a', 'b', 'c', 'd', null), cast(id % 5 + 1 as int)) as source")
+    weights = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", -3.0), ("c", None), ("d", float("nan")), (None, 2.0), ("nowhere", 9.0), ("e", float("inf"))], "source string, weight double")
+    counts = {r.source: r["count"] for r in mixing.mix(docs, weights).groupBy("source").count().collect()}
+    assert set(counts) == {"a", None} and all(abs(n - 450) < 90 for n in counts.values())
+    for none in (weights.where("weight < 0"), weights.limit(0), weights.where("source = 'nowhere'")):
+        assert mixing.mix(docs, none).count() == 0
+    assert mixing.mix(docs, weights, total=0.0).count() == mixing.mix(docs, weights, total=-5.0).count() == 0

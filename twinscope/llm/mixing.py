@@ -38,18 +38,22 @@ def uniform(*parts: Column) -> Column:
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None) -> DataFrame:
     """mix_source, parts, and cdf of one part, for each source.
 
-    `weights` has columns source and weight (any positive scale; sources it lacks get none). `total` is
-    the wanted size, that of `docs` if None.
+    `weights` has columns source and weight (any positive scale; sources it lacks get none, nor do those of a
+    weight that isn't a positive number; weights of a source that is named twice add up). `total` is the wanted
+    size, that of `docs` if None; a size that isn't positive, or weights without a sum, give no rows.
     """
     size = F.sum(F.coalesce(F.char_length("text"), F.lit(0)) + 1).cast("double")
     sizes = docs.groupBy(F.col("source").alias("mix_source")).agg(size.alias("size"))
     if weights is None:
         sizes = sizes.withColumn("weight", F.sqrt("size") if EXPONENT == 0.5 else F.pow("size", F.lit(EXPONENT)))
     else:
-        w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
+        usable = F.col("weight").cast("double")
+        usable = F.when((usable > 0) & (usable < float("inf")), usable).otherwise(0.0)
+        w = weights.groupBy(F.col("source").alias("w_source")).agg(F.sum(usable).alias("weight"))
         sizes = sizes.join(w, F.col("mix_source").eqNullSafe(F.col("w_source")), "left").drop("w_source").fillna(0.0, ["weight"])
     sums = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
-    rate = F.col("weight") / F.col("all_weight") * (F.col("all_size") if total is None else F.lit(float(total))) / F.col("size")
+    wanted = F.col("all_size") if total is None else F.lit(max(0.0, float(total)))
+    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.nullif("all_weight", F.lit(0.0)) * wanted / F.col("size")).otherwise(0.0)
     rates = sizes.join(F.broadcast(sums)).select("mix_source", rate.alias("rate"))  # sums: one row
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     first = F.exp(-F.col("mean"))
