@@ -121,15 +121,15 @@ class Vocabulary:
                 return found
         raise ValueError("the vocabulary can't spell this piece")
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a piece, given as Latin-1."""
+    def encode(self, text: str, tokens: list[int] | None = None) -> list[int]:
+        """The ids of a piece, given as Latin-1. `tokens`: longest tokens from its start on whose neighbours are known to fit."""
         whole = self.id_of.get(text)
         if whole is not None:
             return [whole]
         fits, length, shorter = self.fits, self.length, self.shorter
         open_end = bytearray(b"\1") * (len(text) + 1)
-        tokens: list[int] = []
-        at, token, end_of_text = 0, None, len(text)
+        tokens = tokens or []
+        at, token, end_of_text = sum(map(length.__getitem__, tokens)), None, len(text)
         while at < end_of_text:
             if token is None:
                 token = self.longest(text, at)
@@ -163,10 +163,17 @@ class Vocabulary:
         inner = np.flatnonzero(home[1:] == home[:-1])
         pairs, which = np.unique(ids[inner] << 32 | ids[inner + 1], return_inverse=True)
         fit = np.array([self.fits(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], bool)
-        covered[home[inner[~fit[which]]]] = False
-        cut = 4 * np.searchsorted(home, np.arange(len(pieces) + 1))
+        apart = inner[~fit[which]]
+        torn, first = np.unique(home[apart], return_index=True)
+        cut = np.searchsorted(home, np.arange(len(pieces) + 1))
         data = ids.astype("<u4").tobytes()
-        return [data[a:b] if done else np.array(self.encode(p), "<u4").tobytes() for p, done, a, b in zip(pieces, covered.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        out = [data[4 * a : 4 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for k, last in zip(torn.tolist(), apart[first].tolist(), strict=True):  # the tokens up to the first misfit stand
+            if covered[k]:
+                out[k] = np.array(self.encode(pieces[k], ids[cut[k] : last + 1].tolist()), "<u4").tobytes()
+        for k in np.flatnonzero(~covered).tolist():
+            out[k] = np.array(self.encode(pieces[k]), "<u4").tobytes()
+        return out
 
 
 class Codec:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import byte_chunks, crc_mod, held_out, materialise, splitmix, table
+from twinscope.llm.common import byte_chunks, crc_mod, discard, held_out, materialise, splitmix, table
 from twinscope.llm.lexical import LETTER, LOWER, UPPER, lower, segments
 
 GRAM = 4
@@ -132,6 +132,7 @@ def learn(docs: DataFrame, most: int = MOST_DOCS) -> Filters | None:
     taken = spark.createDataFrame(list(enumerate(least)), "language int, least long")
     got = rated.join(F.broadcast(taken), "language").where("n >= least").select("language", "gram").toArrow()
     language, gram = (got.column(c).to_numpy() for c in ("language", "gram"))
+    discard(counted, rated)
     return Filters(languages, [np.sort(gram[language == k]) for k in range(len(languages))])
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinscope.llm.common import byte_chunks, materialise, open_fs, shuffle_partitions, table, work_dir
+from twinscope.llm.common import byte_chunks, discard, materialise, open_fs, shuffle_partitions, table, work_dir
 from twinscope.llm.splitting import Memo, encode_column
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -233,7 +233,9 @@ def write_shards(docs: DataFrame, text: str = "text", path: str | None = None, e
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
-    shards = sorted(materialise(rows.mapInArrow(run, MANIFEST), "manifest").collect())  # a row for each shard
+    manifest = materialise(rows.mapInArrow(run, MANIFEST), "manifest")
+    shards = sorted(manifest.collect())  # a row for each shard
+    discard(manifest)
     start, said = 0, []
     for s in shards:
         said.append((s.part, s.path, s.n_docs, s.n_ids, start))

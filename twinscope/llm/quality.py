@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import CHUNK_BYTES, byte_chunks, held_out, materialise, table
+from twinscope.llm.common import CHUNK_BYTES, byte_chunks, discard, held_out, materialise, table
 from twinscope.llm.lexical import DIGIT, LETTER, PUNCT, SPACE, UPPER, WIDE, byte_set, counts, labelled_sample, lower, prefix_sums, span_hash, word_bounds
 
 PASSAGE = 512
@@ -169,11 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Attentio
                 bags = [x[e - k : e].astype("<f4").tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "label": batch.column("label").slice(lo, hi - lo), "bag": pa.array(bags, pa.binary())})
 
-    sample = materialise(labelled_sample(docs, labels, "quality", 3, 1, most), "quality-sample")
+    sample = drawn = materialise(labelled_sample(docs, labels, "quality", 3, 1, most), "quality-sample")
     size = sample.agg(F.sum(F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).first().n or 0
     if size > MOST_PASSAGES:
         sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(19)), F.lit(1 << 30)) < int(MOST_PASSAGES / size * (1 << 30)))
     rows = sample.mapInArrow(run, "doc_id long, label int, bag binary").collect()
+    discard(drawn)
     rows.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
     y = np.array([r.label for r in rows], np.float32)
     if not len(y) or y.min() == y.max():

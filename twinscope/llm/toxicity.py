@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import byte_chunks, held_out, materialise, table
+from twinscope.llm.common import byte_chunks, discard, held_out, materialise, table
 from twinscope.llm.lexical import DIGIT, LETTER, LOWER, PUNCT, SPACE, UPPER, byte_set, counts, hash_words, labelled_sample, lower, member, prefix_sums, segments, span_hash, word_bounds
 
 MOST_DOCS = 12_000
@@ -292,6 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_DOCS) -> Toxicity
                 yield pa.record_batch({**{c: batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "label", "fold")}, "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     rows = sorted(sample.mapInArrow(run, "doc_id long, label int, fold int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    discard(sample)
     x, *apart = np.split(np.stack([np.frombuffer(r.x, "<f8") for r in rows]), 1 + FOLDS, axis=1)
     return Toxicity(lexicons[0]).fit(x, np.array([float(r.label) for r in rows]), apart, np.array([r.fold for r in rows]))
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinscope.llm.common import materialise, open_fs, shuffle_partitions, table, work_dir
+from twinscope.llm.common import discard, materialise, open_fs, shuffle_partitions, table, work_dir
 
 SMALLEST_SHARED = 100
 BLOCK_LINES = 1000
@@ -112,9 +112,8 @@ def write_archives(pages: DataFrame, smallest: int = SMALLEST_SHARED) -> DataFra
     # only digests are shuffled, after partial aggregation
     shared = rows.where(F.col("n_bytes") >= smallest).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
     shared = materialise(shared, "payloads")
-    if shared.count() <= MOST_BROADCAST:
-        shared = F.broadcast(shared)
-    rows = rows.join(shared, "digest", "left").withColumn("first_id", F.expr(f"IF(n_bytes >= {int(smallest)}, first_id, NULL)"))
+    small = shared.count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(shared) if small else shared, "digest", "left").withColumn("first_id", F.expr(f"IF(n_bytes >= {int(smallest)}, first_id, NULL)"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri = f"{folder}/pages-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
@@ -137,7 +136,9 @@ def write_archives(pages: DataFrame, smallest: int = SMALLEST_SHARED) -> DataFra
         if stream is not None:
             stream.close()
 
-    return materialise(rows.select("digest", "page_id", "url", "payload", "n_bytes", "first_id").mapInArrow(run, CAPTURES), "captures")
+    captures = materialise(rows.select("digest", "page_id", "url", "payload", "n_bytes", "first_id").mapInArrow(run, CAPTURES), "captures")
+    discard(shared)
+    return captures
 
 
 SHARDS = "first_key string, first_page long, path string, at long, size long, n_blocks long, n_lines long"
@@ -333,7 +334,10 @@ def read_captures(index: DataFrame, keys: DataFrame) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return read_captures(write_index(write_archives(pages)), capture_keys(pages)).drop("url")
+    captures = write_archives(pages)
+    index = write_index(captures)
+    discard(captures)
+    return read_captures(index, capture_keys(pages)).drop("url")
 
 
 OP7_SQL = """
