@@ -81,9 +81,9 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def bands(signature: Column, n_bands: int = BANDS, hashes: int = HASHES) -> Column:
-    """The band keys of a signature, each with its number in front."""
+    """The band keys of a signature: 64-bit hashes of a band's number and its slots."""
     rows = hashes // n_bands
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.concat_ws("-", b.cast("string"), F.array_join(F.slice(signature, b * rows + 1, rows).cast("array<string>"), "-")))
+    return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, b * rows + 1, rows)) for b in range(n_bands)])
 
 
 def simhashes(sets: DataFrame, key: str, hashes: str = "hashes") -> DataFrame:

@@ -158,8 +158,9 @@ SELECT doc_id, count(*) AS n_similar FROM both_n WHERE shared / (n_a + n_b - sha
     "sibling_pool": """WITH files AS (SELECT '/corpus/' || source || '/' || lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS file, source, lang FROM documents),
 near AS (SELECT t.file AS target, o.file, row_number() OVER (PARTITION BY t.file ORDER BY o.file) AS r FROM files t JOIN files o ON t.source = o.source AND t.lang = o.lang AND t.file <> o.file)
 SELECT target, file FROM near WHERE r <= 20""",
-    "basename_pool": """WITH files AS (SELECT '/corpus/' || source || '/' || doc_id || '/' || (doc_id % 7) || '.txt' AS file, source, doc_id % 7 AS name FROM documents),
-near AS (SELECT t.file AS target, o.file, row_number() OVER (PARTITION BY t.file ORDER BY o.file) AS r FROM files t JOIN files o ON t.source = o.source AND t.name = o.name AND t.file <> o.file)
+    "basename_pool": """WITH files AS (SELECT '/corpus/' || source || CASE WHEN doc_id % 3 > 0 THEN '/deep' ELSE '' END || CASE WHEN doc_id % 3 > 1 THEN '/deeper' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '/vendor' ELSE '' END
+  || '/' || doc_id || '/' || (doc_id % 7) || '.txt' AS file, doc_id % 3 + (doc_id % 11 = 0)::INTEGER AS depth, doc_id % 11 = 0 AS skipped, source, doc_id % 7 AS name FROM documents),
+near AS (SELECT t.file AS target, o.file, row_number() OVER (PARTITION BY t.file ORDER BY o.depth, o.file) AS r FROM files t JOIN files o ON t.source = o.source AND t.name = o.name AND t.file <> o.file AND NOT o.skipped)
 SELECT target, file FROM near WHERE r <= 30""",
     "findings_topk": f"""WITH lines AS (SELECT source, doc_id, '- ' || source || ':' || doc_id || '-' || doc_id || ' [' || CASE WHEN text LIKE '%|%' THEN 'table, conf=0.50' WHEN text LIKE '%!!%' THEN 'compat-shim:shouting' ELSE lang END || ']: ' || n_chars || ' characters' AS line FROM documents),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM lines)

@@ -182,8 +182,10 @@ def sibling_pool(spark, sf_dir):
 
 
 def basename_pool(spark, sf_dir):
+    """Files of several depths, some in a folder that is passed over."""
     docs = table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", F.lit("/corpus"), "source", F.col("doc_id").cast("string"))
+    part = lambda name, c: F.when(c, F.lit(name))
+    folder = F.concat_ws("/", F.lit("/corpus"), "source", part("deep", F.col("doc_id") % 3 > 0), part("deeper", F.col("doc_id") % 3 > 1), part("vendor", F.col("doc_id") % 11 == 0), F.col("doc_id").cast("string"))
     files = docs.select(F.concat_ws("/", folder, F.concat((F.col("doc_id") % 7).cast("string"), F.lit(".txt"))).alias("file"), folder.alias("dir"), "source")
     roots = files.select("file", F.concat_ws("/", F.lit("/corpus"), "source").alias("root"))
     return corpus.cross_file_siblings(files.select("file", "dir"), roots)
