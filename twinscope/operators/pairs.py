@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
+from twinscope.functions.hashing import shingle_sets
 from twinscope.functions.text import word_shingles
 from twinscope.operators.storage import cut
 
@@ -22,7 +23,8 @@ def hashed_sets(exploded: DataFrame, key: str = "doc_id", item: str = "shingle")
 
 def text_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """hashed_sets of the word shingles of texts, in the row itself; texts of fewer than k words (nulls too) have empty sets. Keys must be unique."""
-    return docs.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.transform(word_shingles(F.col(text), k), lambda s: F.xxhash64(s)))).alias("items"))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: shingle_sets(batches, k), f"key {rows.schema['key'].dataType.simpleString()}, items array<long>")
 
 
 def set_classes(sets: DataFrame) -> DataFrame:

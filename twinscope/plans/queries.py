@@ -46,8 +46,7 @@ def both_sides(found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def shingle_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(word_shingles(F.col("text"))).cast("long").alias("n_shingles"))
+    return document_sets(spark, sf_dir).select(F.col("key").alias("doc_id"), F.size("items").cast("long").alias("n_shingles"))
 
 
 def jaccard_pairs(spark, sf_dir):
