@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinscope.llm import bpe, click_windows, langid, media, mixing, multi_index, near_dups, packed, quality, toxicity, vector_dups, warc
+from twinscope.llm import alignment, bpe, click_windows, langid, media, mixing, multi_index, near_dups, packed, quality, toxicity, vector_dups, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_packed": packed.op9_packed,
     "op10_media": media.op10_media,
+    "op11_alignment": alignment.op11_alignment,
     "op12_click_windows": click_windows.op12_click_windows,
     "op13_vector_dups": vector_dups.op13_vector_dups,
 }

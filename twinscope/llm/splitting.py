@@ -96,9 +96,9 @@ class Memo:
         return out
 
 
-def encode_pass(raw: np.ndarray, offs: np.ndarray, ids_of: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def encode_pass(raw: np.ndarray, offs: np.ndarray, ids_of: Callable[[list[bytes]], list[bytes]], starts_of: Callable = span_starts) -> tuple[np.ndarray, np.ndarray]:
     """The ids of consecutive rows and where each row's begin (one more than rows)."""
-    starts = span_starts(raw, offs)
+    starts = starts_of(raw, offs)
     if not len(starts):
         return np.zeros(0, "<u4"), np.zeros(len(offs), np.int64)
     bounds = np.r_[starts, len(raw)].astype(np.int32)
