@@ -2,9 +2,8 @@
 
 Each language learns the byte n-grams (GRAM bytes of lower-case words with their borders) that are
 typical of it: from about MOST_DOCS documents of each language, those seen LEAST_COUNT times whose rate
-is at least SHARE of the highest rate of any language, the commonest up to MOST_GRAMS (of equally common ones
-all or none). Every language of the labelled rows is learned. One Bloom filter holds all
-languages: a slot is a bit mask with a bit for each, so HASHES look-ups and an AND return all languages
+is at least SHARE of the highest rate of any language, all of them: the filter is sized to the language that
+has most. Every language of the labelled rows is learned. One Bloom filter holds all languages: a slot is a bit mask with a bit for each, so HASHES look-ups and an AND return all languages
 that contain an n-gram. A text's popcount of each language is corrected for that language's chance of a
 false positive; the largest corrected count decides, and its share of all is the score.
 
@@ -27,7 +26,6 @@ from twinscope.llm.lexical import LETTER, LOWER, UPPER, lower, segments
 
 GRAM = 4
 MOST_DOCS = 1500
-MOST_GRAMS = 20_000
 LEAST_COUNT = 3
 SHARE = 0.3
 #: Bits beside an n-gram for the number of its language.
@@ -121,18 +119,10 @@ def learn(docs: DataFrame, most: int = MOST_DOCS) -> Filters | None:
     # by n-gram there is at most one row for each language
     rated = counted.join(F.broadcast(totals), "language").groupBy("gram").agg(F.collect_list(F.struct("language", "n", (F.col("n") / F.col("total")).alias("rate"))).alias("seen"))
     best = F.array_max(F.transform("seen", lambda s: s.rate))
-    rated = rated.select("gram", F.explode(F.filter("seen", lambda s: (s.rate >= SHARE * best) & (s.n >= LEAST_COUNT))).alias("s")).select("gram", "s.language", "s.n")
-    rated = materialise(rated, "typical-grams")
-    # how many n-grams of each count: rows are few, so no language's n-grams have to be sorted in one place
-    least, held = [LEAST_COUNT] * len(languages), [0] * len(languages)
-    for r in sorted(rated.groupBy("language", "n").count().collect(), key=lambda r: (r.language, -r.n)):
-        held[r.language] += r["count"]
-        if held[r.language] > MOST_GRAMS:
-            least[r.language] = max(least[r.language], r.n + 1)
-    taken = spark.createDataFrame(list(enumerate(least)), "language int, least long")
-    got = rated.join(F.broadcast(taken), "language").where("n >= least").select("language", "gram").toArrow()
+    rated = rated.select("gram", F.explode(F.filter("seen", lambda s: (s.rate >= SHARE * best) & (s.n >= LEAST_COUNT))).alias("s")).select("gram", "s.language")
+    got = rated.select("language", "gram").toArrow()  # n-grams of the sample, which is bounded
     language, gram = (got.column(c).to_numpy() for c in ("language", "gram"))
-    discard(counted, rated)
+    discard(counted)
     return Filters(languages, [np.sort(gram[language == k]) for k in range(len(languages))])
 
 

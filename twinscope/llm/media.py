@@ -128,23 +128,26 @@ class Track:
         return np.stack([off[first], np.add.reduceat(size, first)], axis=1)
 
 
-def walk(data: bytes, lo: int = 0, hi: int | None = None, depth: int = 0) -> Iterator[tuple[int, bytes, int, int]]:
-    """Each box between lo and hi, parents first: (depth, kind, body start, end). A box that leaves its parent ends the walk there."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+def walk(data: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+    """Each box, parents first: (depth, kind, body start, end). A box that leaves its parent ends the walk there; nesting is kept on a stack."""
+    open_boxes = [(0, len(data))]
+    while open_boxes:
+        lo, hi = open_boxes.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         body = lo + 8
         if size == 1:
             if lo + 16 > hi:
-                return
+                continue
             size, body = struct.unpack_from(">Q", data, lo + 8)[0], lo + 16
         end = hi if size == 0 else lo + size
         if end < body or end > hi:
-            return
-        yield depth, kind, body, end
+            continue
+        yield len(open_boxes), kind, body, end
+        open_boxes.append((end, hi))
         if kind in CONTAINERS:
-            yield from walk(data, body + CONTAINERS[kind], end, depth + 1)
-        lo = end
+            open_boxes.append((body + CONTAINERS[kind], end))
 
 
 def ints(data: bytes, at: int, end: int, columns: int, kind: str = ">u4") -> np.ndarray:

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     # no copies: explode drops the row, without a filter that would draw again
     rows = rows.withColumn("copy_no", F.explode(F.expr("IF(mix_rate > 0, sequence(1, mix_rate), array())"))).drop("mix_rate")
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc_id, F.col("copy_no").cast("string"))))
-    return rows.repartition(shuffle_partitions(spark), "mix_key").sortWithinPartitions("mix_key", "copy_no")
+    # rows without an id share their keys; their texts deal them out
+    return rows.repartition(shuffle_partitions(spark), "mix_key", F.xxhash64("text")).sortWithinPartitions("mix_key", "copy_no")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

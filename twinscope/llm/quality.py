@@ -113,7 +113,10 @@ class Attention:
         return h, t, g, weight, z, z @ p["w"] + p["c"][0]
 
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
-        return np.round(sigmoid(self.forward(x, bags)[-1].astype(float)), 6)  # the rest differs with the rows beside
+        """In double precision and rounded, since the last places of a product of matrices differ with the rows beside."""
+        double = Attention.__new__(Attention)
+        double.mean, double.scale, double.p = self.mean.astype(float), self.scale.astype(float), {k: a.astype(float) for k, a in self.p.items()}
+        return np.round(sigmoid(double.forward(x.astype(float), bags)[-1]), 6)
 
     def gradient(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         p, first = self.p, np.cumsum(bags) - bags
