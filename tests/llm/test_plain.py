@@ -255,7 +255,7 @@ def test_very_long_text():
     assert langid.Filters(["x"], [np.array([1])]).counts(raw, offs).shape == (1, 1)
     ((_, _, x, n),) = quality.bag_features(one)
     assert len(x) == n[0] == -(-len(raw) // quality.PASSAGE)
-    kmers = near_dups.kmers_of(text.encode())
+    kmers = near_dups.Words(text.encode()).kmers
     assert len(near_dups.sketches(kmers)) == near_dups.SKETCHES and len(np.unique(kmers)) == len(kmers)
     codec = bpe.codec(P.path(bpe.RANK_FILE), P.PATTERN)
     ((_, _, ids, _),) = codec.encode_rows(one)
@@ -303,10 +303,10 @@ def test_pipeline_by_hand(spark):
 
     good = {r.doc_id for r in quality.score_documents(docs, quality.train(docs, labels)).where("score >= 0.5").collect()}
     clean = {r.doc_id for r in toxicity.score_documents(frame(good), toxicity.train(frame(good), labels)).where("score < 0.5").collect()}
-    kmers = {i: near_dups.kmers_of((rows[i].text or "").encode()) for i in clean}
+    words = {i: near_dups.Words((rows[i].text or "").encode()) for i in clean}
     smallest = {i: i for i in clean}
     order = sorted(clean)
-    linked = [(a, b) for x, a in enumerate(order) for b in order[x + 1 :] if rows[a].text == rows[b].text or len(kmers[a]) and len(kmers[b]) and near_dups.alignment(kmers[a], kmers[b]) >= 0.8]
+    linked = [(a, b) for x, a in enumerate(order) for b in order[x + 1 :] if rows[a].text == rows[b].text or words[a].like(words[b])]
     for _ in order:
         for a, b in linked:
             smallest[a] = smallest[b] = min(smallest[a], smallest[b])

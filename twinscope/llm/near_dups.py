@@ -3,9 +3,11 @@
 A text is its words in lower case (runs of letters and digits). Its k-mers are WORDS words long and
 labelled with their occurrence, so each is unique in its text. A sketch holds the KEPT labelled k-mers
 of smallest hash in the order they have in the text, so two texts share it if they share these k-mers
-and their order; SKETCHES sketches bucket the texts. Two texts are linked when a banded alignment of
-their k-mer sequences matches m of them with m / (n_a + n_b - m) >= THRESHOLD. The band is as wide as the
-unmatched k-mers of a pair at the threshold allow, so it loses no such pair.
+and their order; SKETCHES sketches bucket the texts. Two texts are linked when an alignment matches m of their
+n_a and n_b words in order with m / (n_a + n_b - m) >= THRESHOLD, which up to one word in nine replaced
+reaches, and when their k-mers' Jaccard similarity is at least LEAST, which few pairs that share a sketch
+miss. The alignment takes a chain of common k-mers, in a band as wide as the unmatched words of a pair at the threshold allow, and
+between its links the longest common subsequence of words, by bits.
 
 No bucket is expanded into all pairs, and none is capped:
 1. star: a text is paired with the most central text of its buckets (the one it resembles most);
@@ -19,8 +21,8 @@ blocks' centres, and so on until one is left; in 2 and 3 each two blocks that ca
 classes meet in a task of their own. So no task holds more than two blocks, and no pair is left out.
 
 Resemblance is estimated from BINS one-byte minima of one permutation. A pair is passed over when one text
-has fewer than THRESHOLD of the other's k-mers, which loses nothing, or when the estimate is DEVIATIONS
-deviations below the threshold, which a pair at the threshold is with a probability of about 1e-8. A link
+has fewer than THRESHOLD of the other's words, which loses nothing, or when the estimate is DEVIATIONS
+deviations below LEAST, which a linked pair is with a probability of about 1e-8. A link
 inside a class can't change the classes, so leaving it out loses nothing.
 
 Equal word sequences are one node throughout, so copies never meet each other in buckets. Classes are
@@ -48,10 +50,12 @@ from twinscope.llm.common import byte_chunks, discard, materialise, splitmix, ta
 from twinscope.llm.lexical import DIGIT, LETTER, lower, prefix_sums, segments, span_hash, word_bounds
 
 WORDS = 5
-KEPT = 3
-SKETCHES = 16
+KEPT = 2
+SKETCHES = 32
 BINS = 128
 THRESHOLD = 0.8
+#: The k-mers' similarity that a pair needs besides: one of ten words moved leaves about 0.2, one of nine replaced 0.38.
+LEAST = 0.15
 DEVIATIONS = 6.0
 #: Members that stand for a bucket when its most central one is sought.
 SOUNDED = 32
@@ -105,11 +109,11 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
         v = (kmers ^ SEEDS[s]) * FACTORS[s]
         v ^= v >> np.uint64(32)
         at = np.sort(np.argpartition(v, KEPT - 1)[:KEPT]) if len(kmers) > KEPT else np.arange(len(kmers))
-        key = SEEDS[s]
-        for x in kmers[at]:
-            key = (key ^ x) * GOLD
-            key ^= key >> np.uint64(29)
-        out[s] = key
+        key = SEEDS[s : s + 1]
+        for k in at.tolist():
+            key = (key ^ kmers[k]) * GOLD
+            key = key ^ key >> np.uint64(29)
+        out[s] = key[0]
     return out
 
 
@@ -132,7 +136,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     """A row for each document: its node (128 bits of its word sequence), sketches and minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         for batch in batches:
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for lo, hi, raw, offs in byte_chunks(batch.column("text")):
@@ -160,7 +163,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def floor_of(bins: np.ndarray) -> np.ndarray:
     """The estimate below which a pair is passed over, by the number of bins it rests on."""
-    return THRESHOLD - DEVIATIONS * np.sqrt(THRESHOLD * (1 - THRESHOLD) / np.maximum(1, bins))
+    return LEAST - DEVIATIONS * np.sqrt(LEAST * (1 - LEAST) / np.maximum(1, bins))
 
 
 def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +171,8 @@ def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bins, own = many["bins"], one["bins"]
     used = ((own != 0) | (bins != 0)).sum(1)
     same = ((own == bins) & (own != 0)).sum(1) / np.maximum(1, used)
-    small, large = np.minimum(one["size"], many["size"]), np.maximum(one["size"], many["size"])
+    few = WORDS - 1.0  # words beyond k-mers
+    small, large = np.minimum(one["size"], many["size"]) + few, np.maximum(one["size"], many["size"]) + few
     return same, (same >= floor_of(used)) & (small >= THRESHOLD * large - 1e-9)
 
 
@@ -263,20 +267,16 @@ def settle(cells: DataFrame) -> DataFrame:
     """a, b, linked: links between classes of a cell, from (cell, bucket, block, node, bins, keys, class, zipped)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         unzip = zstandard.ZstdDecompressor()
         for _, (nodes, bucket, blocks, bins, keys, classes, zipped) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class", "zipped")):
-            kmers: dict[int, np.ndarray] = {}
-            ordered: dict[int, np.ndarray] = {}
-
-            def read(k: int, kmers=kmers, ordered=ordered, zipped=zipped) -> np.ndarray:
-                if k not in kmers:
-                    if len(kmers) >= HELD:
-                        kmers.pop(old := next(iter(kmers)))
-                        ordered.pop(old)
-                    kmers[k] = kmers_of(unzip.decompress(zipped[k]))
-                    ordered[k] = np.sort(kmers[k])
-                return kmers[k]
+            texts: dict[int, Words] = {}
+
+            def read(k: int, texts=texts, zipped=zipped) -> Words:
+                if k not in texts:
+                    if len(texts) >= HELD:
+                        texts.pop(next(iter(texts)))
+                    texts[k] = Words(unzip.decompress(zipped[k]))
+                return texts[k]
 
             number: dict[bytes, int] = {}
             own = np.array([number.setdefault(c, len(number)) for c in classes.tolist()])
@@ -284,11 +284,8 @@ def settle(cells: DataFrame) -> DataFrame:
             for k, partners in unsettled(keys, bucket[0], bins, classes, blocks):
                 for j in partners.tolist():
                     if own[j] != own[k]:
-                        b, a = read(j), read(k)
-                        mine = ordered[k]
-                        at = np.minimum(np.searchsorted(mine, b), len(a) - 1)
-                        shared = int((mine[at] == b).sum())
-                        if shared >= THRESHOLD * (len(a) + len(b) - shared) - 1e-9 and alignment(a, b) >= THRESHOLD:
+                        b = read(j)
+                        if read(k).like(b):
                             links.append(sorted((nodes[k].tobytes(), nodes[j].tobytes())))
                             own[own == own[j]] = own[k]
             if links:
@@ -356,58 +353,125 @@ def in_pairs_of_blocks(named: DataFrame) -> DataFrame:
     return placed.select(cell.alias("cell"), "bucket", "block", "node", "class")
 
 
-def longest_rise(values: list[int]) -> int:
-    """Length of the longest strictly rising subsequence."""
+def longest_rise(values: list[int]) -> list[int]:
+    """Places of a longest strictly rising subsequence."""
     tails: list[int] = []
-    for v in values:
+    ends: list[int] = []
+    before = [-1] * len(values)
+    for k, v in enumerate(values):
         at = bisect.bisect_left(tails, v)
+        before[k] = ends[at - 1] if at else -1
         if at == len(tails):
             tails.append(v)
+            ends.append(k)
         else:
-            tails[at] = v
-    return len(tails)
-
-
-def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Similarity m / (n_a + n_b - m) of the best alignment inside the band; labelled k-mers are unique in a text.
-
-    With unique symbols the longest common subsequence is the longest rise among the matched positions.
-    """
-    total = len(a) + len(b)
-    if not len(a) or not len(b):
-        return 1.0 if len(a) == len(b) else 0.0
-    band = int(total * (1 - threshold) / (1 + threshold)) + 1
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+            tails[at], ends[at] = v, k
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def common_length(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence: a bit for each place of `a`, a step for each of `b`."""
+    places: dict[int, int] = {}
+    for k, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole
+    for w in b:
+        hit = row & places.get(w, 0)
+        if hit:
+            row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
+
+
+class Words:
+    """The words of a text, as hashes, and its k-mers."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        self.words = word_hashes(raw, np.array([0, len(raw)]))[0]
+        self.kmers = labelled_kmers(self.words)
+        self.ordered = np.sort(self.kmers)
+
+    def shared(self, other: Words) -> int:
+        """The k-mers that both have."""
+        if not len(self.kmers):
+            return 0
+        at = np.minimum(np.searchsorted(self.ordered, other.kmers), len(self.ordered) - 1)
+        return int((self.ordered[at] == other.kmers).sum())
+
+    def like(self, other: Words) -> bool:
+        """Whether the two are linked."""
+        if not len(self.words) or not len(other.words):
+            return False
+        both = self.shared(other)
+        return both >= LEAST * (len(self.kmers) + len(other.kmers) - both) - 1e-9 and alignment(self, other) >= THRESHOLD
+
+
+def chain(a: Words, b: Words, band: int) -> Iterator[tuple[int, int, int]]:
+    """Runs of words (place in a, place in b, length) that a chain of common k-mers inside the band matches, in order."""
+    _, at, to = np.intersect1d(a.kmers, b.kmers, assume_unique=True, return_indices=True)
     order = np.argsort(at)
     at, to = at[order], to[order]
-    to = to[np.abs(at - to) <= band]
-    matched = len(to) if (np.diff(to) > 0).all() else longest_rise(to.tolist())
-    return matched / (total - matched)
-
-
-def kmers_of(text: bytes) -> np.ndarray:
-    raw = np.frombuffer(text, np.uint8)
-    return labelled_kmers(word_hashes(raw, np.array([0, len(raw)]))[0])
+    near = np.abs(at - to) <= band
+    at, to = at[near], to[near]
+    if not (np.diff(to) > 0).all():
+        rise = longest_rise(to.tolist())
+        at, to = at[rise], to[rise]
+    if not len(at):
+        return
+    size = min(WORDS, len(a.words), len(b.words))
+    # k-mers of one diagonal that touch are one run
+    new = np.r_[True, (np.diff(at) != np.diff(to)) | (np.diff(at) > size)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:] - 1, len(at) - 1]
+    end_a = end_b = 0
+    for i, j, n in zip(at[first].tolist(), to[first].tolist(), (at[last] - at[first] + size).tolist(), strict=True):
+        over = max(0, end_a - i, end_b - j)  # words that the run before has used
+        if over < n:
+            yield i + over, j + over, n - over
+            end_a, end_b = i + n, j + n
+
+
+def alignment(a: Words, b: Words, threshold: float = THRESHOLD) -> float:
+    """Similarity m / (n_a + n_b - m) of an alignment of words inside the band; 0 where it can't reach the threshold."""
+    x, y = a.words.tolist(), b.words.tolist()
+    total = len(x) + len(y)
+    band = int(total * (1 - threshold) / (1 + threshold)) + 1
+    gaps, matched, end_a, end_b = [], 0, 0, 0
+    for i, j, n in [*chain(a, b, band), (len(x), len(y), 0)]:
+        if i > end_a and j > end_b:
+            gaps.append((x[end_a:i], y[end_b:j]))
+        matched, end_a, end_b = matched + n, i + n, j + n
+    needed = threshold * total / (1 + threshold) - 1e-9
+    possible = matched + sum(min(len(p), len(q)) for p, q in gaps)
+    for p, q in gaps:
+        if possible < needed:
+            return 0.0
+        found = common_length(p, q)
+        possible -= min(len(p), len(q)) - found
+        matched += found
+    return matched / (total - matched) if total > matched else 1.0
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b and whether their alignment reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        np.seterr(over="ignore")
         unzip = zstandard.ZstdDecompressor()
-        seen: dict[bytes, np.ndarray] = {}  # a star's centre comes again and again
+        seen: dict[bytes, Words] = {}  # a star's centre comes again and again
         for batch in batches:
             linked = []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                two = []
                 for key, data in ((a, ta), (b, tb)):
                     if key not in seen:
                         if len(seen) >= 64:
-                            seen.pop(next(iter(seen)))
-                        seen[key] = kmers_of(unzip.decompress(data))
-                    two.append(seen[key])
-                linked.append(alignment(*two) >= THRESHOLD)
+                            seen.pop(next(k for k in seen if k not in (a, b)))
+                        seen[key] = Words(unzip.decompress(data))
+                linked.append(seen[a].like(seen[b]))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())})
 
     first = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("zipped").alias("ta")), "a")
