@@ -44,6 +44,12 @@ PACK_EVENTS = 200_000
 EVENT = np.dtype([("click", "<i8"), ("hour", "<i4"), ("n", "<i4"), ("hash", "u1", 32)])
 WINDOW = np.dtype([("click", "<i8"), ("start", "<i4"), ("closed", "<i4"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "u1", 32)])
 ENTRY = np.dtype([("deadline", "<i4"), ("click", "<i8")])
+#: The state is kept by RocksDB, in bounded memory; a task gives its store back when it commits, so that runs don't leave theirs open.
+STATE = "spark.sql.streaming.stateStore."
+SETTINGS = {
+    f"{STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}unloadOnCommit": "true",
+    f"{STATE}rocksdb.boundedMemoryUsage": "true", f"{STATE}rocksdb.maxMemoryUsageMB": "256",
+}
 EVENTS = "click_id long, hour int, bucket int, hash binary"
 RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
 
@@ -287,8 +293,9 @@ def op12_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events.write.partitionBy("batch").parquet(f"{folder}/cut")
     cut = spark.read.schema(EVENTS + ", batch int").parquet(f"{folder}/cut")
     end = spark.createDataFrame([(0, latest - first + 2 + LIFE + DELAY, -1, bytes(32))], EVENTS)  # moves time beyond all windows
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         for b in range(BATCHES):
             fed = cut.where(F.col("batch") == b).drop("batch")
@@ -297,6 +304,7 @@ def op12_click_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             run = stream.writeStream.format("parquet").option("path", f"{folder}/closed").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             run.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = unpacked(spark.read.schema("closed binary").parquet(f"{folder}/closed"))
     return out.withColumn("start_hour", F.col("start_hour") + (first - 1)).withColumn("hash", F.lower(F.hex("hash")))
