@@ -39,7 +39,7 @@ from twinscope.llm.multi_index import matrix
 from twinscope.llm.near_dups import components
 
 THRESHOLD = 0.93
-WINDOW, CELL, BLOCK = 256, 1024, 1024
+WINDOW, CELL, BLOCK = 256, 1024, 128
 MISS = 1e-6
 SEED = 20240311
 #: Widths of an angle bin, in parts of the threshold's angle, and what rounding may do to an angle.
