@@ -29,7 +29,10 @@ def dice(n_a: Column, n_b: Column, both: Column) -> Column:
     return _ratio(1.0, 0.0, n_a, n_b, 2 * both / (n_a + n_b))
 
 
+#: Metrics of the sizes of two sets and of their intersection.
 METRICS: dict[str, Callable[[Column, Column, Column], Column]] = {"jaccard": jaccard, "cosine": cosine, "overlap": overlap, "dice": dice}
+#: The metric of fingerprints.
+SIMHASH = "simhash"
 
 
 def register_metric(name: str, metric: Callable[[Column, Column, Column], Column]) -> None:
@@ -37,6 +40,12 @@ def register_metric(name: str, metric: Callable[[Column, Column, Column], Column
     METRICS[name] = metric
 
 
+def of_pairs() -> dict[str, Column]:
+    """Every metric over pairs that have n_a, n_b, shared and hamming."""
+    n_a, n_b, shared, hamming = map(F.col, ("n_a", "n_b", "shared", "hamming"))
+    return {m: f(n_a, n_b, shared) for m, f in METRICS.items()} | {SIMHASH: _ratio(1.0, 0.0, n_a, n_b, 1 - hamming / 64)}
+
+
 def of_arrays(name: str, a: Column, b: Column) -> Column:
     """A metric of two arrays of distinct items."""
     return METRICS[name](F.size(a), F.size(b), F.size(F.array_intersect(a, b)))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinscope.functions.text import let
+
 HASHES, BANDS = 128, 32
 WORD = (1 << 32) - 1
 
@@ -31,8 +33,8 @@ def hashes32(items: Column) -> Column:
 
 def hashes64(items: Column) -> Column:
     """Two 32-bit halves of the md5 of each item, the first in front, as a signed number."""
-    low = lambda x: F.conv(F.substring(F.md5(x), 9, 8), 16, 10).cast("long")
-    return F.transform(items, lambda x: F.shiftleft(hash32(x), 32).bitwiseOR(low(x)))
+    half = lambda digest, at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return F.transform(items, lambda x: let(F.md5(x), lambda d: F.shiftleft(half(d, 1), 32).bitwiseOR(half(d, 9))))
 
 
 def utf16_units(text: Column) -> Column:

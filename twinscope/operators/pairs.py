@@ -7,6 +7,9 @@ never expanded. All empty sets are one class, of similarity 0 to any other.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,34 +98,92 @@ def overlap_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
 #: The least Jaccard similarity of a pair at the threshold of a metric; overlap has none.
 LEAST_JACCARD = {"jaccard": lambda t: t, "cosine": lambda t: t * t, "dice": lambda t: t / (2 - t)}
+PART_BITS, PARTS = 16, 4
+
+
+def flips(radius: int) -> list[int]:
+    """All words of PART_BITS bits with at most `radius` of them set."""
+    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(PART_BITS), r)]
+
+
+def near_prints(prints: DataFrame, bits: int) -> DataFrame:
+    """x < y of all distinct 64-bit fingerprints (simhash) that differ in 1 to `bits` bits, by multi-index hashing.
+
+    One of the four parts of such a pair differs in bits // 4 bits at most. One side looks each part up with up to
+    half of these flipped and the other with the rest, so both meet at a part between their own; a pair is tested
+    there by its whole distance.
+    """
+    radius = bits // PARTS
+
+    def probes(name: str, flipped: int):
+        parts = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.shiftrightunsigned("simhash", PART_BITS * k).bitwiseAND(F.lit((1 << PART_BITS) - 1)).alias("word")) for k in range(PARTS)])).alias("p")
+        masks = F.explode(F.lit(flips(flipped))).alias("mask")
+        rows = prints.select(F.col("simhash").alias(name), parts).select(name, "p.part", "p.word", masks)
+        return rows.select(name, "part", F.col("word").bitwiseXOR(F.col("mask").cast("long")).alias("word"))
+
+    met = probes("x", radius - radius // 2).join(probes("y", radius // 2), ["part", "word"])
+    return met.where((F.col("x") < F.col("y")) & (metrics.hamming(F.col("x"), F.col("y")) <= bits)).select("x", "y").distinct()
+
+
+def simhash_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """a < b, n_a, n_b, shared, members_a, members_b of all distinct sets (rep, items, n > 0, members, simhash) whose fingerprints reach the threshold."""
+    bits = int((1 - threshold) * 64 + 1e-9)
+    prints = cut(reps.select("rep", "simhash"))
+    close = cut(near_prints(prints.select("simhash").distinct(), bits))
+    one, two = prints.select(F.col("simhash").alias("x"), F.col("rep").alias("p")), prints.select(F.col("simhash").alias("y"), F.col("rep").alias("q"))
+    equal = one.join(two, one.x == two.y).where("p < q").select("p", "q")
+    found = close.join(one, "x").join(two, "y").select("p", "q").unionByName(equal)
+    return _measured(found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")), reps)
 
 
 def metric_pairs(reps: DataFrame, thresholds: dict[str, float]) -> dict[str, DataFrame]:
     """Of each metric all pairs of distinct sets (rep, items, n > 0, members) (a, b, n_a, n_b, shared, members_a, members_b) at its threshold or over it.
 
-    One join at the least Jaccard similarity serves jaccard, cosine and dice.
+    One join at the least Jaccard similarity serves jaccard, cosine and dice. simhash needs the sets' fingerprints, `simhash`.
     """
     columns = "a", "b", "n_a", "n_b", "shared", "members_a", "members_b"
     out, bounds = {}, [LEAST_JACCARD[m](t) for m, t in thresholds.items() if m in LEAST_JACCARD]
     if bounds:
         near = cut(class_pairs(reps, min(bounds) - 1e-9).select(*columns))
     for m, t in thresholds.items():
-        value = metrics.METRICS[m](F.col("n_a"), F.col("n_b"), F.col("shared"))
-        out[m] = near.where(value >= t) if m in LEAST_JACCARD else overlap_pairs(reps, t).select(*columns)
+        if m == metrics.SIMHASH:
+            out[m] = simhash_pairs(reps, t).select(*columns)
+        else:
+            value = metrics.METRICS[m](F.col("n_a"), F.col("n_b"), F.col("shared"))
+            out[m] = near.where(value >= t) if m in LEAST_JACCARD else overlap_pairs(reps, t).select(*columns)
     return out
 
 
+def judged_pairs(reps: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """a < b, n_a, n_b, shared, hamming, members_a, members_b of all pairs of distinct sets (with simhash) that reach the threshold of one metric at least."""
+    found = reduce(DataFrame.unionByName, metric_pairs(reps, thresholds).values()).distinct()
+    return with_hamming(found, reps)
+
+
+def with_hamming(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the Hamming distance of their sets' fingerprints."""
+    one, two = reps.select(F.col("rep").alias("a"), F.col("simhash").alias("x")), reps.select(F.col("rep").alias("b"), F.col("simhash").alias("y"))
+    return found.join(one, "a").join(two, "b").withColumn("hamming", metrics.hamming(F.col("x"), F.col("y"))).drop("x", "y")
+
+
+def fingerprinted(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """set_classes of the word shingles of texts with their `simhash`; only the text that stands for a class is hashed."""
+    standing = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(reps.select("rep"), "rep", "left_semi")
+    prints = sketches.simhashes(standing.select("rep", sketches.hashes64(word_shingles(F.col("text"), k)).alias("hashes")), "rep")
+    return reps.join(prints.select("rep", "simhash"), "rep")
+
+
 def pairs_within(placed: DataFrame, group: str, block: int = 64) -> DataFrame:
-    """group, ia, ib: the items of all pairs of sets of each group, from (group, rep, items).
+    """group, ia, ib, x, y: the items and fingerprints of all pairs of sets of each group, from (group, rep, items, simhash).
 
     The members of a group are dealt into blocks of about `block`, and each two blocks meet by themselves, so no task
     holds a whole group.
     """
     sizes = placed.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = cut(placed.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")))
-    left = dealt.select(group, F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = dealt.select(group, F.col("rep").alias("b"), F.col("items").alias("ib"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
-    return left.join(right, [group, "i", "j"]).where("i < j OR a < b").select(group, "ia", "ib")
+    left = dealt.select(group, F.col("rep").alias("a"), F.col("items").alias("ia"), F.col("simhash").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = dealt.select(group, F.col("rep").alias("b"), F.col("items").alias("ib"), F.col("simhash").alias("y"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    return left.join(right, [group, "i", "j"]).where("i < j OR a < b").select(group, "ia", "ib", "x", "y")
 
 
 def lsh_pairs(reps: DataFrame, n_bands: int = sketches.BANDS, hashes: int = sketches.HASHES) -> DataFrame:

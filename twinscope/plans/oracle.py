@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from twinscope.functions.sketches import BANDS, HASHES, coefficients
-from twinscope.operators.evaluate import DEFAULT_THRESHOLDS
+from twinscope.operators.evaluate import DEFAULT_THRESHOLDS, ESCALATED
 from twinscope.operators.report import INTRO, SHOWN
 from twinscope.plans.examples import CALLS_OF_CODE, VERDICTS_OF_CODE, nodes_of_code
 
@@ -77,16 +77,32 @@ sold AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity::BIGINT):
 best AS (SELECT src, arg_max(dst, quantity * 1000 + dst) AS dst FROM sold GROUP BY src)
 """.strip()
 TAGS = "tags AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS family, url, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) AS tags FROM pages)"
+_HIGH, _LOW = "('0x' || substr(md5(shingle), 1, 8))::BIGINT", "('0x' || substr(md5(shingle), 9, 8))::BIGINT"
+#: 64-bit fingerprints in two halves.
+PRINTS = f""",
+halves AS (SELECT doc_id, {_LOW} AS low, {_HIGH} AS high FROM shingles),
+votes AS (SELECT doc_id, k, sum(CASE WHEN ((CASE WHEN k < 32 THEN low ELSE high END) >> (k % 32)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM halves, range(0, 64) r(k) GROUP BY doc_id, k),
+prints AS (SELECT doc_id, sum(CASE WHEN bit AND k < 32 THEN 1::BIGINT << k ELSE 0 END)::BIGINT AS lo, sum(CASE WHEN bit AND k >= 32 THEN 1::BIGINT << (k - 32) ELSE 0 END)::BIGINT AS hi FROM votes GROUP BY doc_id)"""
+#: All pairs of different sets that aren't empty, by every metric, whether they share a shingle or not.
+EVERY_PAIR = (
+    ALL_PAIRS
+    + PRINTS
+    + """,
+printed AS (SELECT rep, members, lo, hi FROM reps JOIN prints ON doc_id = rep),
+apart AS (SELECT x.rep AS a, y.rep AS b, x.members AS members_a, y.members AS members_b, (bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)))::BIGINT AS hamming FROM printed x JOIN printed y ON x.rep < y.rep),
+every_pair AS (SELECT a.*, coalesce(jaccard, 0) AS jaccard, coalesce(cosine, 0) AS cosine, coalesce(overlap, 0) AS overlap, coalesce(dice, 0) AS dice, 1 - hamming / 64 AS simhash
+  FROM apart a LEFT JOIN pairs p ON p.a = a.a AND p.b = a.b)"""
+)
 #: The least similar pair of distinct sets of each family; a family that is one set's copies has that set alone.
 FLOORS = (
-    families_of(ALL_PAIRS, "(SELECT * FROM pairs WHERE jaccard >= 0.4)")
+    families_of(EVERY_PAIR, "(SELECT * FROM pairs WHERE jaccard >= 0.4)")
     + ", limits(metric, threshold) AS (VALUES "
     + ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in DEFAULT_THRESHOLDS.items())
     + """),
 within AS (SELECT x.family, x.rep AS a, y.rep AS b FROM named x JOIN named y ON x.family = y.family AND x.rep < y.rep),
-measured AS (SELECT w.family, coalesce(jaccard, 0) AS jaccard, coalesce(cosine, 0) AS cosine, coalesce(overlap, 0) AS overlap, coalesce(dice, 0) AS dice FROM within w LEFT JOIN pairs p ON p.a = w.a AND p.b = w.b
-  UNION ALL SELECT family, 1, 1, 1, 1 FROM named GROUP BY family HAVING count(*) = 1),
-valued AS (SELECT family, metric, threshold, CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END AS value FROM measured, limits),
+measured AS (SELECT w.family, jaccard, cosine, overlap, dice, simhash FROM within w JOIN every_pair p ON p.a = w.a AND p.b = w.b
+  UNION ALL SELECT family, 1, 1, 1, 1, 1 FROM named GROUP BY family HAVING count(*) = 1),
+valued AS (SELECT family, metric, threshold, CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap WHEN 'dice' THEN dice ELSE simhash END AS value FROM measured, limits),
 floors AS (SELECT family, metric, min(value) AS floor, min(value) - any_value(threshold) AS margin FROM valued GROUP BY family, metric)"""
 )
 #: found, n_true and matched of each case. A finding is one line and truth entries don't touch, so a truth entry that has findings is matched once.
@@ -97,29 +113,37 @@ hit AS (SELECT case_id, count(DISTINCT first_line) AS matched FROM found JOIN tr
 counted AS (SELECT case_id, coalesce(f.n, 0) AS found, coalesce(t.n, 0) AS n_true, coalesce(matched, 0) AS matched
   FROM (SELECT case_id, count(*) AS n FROM found GROUP BY case_id) f FULL JOIN (SELECT case_id, count(*) AS n FROM true_at GROUP BY case_id) t USING (case_id) LEFT JOIN hit USING (case_id))
 """.strip()
-#: Of each pair and metric its value and verdict.
-VERDICTS = (
-    SETS.replace("{threshold}", "0.3")
-    + ", limits(metric, threshold) AS (VALUES "
-    + ", ".join(f"('{m}', {t}::DOUBLE)" for m, t in DEFAULT_THRESHOLDS.items())
+#: Of each metric and pair of classes its value, the pairs of documents it stands for and those of one language; copies have no a and b.
+VALUES = (
+    EVERY_PAIR
+    + """,
+tongues AS (SELECT rep, lang, count(*) AS m FROM sets JOIN reps USING (set_key) JOIN documents USING (doc_id) GROUP BY rep, lang),
+one_language AS (SELECT x.rep AS a, y.rep AS b, sum(x.m * y.m) AS positives FROM tongues x JOIN tongues y ON x.rep < y.rep AND x.lang IS NOT DISTINCT FROM y.lang GROUP BY 1, 2),
+counted AS (SELECT e.*, members_a * members_b AS pairs, coalesce(positives, 0) AS positives FROM every_pair e LEFT JOIN one_language o ON o.a = e.a AND o.b = e.b WHERE {reached}
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 1, 1, 1, 1, 1, sum(m) * (sum(m) - 1) // 2, sum(m * (m - 1) // 2) FROM tongues GROUP BY rep HAVING sum(m) > 1),
+limits(metric, threshold, escalated) AS (VALUES """
+    + ", ".join(f"('{m}', {t}::DOUBLE, {ESCALATED[m]}::DOUBLE)" for m, t in DEFAULT_THRESHOLDS.items())
     + """),
-rated AS (SELECT metric, a || '-' || b AS case_id, x.source IS NOT DISTINCT FROM y.source AS is_control, threshold, round(CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap ELSE dice END, 6) AS value
-  FROM pairs JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b, limits),
-verdicts AS (SELECT *, CASE WHEN value >= threshold THEN 'flag' WHEN value >= round(threshold - 0.1, 6) THEN 'escalate' ELSE 'ignore' END AS verdict FROM rated)"""
+rated AS (SELECT metric, threshold, escalated, a, b, round(CASE metric WHEN 'jaccard' THEN jaccard WHEN 'cosine' THEN cosine WHEN 'overlap' THEN overlap WHEN 'dice' THEN dice ELSE simhash END, 6) AS value,
+  pairs::BIGINT AS pairs, positives::BIGINT AS positives FROM counted, limits)"""
+)
+VERDICTS = (
+    VALUES.replace("{reached}", " OR ".join(f"{m} >= {t}" for m, t in ESCALATED.items()))
+    + """,
+verdicts AS (SELECT *, a || '-' || b AS case_id, CASE WHEN value >= threshold THEN 'flag' WHEN value >= escalated THEN 'escalate' ELSE 'ignore' END AS verdict FROM rated)"""
+)
+SIMHASHES = (
+    PRINTS
+    + """,
+hamming AS (SELECT a, b, (bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)))::BIGINT AS hamming FROM pairs JOIN prints x ON x.doc_id = a JOIN prints y ON y.doc_id = b)"""
 )
-_HIGH, _LOW = "('0x' || substr(md5(shingle), 1, 8))::BIGINT", "('0x' || substr(md5(shingle), 9, 8))::BIGINT"
-SIMHASHES = f""",
-halves AS (SELECT doc_id, {_LOW} AS low, {_HIGH} AS high FROM shingles),
-votes AS (SELECT doc_id, k, sum(CASE WHEN ((CASE WHEN k < 32 THEN low ELSE high END) >> (k % 32)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM halves, range(0, 64) r(k) GROUP BY doc_id, k),
-simhashes AS (SELECT doc_id, list(bit ORDER BY k) AS bits FROM votes GROUP BY doc_id),
-hamming AS (SELECT a, b, len(list_filter(list_zip(x.bits, y.bits), lambda z: z[1] <> z[2]))::BIGINT AS hamming FROM pairs JOIN simhashes x ON x.doc_id = a JOIN simhashes y ON y.doc_id = b)"""
 _SORTING = "length(text) % 2 = 0"
 
 ORACLE_SQL: dict[str, str] = {
     "shingle_counts": f"WITH {SHINGLES} SELECT d.doc_id, count(s.shingle) AS n_shingles FROM documents d LEFT JOIN shingles s ON d.doc_id = s.doc_id GROUP BY d.doc_id",
     "jaccard_pairs": f"WITH {PAIRS} SELECT a, b, n_a, n_b, shared, round(jaccard, 6) AS similarity, members_a, members_b FROM pairs",
     "shingle_classes": f"WITH {PAIRS} SELECT doc_id, rep, members FROM sets JOIN reps USING (set_key)",
-    "pair_metrics": f"WITH {PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine, round(overlap, 6) AS overlap, round(dice, 6) AS dice FROM pairs",
+    "pair_metrics": f"WITH {PAIRS}{SIMHASHES} SELECT a, b, round(jaccard, 6) AS jaccard, round(cosine, 6) AS cosine, round(overlap, 6) AS overlap, round(dice, 6) AS dice, round(1 - hamming / 64, 6) AS simhash FROM pairs JOIN hamming USING (a, b)",
     "pair_residual": f"WITH {PAIRS} SELECT a, b, n_a - shared AS only_a, n_b - shared AS only_b, shared FROM pairs",
     "minhash_signature": f"WITH {SIGNATURES} SELECT doc_id, array_to_string(signature, ',') AS signature FROM signatures",
     "minhash_estimate": f"WITH {both_signatures()} SELECT a, b, round(len(list_filter(list_zip(x.signature, y.signature), lambda z: z[1] = z[2])) / {HASHES}, 6) AS estimate FROM pairs JOIN signatures x ON x.doc_id = a JOIN signatures y ON y.doc_id = b",
@@ -132,8 +156,8 @@ SELECT a, b, round(shared / (n_a + n_b - shared), 6) AS similarity FROM verified
     "twin_families": f"WITH RECURSIVE {FAMILIES} SELECT doc_id, family FROM families",
     "largest_family": f"WITH RECURSIVE {FAMILIES}, sizes AS (SELECT family, count(*) AS size FROM families GROUP BY family ORDER BY size DESC, family LIMIT 1) SELECT doc_id, family, size FROM families JOIN sizes USING (family)",
     "metric_families": "WITH RECURSIVE "
-    + ALL_PAIRS
-    + "".join(families_of("", f"(SELECT a, b FROM pairs WHERE {m} >= {t})", f"{m}_") for m, t in DEFAULT_THRESHOLDS.items())
+    + EVERY_PAIR
+    + "".join(families_of("", f"(SELECT a, b FROM every_pair WHERE {m} >= {t})", f"{m}_") for m, t in DEFAULT_THRESHOLDS.items())
     + " "
     + " UNION ALL ".join(f"SELECT '{m}' AS metric, doc_id AS node, family FROM sets JOIN reps USING (set_key) JOIN {m}_named USING (rep)" for m in DEFAULT_THRESHOLDS),
     "family_consensus": f"""WITH {TAGS}, members AS (SELECT family, page_id AS unit_id, array_to_string(tags, '>') AS root_key, len(tags) AS n_nodes, url FROM tags),
@@ -176,18 +200,22 @@ FROM ranked WHERE r <= {SHOWN} GROUP BY source""",
     "eval_recall_fp": f"""WITH {CASES}, r AS (SELECT quality = 1 AS control, coalesce(matched, 0) AS matched, coalesce(found - matched, 0) AS fp FROM labels JOIN documents USING (doc_id) LEFT JOIN counted ON case_id = doc_id),
 s AS (SELECT sum((NOT control)::INTEGER)::BIGINT AS traps, sum((NOT control AND matched > 0)::INTEGER)::BIGINT AS true_positives, sum(control::INTEGER)::BIGINT AS controls, sum(CASE WHEN control THEN fp ELSE 0 END)::BIGINT AS control_fp FROM r)
 SELECT 'surface' AS layer, *, round(100.0::DOUBLE * true_positives / traps, 6) AS recall_pct, round(control_fp / controls, 6) AS fp_per_control, 100.0 * true_positives / traps >= 40 AND control_fp / controls <= 0.15 AS passed FROM s""",
-    "best_threshold": f"WITH swept AS ({{threshold_sweep}}) SELECT threshold, kept, positives, negatives FROM swept WHERE negatives = 0 ORDER BY positives DESC, threshold LIMIT 1",
-    "best_setting": f"""WITH {VERDICTS}, counts AS (SELECT metric, g AS threshold, sum((NOT is_control)::INTEGER)::BIGINT AS flags, sum(is_control::INTEGER)::BIGINT AS escalations, sum((value < 0.95)::INTEGER)::BIGINT AS unknown_fp
-  FROM verdicts, (SELECT unnest(range(20, 99, 2))::INTEGER AS g) WHERE floor(round(value * 100, 6)) >= g GROUP BY metric, g),
+    "best_threshold": f"WITH swept AS ({{threshold_sweep}}) SELECT threshold, kept, positives, negatives, known FROM swept WHERE negatives = known ORDER BY positives DESC, threshold LIMIT 1",
+    "best_setting": f"""WITH {VALUES.replace("{reached}", "overlap >= 0.2 OR simhash >= 0.78")},
+grid AS (SELECT metric, g::INTEGER AS threshold, CASE metric WHEN 'simhash' THEN 78 ELSE 20 END AS low FROM limits, (SELECT unnest(range(20, 99, 2)) AS g) WHERE metric <> 'simhash' OR g >= 78),
+placed AS (SELECT metric, floor(round(value * 100, 6)) AS spot, positives, CASE WHEN a IS NULL THEN 0 ELSE pairs - positives END AS negatives FROM rated),
+counts AS (SELECT g.metric, g.threshold, sum(CASE WHEN spot >= g.threshold THEN positives ELSE 0 END)::BIGINT AS flags, sum(CASE WHEN spot < g.threshold THEN positives ELSE 0 END)::BIGINT AS escalations, sum(CASE WHEN spot >= g.threshold THEN negatives ELSE 0 END)::BIGINT AS unknown_fp
+  FROM grid g JOIN placed p ON p.metric = g.metric AND p.spot >= g.threshold - 10 AND p.spot >= g.low GROUP BY g.metric, g.threshold),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY flags DESC, escalations DESC, threshold) AS r FROM counts WHERE unknown_fp = 0)
 SELECT metric, threshold, flags, escalations, unknown_fp FROM ranked WHERE r = 1""",
-    "verdict_tally": f"WITH {VERDICTS} SELECT metric, is_control, count(*) FILTER (verdict = 'flag') AS flag, count(*) FILTER (verdict = 'escalate') AS escalate, count(*) FILTER (verdict = 'ignore') AS ignore FROM verdicts GROUP BY metric, is_control",
+    "verdict_tally": f"""WITH {VERDICTS}, told AS (SELECT metric, verdict, false AS is_control, positives AS n FROM verdicts UNION ALL SELECT metric, verdict, true, pairs - positives FROM verdicts)
+SELECT metric, is_control, coalesce(sum(n) FILTER (verdict = 'flag'), 0)::BIGINT AS flag, coalesce(sum(n) FILTER (verdict = 'escalate'), 0)::BIGINT AS escalate, coalesce(sum(n) FILTER (verdict = 'ignore'), 0)::BIGINT AS ignore FROM told WHERE n > 0 GROUP BY metric, is_control""",
     "verdict_changes": f"WITH {VERDICTS} SELECT v.metric, v.case_id, b.verdict AS was, v.verdict AS now FROM verdicts v JOIN verdicts b ON b.case_id = v.case_id AND b.metric = 'jaccard' WHERE v.metric <> 'jaccard' AND v.verdict <> b.verdict",
     "threshold_sweep": f"""WITH {ALL_PAIRS}, classed AS (SELECT doc_id, rep, lang FROM sets JOIN reps USING (set_key) JOIN documents USING (doc_id)),
-scored AS (SELECT jaccard, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER AS same FROM pairs JOIN classed x ON x.rep = a JOIN classed y ON y.rep = b WHERE jaccard >= 0.2
-  UNION ALL SELECT 1.0, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER FROM classed x JOIN classed y ON x.rep = y.rep AND x.doc_id < y.doc_id),
+scored AS (SELECT jaccard, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER AS same, 0 AS copy FROM pairs JOIN classed x ON x.rep = a JOIN classed y ON y.rep = b WHERE jaccard >= 0.2
+  UNION ALL SELECT 1.0, (x.lang IS NOT DISTINCT FROM y.lang)::INTEGER, 1 FROM classed x JOIN classed y ON x.rep = y.rep AND x.doc_id < y.doc_id),
 grid AS (SELECT unnest(range(20, 99, 2)) AS threshold)
-SELECT threshold, count(jaccard) AS kept, coalesce(sum(same), 0)::BIGINT AS positives, (count(jaccard) - coalesce(sum(same), 0))::BIGINT AS negatives FROM grid LEFT JOIN scored ON floor(round(jaccard * 100, 6)) >= threshold GROUP BY threshold""",
+SELECT threshold, count(jaccard) AS kept, coalesce(sum(same), 0)::BIGINT AS positives, (count(jaccard) - coalesce(sum(same), 0))::BIGINT AS negatives, coalesce(sum(copy * (1 - same)), 0)::BIGINT AS known FROM grid LEFT JOIN scored ON floor(round(jaccard * 100, 6)) >= threshold GROUP BY threshold""",
     "metric_floor": f"WITH RECURSIVE {FLOORS} SELECT family, metric, round(floor, 6) AS floor, round(margin, 6) AS margin FROM floors",
     "metric_rescue": f"WITH RECURSIVE {FLOORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY margin DESC, metric DESC) AS r FROM floors) SELECT family, metric, round(margin, 6) AS margin FROM ranked WHERE r = 1 AND margin >= 0",
 }

@@ -32,6 +32,27 @@ def document_pairs(spark: SparkSession, sf_dir: str, threshold: float = 0.4) ->
     return pairs.jaccard_pairs(document_sets(spark, sf_dir), threshold)
 
 
+def document_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sets of word shingles, and their classes with fingerprints."""
+    sets = document_sets(spark, sf_dir)
+    return sets, cut(pairs.fingerprinted(cut(pairs.set_classes(sets)), table(spark, sf_dir, "documents")))
+
+
+def by_language(spark: SparkSession, sf_dir: str, sets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
+    """The class pairs `found` with `pairs` (of documents) and `positives` (those of one language), and a row for the copies of each class, of null a and b.
+
+    Copies are counted, never paired: a class is its number of members of each language.
+    """
+    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang")
+    tally = cut(pairs.class_members(sets, reps.select("rep", "items", "members")).join(lang, "key").groupBy("rep", "lang").agg(F.count("*").alias("m")).withColumn("lang", F.struct("lang")))
+    one, two = tally.select(F.col("rep").alias("a"), "lang", F.col("m").alias("ma")), tally.select(F.col("rep").alias("b"), "lang", F.col("m").alias("mb"))
+    found = found.withColumn("pairs", F.col("members_a") * F.col("members_b"))
+    same = found.select("a", "b").join(one, "a").join(two, ["b", "lang"]).groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("positives"))
+    between = found.join(same, ["a", "b"], "left").withColumn("positives", F.coalesce("positives", F.lit(0)))
+    inside = tally.groupBy("rep").agg(F.sum("m").alias("m"), F.sum(F.expr("m * (m - 1) div 2")).alias("positives")).where("m > 1").select(F.expr("m * (m - 1) div 2").alias("pairs"), "positives")
+    return between.unionByName(inside, allowMissingColumns=True)
+
+
 def paired(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     """doc_id and shingles of the documents in pairs (a, b), so that no other is sketched or shuffled."""
     named = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -59,8 +80,9 @@ def shingle_classes(spark, sf_dir):
 
 
 def pair_metrics(spark, sf_dir):
-    sizes = F.col("n_a"), F.col("n_b"), F.col("shared")
-    return document_pairs(spark, sf_dir).select("a", "b", *[F.round(f(*sizes), 6).alias(m) for m, f in metrics.METRICS.items()])
+    _, reps = document_classes(spark, sf_dir)
+    found = pairs.with_hamming(pairs.class_pairs(reps.where("n > 0"), 0.4), reps)
+    return found.select("a", "b", *[F.round(c, 6).alias(m) for m, c in metrics.of_pairs().items()])
 
 
 def pair_residual(spark, sf_dir):
@@ -115,7 +137,8 @@ def largest_family(spark, sf_dir):
 
 
 def metric_families(spark, sf_dir):
-    return families.families_by_metric(document_sets(spark, sf_dir), evaluate.DEFAULT_THRESHOLDS)
+    """Families under each metric, of all pairs that reach its threshold by the metric itself."""
+    return families.families_by_metric(*document_classes(spark, sf_dir), evaluate.DEFAULT_THRESHOLDS)
 
 
 def tag_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,66 +280,72 @@ def eval_recall_fp(spark, sf_dir):
     return evaluate.layer_stats(rows, "surface", 40.0, 0.15).withColumn("recall_pct", F.round("recall_pct", 6)).withColumn("fp_per_control", F.round("fp_per_control", 6))
 
 
+def metric_values(spark: SparkSession, sf_dir: str, lows: dict[str, float]) -> DataFrame:
+    """metric, case_id, value, pairs, positives, negatives of all pairs of different sets that reach the low of some metric, by each metric.
+
+    A case is a pair of classes and stands for all pairs of their documents; those of one language are positive.
+    The copies of each class are cases without id, of value 1; copies of different languages aren't negatives.
+    """
+    sets, reps = document_classes(spark, sf_dir)
+    counted = by_language(spark, sf_dir, sets, reps, pairs.judged_pairs(reps.where("n > 0"), lows))
+    copies = F.col("a").isNull()
+    told = F.array(*[F.struct(F.lit(m).alias("metric"), F.when(copies, 1.0).otherwise(F.round(c, 6)).alias("value")) for m, c in metrics.of_pairs().items()])
+    case, negatives = F.when(~copies, F.concat_ws("-", "a", "b")), F.when(copies, 0).otherwise(F.col("pairs") - F.col("positives"))
+    return counted.select(case.alias("case_id"), "pairs", "positives", negatives.alias("negatives"), F.explode(told).alias("x")).select("x.metric", "case_id", "x.value", "pairs", "positives", "negatives")
+
+
 def metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """metric, case_id, is_control, verdict: of each pair by each metric, flag at its threshold, escalate from a tenth below; pairs of one source are controls."""
-    found = cut(document_pairs(spark, sf_dir, 0.3))
-    source = table(spark, sf_dir, "documents").select("doc_id", "source")
-    both = found.join(source.select(F.col("doc_id").alias("a"), F.col("source").alias("sa")), "a").join(source.select(F.col("doc_id").alias("b"), F.col("source").alias("sb")), "b")
-    sizes = F.col("n_a"), F.col("n_b"), F.col("shared")
-    told = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(f(*sizes), 6).alias("value"), F.lit(evaluate.DEFAULT_THRESHOLDS[m]).alias("t")) for m, f in metrics.METRICS.items()])
-    rows = both.select(F.concat_ws("-", "a", "b").alias("case_id"), F.col("sa").eqNullSafe(F.col("sb")).alias("is_control"), F.explode(told).alias("x")).select("case_id", "is_control", "x.*")
-    verdict = F.when(F.col("value") >= F.col("t"), "flag").when(F.col("value") >= F.round(F.col("t") - 0.1, 6), "escalate").otherwise("ignore")
-    return rows.select("metric", "case_id", "is_control", verdict.alias("verdict"), "value")
+    """metric_values of all pairs that some metric escalates, with each metric's verdict: flag at its threshold, escalate from below it, else ignore."""
+    at = lambda levels: F.create_map(*[F.lit(x) for m, t in levels.items() for x in (m, t)])[F.col("metric")]
+    verdict = F.when(F.col("value") >= at(evaluate.DEFAULT_THRESHOLDS), "flag").when(F.col("value") >= at(evaluate.ESCALATED), "escalate").otherwise("ignore")
+    return metric_values(spark, sf_dir, evaluate.ESCALATED).withColumn("verdict", verdict)
 
 
 def verdict_tally(spark, sf_dir):
-    return evaluate.verdict_tally(metric_verdicts(spark, sf_dir))
+    """Pairs of documents, copies included; those of two languages are controls."""
+    told = metric_verdicts(spark, sf_dir).select("metric", "verdict", F.explode(F.array(F.struct(F.lit(False).alias("is_control"), F.col("positives").alias("n")), F.struct(F.lit(True).alias("is_control"), (F.col("pairs") - F.col("positives")).alias("n")))).alias("x"))
+    return evaluate.verdict_tally(told.select("metric", "verdict", "x.*").where("n > 0"), "n")
 
 
 def verdict_changes(spark, sf_dir):
-    return evaluate.verdict_changes(metric_verdicts(spark, sf_dir))
+    return evaluate.verdict_changes(metric_verdicts(spark, sf_dir).where("case_id IS NOT NULL"))
 
 
 def best_threshold(spark, sf_dir):
-    """The threshold of the sweep that keeps most pairs of one language and none of two."""
+    """The threshold of the sweep that keeps most pairs of one language and none of two, copies aside."""
     return evaluate.best_threshold(threshold_sweep(spark, sf_dir))
 
 
+#: From where the thresholds of each metric are swept, in hundredths; below 0.78 fingerprints meet by chance.
+SWEPT = {m: 78 if m == metrics.SIMHASH else 20 for m in evaluate.DEFAULT_THRESHOLDS}
+
+
 def best_setting(spark, sf_dir):
-    """Of each metric the threshold that flags most pairs of different sources, then escalates most of one source, with no pair below 0.95 of the metric kept."""
-    grid = spark.range(20, 99, 2).select(F.col("id").cast("int").alias("threshold"))
-    value = metric_verdicts(spark, sf_dir).withColumn("hundredths", F.floor(F.round(F.col("value") * 100, 6)))
-    binned = value.groupBy("metric", "hundredths", "is_control").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0.95).alias("low"))
-    kept = binned.join(F.broadcast(grid), F.col("hundredths") >= F.col("threshold"))  # at most a hundred bins a metric meet forty thresholds
-    counts = kept.groupBy("metric", "threshold").agg(F.sum(F.when(~F.col("is_control"), F.col("n")).otherwise(0)).alias("flags"), F.sum(F.when(F.col("is_control"), F.col("n")).otherwise(0)).alias("escalations"), F.sum("low").alias("unknown_fp"))
-    return evaluate.best_setting(counts)
+    """Of each metric the threshold that keeps most pairs of one language, then has most a tenth below it, with no pair of two languages kept, copies aside."""
+    # overlap is never below the other set metrics, so its pairs hold theirs
+    values = metric_values(spark, sf_dir, {"overlap": 0.2, metrics.SIMHASH: 0.78})
+    return evaluate.best_setting(evaluate.settings(values, SWEPT)).select("metric", "threshold", *[F.col(c).cast("long").alias(c) for c in ("flags", "escalations", "unknown_fp")])
 
 
 def threshold_sweep(spark, sf_dir):
-    """Pairs of documents, copies included, that reach each threshold, and how many of them are of one language."""
+    """Pairs of documents, copies included, that reach each threshold, how many of them are of one language, and how many of the others are copies."""
     sets = document_sets(spark, sf_dir)
     reps = cut(pairs.set_classes(sets))
-    lang = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "lang")
-    # copies are counted, never paired: a class is its number of members of each language
-    tally = cut(pairs.class_members(sets, reps).join(lang, "key").groupBy("rep", "lang").agg(F.count("*").alias("m")).withColumn("lang", F.struct("lang")))
-    one, two = tally.select(F.col("rep").alias("a"), "lang", F.col("m").alias("ma")), tally.select(F.col("rep").alias("b"), "lang", F.col("m").alias("mb"))
-    found = pairs.class_pairs(reps.where("n > 0"), 0.2).select("a", "b", "similarity", (F.col("members_a") * F.col("members_b")).alias("pairs"))
-    same = found.join(one, "a").join(two, ["b", "lang"]).groupBy("a", "b").agg(F.sum(F.col("ma") * F.col("mb")).alias("same"))
-    between = found.join(same, ["a", "b"], "left").select("similarity", "pairs", F.coalesce("same", F.lit(0)).alias("positives"))
-    inside = tally.groupBy("rep").agg(F.sum("m").alias("m"), F.sum(F.expr("m * (m - 1) div 2")).alias("positives")).where("m > 1")
-    swept = evaluate.sweep(between.unionByName(inside.select(F.lit(1.0).alias("similarity"), F.expr("m * (m - 1) div 2").alias("pairs"), "positives")))
+    counted = by_language(spark, sf_dir, sets, reps, pairs.class_pairs(reps.where("n > 0"), 0.2).select("a", "b", "similarity", "members_a", "members_b"))
+    known = F.when(F.col("a").isNull(), F.col("pairs") - F.col("positives")).otherwise(0)
+    swept = evaluate.sweep(counted.select(F.coalesce("similarity", F.lit(1.0)).alias("similarity"), "pairs", "positives", known.alias("known")))
     return swept.select([F.col(c).cast("long").alias(c) for c in swept.columns])
 
 
 def floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """metric_floors of all pairs of distinct sets of each twin family, however far apart; a family of copies only has its own set."""
-    reps = cut(pairs.set_classes(document_sets(spark, sf_dir)))
+    _, reps = document_classes(spark, sf_dir)
     family = graph.components(pairs.class_pairs(reps.where("n > 0"), families.THRESHOLD))
-    placed = reps.join(family, reps.rep == family.node).select("family", "rep", "items")
-    sizes = F.size("ia"), F.size("ib"), F.size(F.array_intersect("ia", "ib"))
-    copies = reps.where("members > 1").join(family, reps.rep == family.node, "left_anti").select(F.col("rep").alias("family"), F.col("items").alias("ia"), F.col("items").alias("ib"))
-    both = pairs.pairs_within(placed, "family").unionByName(copies)
-    return evaluate.metric_floors(both.select("family", *[f(*sizes).alias(m) for m, f in metrics.METRICS.items()]), "family")
+    placed = reps.join(family, reps.rep == family.node).select("family", "rep", "items", "simhash")
+    columns = F.size("ia").alias("n_a"), F.size("ib").alias("n_b"), F.size(F.array_intersect("ia", "ib")).alias("shared"), metrics.hamming(F.col("x"), F.col("y")).alias("hamming")
+    copies = reps.where("members > 1").join(family, reps.rep == family.node, "left_anti").select(F.col("rep").alias("family"), *[F.col("items").alias(c) for c in ("ia", "ib")], *[F.col("simhash").alias(c) for c in ("x", "y")])
+    both = pairs.pairs_within(placed, "family").unionByName(copies).select("family", *columns)
+    return evaluate.metric_floors(both.select("family", *[c.alias(m) for m, c in metrics.of_pairs().items()]), "family")
 
 
 def metric_floor(spark, sf_dir):
