@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,3 +76,63 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Recor
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             items = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
             yield pa.record_batch({"key": batch.column("key"), "items": pa.ListArray.from_arrays(ends, items)})
+
+
+BLANKS = re.compile("[ \n\t\r]+")
+
+
+def md5_set(text: str, k: int) -> np.ndarray:
+    """The first 64 bits, as signed numbers, of the md5 of each distinct run of k words; SQL engines have md5 in common."""
+    words = [w for w in BLANKS.split(text) if w]
+    runs = dict.fromkeys(zip(*(words[j:] for j in range(k)), strict=False))
+    return np.frombuffer(b"".join([hashlib.md5(" ".join(r).encode()).digest()[:8] for r in runs]), ">i8").astype(np.int64)
+
+
+def md5_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """key and hashes of rows (key, text)."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(lo, ROWS)
+            sets = [md5_set(t or "", k) for t in batch.column("text").to_pylist()]
+            hashes = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+            yield pa.record_batch({"key": batch.column("key"), "hashes": pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), hashes)})
+
+
+#: Slots that items are counted by; a count is that of all items of a slot.
+SLOTS = 1 << 18
+
+
+def slot_of(items: np.ndarray) -> np.ndarray:
+    return (mixed(items.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def list_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a list column without nulls, and where each row's begin (one more than rows)."""
+    offs = column.offsets.to_numpy()
+    return column.flatten().to_numpy(zero_copy_only=False), (offs - offs[0]).astype(np.int64)
+
+
+def slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, n of all items of a task's sets; a row for each slot at most."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        total += np.bincount(slot_of(list_rows(batch.column("items"))[0]), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.record_batch({"slot": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+
+def prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """rep, n, place, item: of each set the first n - ceil(threshold n) + 1 items, those of rare slots first, and the place of each."""
+    for batch in batches:
+        items, cut = list_rows(batch.column("items"))
+        n = np.diff(cut)
+        home = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((items, counts[slot_of(items)], home))
+        place = np.arange(len(items)) - np.repeat(cut[:-1], n)
+        length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+        kept = place < length[home]
+        # an item alone in its slot is in one set only and makes no pair
+        kept &= counts[slot_of(items[order])] > 1
+        yield pa.record_batch({
+            "rep": batch.column("rep").take(pa.array(home[kept])), "n": pa.array(n[home[kept]].astype(np.int32)), "place": pa.array(place[kept].astype(np.int32)), "item": pa.array(items[order][kept]),
+        })

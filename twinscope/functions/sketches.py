@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinscope.functions.hashing import list_rows, md5_sets
 from twinscope.functions.text import let
 
 HASHES, BANDS = 128, 32
@@ -51,10 +52,15 @@ def fnv1a32(text: Column) -> Column:
     return F.aggregate(utf16_units(text), F.lit(0x811C9DC5).cast("long"), step)
 
 
-def rows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of a list column without nulls, and where each row's begin (one more than rows)."""
-    offs = column.offsets.to_numpy()
-    return column.flatten().to_numpy(zero_copy_only=False), (offs - offs[0]).astype(np.int64)
+def text_hashes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
+    """key and hashes64 of the distinct word shingles of each text, in the row itself."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: md5_sets(batches, k), f"key {rows.schema['key'].dataType.simpleString()}, hashes array<long>").withColumnRenamed("key", key)
+
+
+def high_halves(hashes: Column) -> Column:
+    """hashes32 from hashes64."""
+    return F.transform(hashes, lambda h: F.shiftrightunsigned(h, 32))
 
 
 def signatures(sets: DataFrame, key: str, hashes: str = "hashes", n: int = HASHES) -> DataFrame:
@@ -63,7 +69,7 @@ def signatures(sets: DataFrame, key: str, hashes: str = "hashes", n: int = HASHE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, cut = rows_of(batch.column("hashes"))
+            values, cut = list_rows(batch.column("hashes"))
             out = np.full((batch.num_rows, n), WORD, np.int64)
             for k in range(batch.num_rows):
                 low = np.full(n, WORD, np.uint64)
@@ -92,7 +98,7 @@ def simhashes(sets: DataFrame, key: str, hashes: str = "hashes") -> DataFrame:
     """key, n_items, simhash of sets of 64-bit hashes: bit k is set where more items have it than not."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, cut = rows_of(batch.column("hashes"))
+            values, cut = list_rows(batch.column("hashes"))
             n = np.diff(cut)
             votes = np.zeros((batch.num_rows, 64), np.int64)
             for k in np.flatnonzero(n):

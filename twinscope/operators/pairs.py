@@ -10,12 +10,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinscope.functions import metrics, sketches
-from twinscope.functions.hashing import shingle_sets
-from twinscope.functions.text import word_shingles
+from twinscope.functions.hashing import SLOTS, prefixes, shingle_sets, slot_counts
 from twinscope.operators.storage import cut
 
 
@@ -40,18 +40,18 @@ def class_members(sets: DataFrame, reps: DataFrame | None = None) -> DataFrame:
     return sets.join(set_classes(sets) if reps is None else reps, "items").select("key", "rep", "members")
 
 
-def _known(reps: DataFrame) -> DataFrame:
-    """rep, n, item, df of all items of more than one class; an item of one set makes no pair."""
-    items = reps.select("rep", "n", F.explode("items").alias("item"))
-    return items.join(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "item")
+def _prefix(reps: DataFrame, threshold: float) -> DataFrame:
+    """rep, n, place, item: the first n - ceil(threshold n) + 1 items of each class, those of rare slots first.
 
-
-def _prefix(known: DataFrame, threshold: float) -> DataFrame:
-    """rep, n, item: the first n - ceil(threshold n) + 1 items of each class, rarest first."""
-    ranked = known.groupBy("rep").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("ranked"))
-    # items of one set come first in the order; they use up that much of the prefix
-    length = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("ranked"))
-    return ranked.where(length > 0).select("rep", "n", F.explode(F.slice("ranked", F.lit(1), length)).alias("x")).select("rep", "n", F.col("x.item").alias("item"))
+    Any order of items that is the same for all sets loses nothing; this one keeps common items from being join keys.
+    Slots are counted over all sets (SLOTS rows a task at most, SLOTS numbers in all), so that no item is looked up.
+    """
+    counts = np.zeros(SLOTS, np.int64)
+    for part in reps.select("items").mapInArrow(slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[part.column("slot").to_numpy()] = part.column("n").to_numpy()
+    known = reps.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+    kind = reps.schema["rep"].dataType.simpleString()
+    return reps.select("rep", "items").mapInArrow(lambda batches: prefixes(batches, known.value, threshold), f"rep {kind}, n int, place int, item long")
 
 
 def _measured(candidates: DataFrame, reps: DataFrame) -> DataFrame:
@@ -67,17 +67,20 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.4) -> DataFrame:
     """a < b, n_a, n_b, shared, similarity, members_a, members_b of all class pairs with Jaccard >= threshold.
 
     A pair at the threshold shares an item among the first n - ceil(threshold n) + 1 of either set, in any
-    fixed order of items; rarest first, so that common items are hardly ever join keys. Nothing is lost.
+    fixed order of items; rare ones first, so that common items are hardly ever join keys. Nothing is lost.
     """
     return class_pairs(cut(set_classes(sets).where("n > 0")), threshold)
 
 
 def class_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     """jaccard_pairs of distinct sets (rep, items, n > 0, members)."""
-    prefix = _prefix(_known(reps), threshold)
-    left, right = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "item"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "item")
-    long_enough = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
-    candidates = left.join(right, "item").where((F.col("a") < F.col("b")) & long_enough).select("a", "b").distinct()
+    prefix = _prefix(reps, threshold)
+    left, right = (prefix.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), "item") for x in ("a", "b"))
+    long_enough = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
+    # the first item that a pair shares has to leave room for the rest of what it must share
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed
+    candidates = left.join(right, "item").where((F.col("a") < F.col("b")) & long_enough & room).select("a", "b").distinct()
     similarity = metrics.jaccard(F.col("n_a"), F.col("n_b"), F.col("shared"))
     both = _measured(candidates, reps).withColumn("similarity", similarity)
     return both.where(F.col("similarity") >= threshold).select("a", "b", "n_a", "n_b", "shared", "similarity", "members_a", "members_b")
@@ -89,8 +92,7 @@ def overlap_pairs(reps: DataFrame, threshold: float) -> DataFrame:
     The smaller set shares at least ceil(threshold n) of its items, so one among its first n - ceil(threshold n) + 1,
     rarest first; the larger may be of any size and hold that item anywhere, so all of its items are looked up.
     """
-    known = _known(reps)
-    small, large = _prefix(known, threshold).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item"), known.select(F.col("rep").alias("y"), F.col("n").alias("ny"), "item")
+    small, large = _prefix(reps, threshold).select(F.col("rep").alias("x"), F.col("n").alias("nx"), "item"), reps.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.explode("items").alias("item"))
     held = small.join(large, "item").where((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
     found = _measured(held.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), reps)
     return found.where(metrics.overlap(F.col("n_a"), F.col("n_b"), F.col("shared")) >= threshold)
@@ -168,9 +170,13 @@ def with_hamming(found: DataFrame, reps: DataFrame) -> DataFrame:
 
 def fingerprinted(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """set_classes of the word shingles of texts with their `simhash`; only the text that stands for a class is hashed."""
-    standing = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).join(reps.select("rep"), "rep", "left_semi")
-    prints = sketches.simhashes(standing.select("rep", sketches.hashes64(word_shingles(F.col("text"), k)).alias("hashes")), "rep")
-    return reps.join(prints.select("rep", "simhash"), "rep")
+    return reps.join(sketches.simhashes(_standing(reps, docs, key, text, k), "rep").select("rep", "simhash"), "rep")
+
+
+def _standing(reps: DataFrame, docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """rep, hashes (64 bits each) of the texts that stand for classes; copies aren't hashed."""
+    named = docs.select(F.col(key).alias("rep"), F.col(text).alias("text"))
+    return sketches.text_hashes(named.join(reps.select("rep"), "rep", "left_semi"), "rep", "text", k)
 
 
 def pairs_within(placed: DataFrame, group: str, block: int = 64) -> DataFrame:
@@ -196,9 +202,8 @@ def lsh_pairs(reps: DataFrame, n_bands: int = sketches.BANDS, hashes: int = sket
 
 def hashed_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3) -> DataFrame:
     """set_classes of the word shingles of texts, with `hashes`, which sketches take instead of `items`."""
-    reps = set_classes(text_sets(docs, key, text, k))
-    hashes = docs.select(F.col(key).alias("rep"), sketches.hashes32(word_shingles(F.col(text), k)).alias("hashes"))
-    return reps.join(hashes, "rep")
+    reps = cut(set_classes(text_sets(docs, key, text, k)))
+    return reps.join(_standing(reps, docs, key, text, k).withColumn("hashes", sketches.high_halves(F.col("hashes"))), "rep")
 
 
 def twin_pairs(reps: DataFrame, threshold: float = 0.5) -> DataFrame:

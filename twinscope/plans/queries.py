@@ -54,10 +54,9 @@ def by_language(spark: SparkSession, sf_dir: str, sets: DataFrame, reps: DataFra
 
 
 def paired(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
-    """doc_id and shingles of the documents in pairs (a, b), so that no other is sketched or shuffled."""
+    """The documents in pairs (a, b), so that no other is sketched or shuffled."""
     named = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    docs = table(spark, sf_dir, "documents").join(named, "doc_id", "left_semi")
-    return docs.select("doc_id", word_shingles(F.col("text")).alias("shingles"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(named, "doc_id", "left_semi")
 
 
 def both_sides(found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
@@ -87,19 +86,18 @@ def pair_metrics(spark, sf_dir):
 
 def pair_residual(spark, sf_dir):
     found = cut(document_pairs(spark, sf_dir).select("a", "b"))
-    both = both_sides(found, paired(spark, sf_dir, found), "shingles").withColumn("r", metrics.residual(F.col("a_shingles"), F.col("b_shingles")))
+    both = both_sides(found, paired(spark, sf_dir, found).select("doc_id", word_shingles(F.col("text")).alias("shingles")), "shingles").withColumn("r", metrics.residual(F.col("a_shingles"), F.col("b_shingles")))
     return both.select("a", "b", F.size("r.only_a").cast("long").alias("only_a"), F.size("r.only_b").cast("long").alias("only_b"), F.col("r.shared").cast("long").alias("shared"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, signature of documents (doc_id, shingles)."""
-    return sketches.signatures(docs.select("doc_id", sketches.hashes32(F.col("shingles")).alias("hashes")), "doc_id")
+    """doc_id, signature of documents (doc_id, text)."""
+    return sketches.signatures(sketches.text_hashes(docs).withColumn("hashes", sketches.high_halves(F.col("hashes"))), "doc_id")
 
 
 def minhash_signature(spark, sf_dir):
     """Of documents of fewer than three words the largest number throughout."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", word_shingles(F.col("text")).alias("shingles"))
-    return signed(docs).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
+    return signed(table(spark, sf_dir, "documents")).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
 def minhash_estimate(spark, sf_dir):
@@ -120,7 +118,7 @@ def twin_pairs(spark, sf_dir):
 
 def simhash_hamming(spark, sf_dir):
     found = cut(document_pairs(spark, sf_dir).select("a", "b"))
-    hashed = sketches.simhashes(paired(spark, sf_dir, found).select("doc_id", sketches.hashes64(F.col("shingles")).alias("hashes")), "doc_id")
+    hashed = sketches.simhashes(sketches.text_hashes(paired(spark, sf_dir, found)), "doc_id")
     both = both_sides(found, hashed, "simhash", "n_items")
     x, y, n, m = (F.col(c) for c in ("a_simhash", "b_simhash", "a_n_items", "b_n_items"))
     return both.select("a", "b", metrics.hamming(x, y).cast("long").alias("hamming"), F.round(metrics.simhash_similarity(x, y, n, m), 6).alias("similarity"))
@@ -189,8 +187,8 @@ def import_path_scan(spark, sf_dir):
 
 
 def sort_asymmetry(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("file"), "lang", word_shingles(F.col("text")).alias("identifiers"), (F.char_length("text") % 2 == 0).alias("has_sort"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("file"), "lang", (F.char_length("text") % 2 == 0).alias("has_sort"))
+    rows = docs.join(document_sets(spark, sf_dir).select(F.col("key").alias("unit"), F.col("items").alias("identifiers")), "unit")
     return asymmetry.asymmetric(rows, "lang").select(F.col("unit").alias("doc_id"), "n_similar")
 
 
