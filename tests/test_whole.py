@@ -1,11 +1,13 @@
 """Queries on small tables against plain versions that judge every pair."""
 
+import functools
+import hashlib
 import itertools
 import random
 
 import pytest
 
-from twinscope.operators.evaluate import DEFAULT_THRESHOLDS
+from twinscope.operators.evaluate import DEFAULT_THRESHOLDS, ESCALATED
 from twinscope.operators.pairs import pairs_within
 from twinscope.plans.queries import QUERIES
 
@@ -14,9 +16,16 @@ VALUE = {
     "cosine": lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5,
     "overlap": lambda a, b: len(a & b) / min(len(a), len(b)),
     "dice": lambda a, b: 2 * len(a & b) / (len(a) + len(b)),
+    "simhash": lambda a, b: 1 - (fingerprint(a) ^ fingerprint(b)).bit_count() / 64,
 }
 
 
+@functools.cache
+def fingerprint(items):
+    hashes = [int.from_bytes(hashlib.md5(" ".join(i).encode()).digest()[:8]) for i in items]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
 def shingles(text):
     w = (text or "").split()
     return frozenset(zip(w, w[1:], w[2:], strict=False))
@@ -68,12 +77,50 @@ def test_threshold_sweep(spark, tables):
     folder, rows = tables
     sets = {r[0]: shingles(r[1]) for r in rows}
     lang = {r[0]: r[2] for r in rows}
-    scored = [(similarity("jaccard", sets[a], sets[b]), lang[a] == lang[b]) for a, b in itertools.combinations(sets, 2)]
-    assert any(0.2 <= s < 0.4 for s, _ in scored)
-    got = {r.threshold: (r.kept, r.positives, r.negatives) for r in QUERIES["threshold_sweep"](spark, folder).collect()}
+    scored = [(similarity("jaccard", sets[a], sets[b]), lang[a] == lang[b], sets[a] == sets[b]) for a, b in itertools.combinations(sets, 2)]
+    assert any(0.2 <= s < 0.4 for s, *_ in scored)
+    got = {r.threshold: (r.kept, r.positives, r.negatives, r.known) for r in QUERIES["threshold_sweep"](spark, folder).collect()}
     for t in range(20, 99, 2):
-        at = [same for s, same in scored if int(round(s * 100, 6)) >= t]
-        assert got[t] == (len(at), sum(at), len(at) - sum(at)), t
+        at = [(same, copy) for s, same, copy in scored if int(round(s * 100, 6)) >= t]
+        same = sum(s for s, _ in at)
+        assert got[t] == (len(at), same, len(at) - same, sum(copy and not s for s, copy in at)), t
+    kept = [t for t in got if got[t][2] == got[t][3]]
+    assert [r.threshold for r in QUERIES["best_threshold"](spark, folder).collect()] == ([min(kept, key=lambda t: (-got[t][1], t))] if kept else [])
+
+
+def every_value(rows):
+    """(metric, value, one language, copies) of every pair of documents that share what the metric escalates at least."""
+    sets, lang = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[2] for r in rows}
+    return [({m: round(similarity(m, sets[a], sets[b]), 6) for m in VALUE}, lang[a] == lang[b], sets[a] == sets[b]) for a, b in itertools.combinations(sets, 2)]
+
+
+def test_verdicts_are_of_all_pairs(spark, tables):
+    """Overlap flags texts inside longer ones, whose Jaccard similarity is far below its own threshold."""
+    folder, rows = tables
+    judged = [x for x in every_value(rows) if any(x[0][m] >= t for m, t in ESCALATED.items())]
+    want = {}
+    for m, t in DEFAULT_THRESHOLDS.items():
+        for values, same, _ in judged:
+            v = "flag" if values[m] >= t else "escalate" if values[m] >= ESCALATED[m] else "ignore"
+            row = want.setdefault((m, not same), {"flag": 0, "escalate": 0, "ignore": 0})
+            row[v] += 1
+    assert any(values["overlap"] >= 0.75 and values["jaccard"] < 0.3 for values, *_ in judged)
+    got = {(r.metric, r.is_control): {"flag": r.flag, "escalate": r.escalate, "ignore": r.ignore} for r in QUERIES["verdict_tally"](spark, folder).collect()}
+    assert got == want
+
+
+def test_best_setting(spark, tables):
+    folder, rows = tables
+    pairs = every_value(rows)
+    got = {r.metric: (r.threshold, r.flags, r.escalations, r.unknown_fp) for r in QUERIES["best_setting"](spark, folder).collect()}
+    for m in DEFAULT_THRESHOLDS:
+        low, best = 78 if m == "simhash" else 20, None
+        placed = [(int(round(values[m] * 100, 6)), same, copy) for values, same, copy in pairs]
+        for g in range(low, 99, 2):
+            flags, escalations = sum(same and at >= g for at, same, _ in placed), sum(same and max(low, g - 10) <= at < g for at, same, _ in placed)
+            if not any(at >= g and not same and not copy for at, same, copy in placed) and (best is None or (flags, escalations) > best[1:3]):
+                best = (g, flags, escalations, 0)
+        assert got.get(m) == best, m
 
 
 def test_one_signature(spark, tmp_path):
@@ -101,6 +148,6 @@ def test_metric_floor(spark, tables):
 
 
 def test_pairs_within_blocks(spark):
-    placed = spark.createDataFrame([(g, g * 100 + i, [g * 100 + i]) for g, n in ((0, 1), (1, 2), (2, 23)) for i in range(n)], "family int, rep long, items array<long>")
+    placed = spark.createDataFrame([(g, g * 100 + i, [g * 100 + i], i) for g, n in ((0, 1), (1, 2), (2, 23)) for i in range(n)], "family int, rep long, items array<long>, simhash long")
     got = sorted((r.family, *sorted((r.ia[0], r.ib[0]))) for r in pairs_within(placed, "family", 3).collect())
     assert got == sorted((g, g * 100 + i, g * 100 + j) for g, n in ((1, 2), (2, 23)) for i, j in itertools.combinations(range(n), 2))

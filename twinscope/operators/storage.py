@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the checkpoint folder, which executors share.
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, which only local sessions may leave unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = getattr(spark, "_twinscope_checkpoints", None) or tempfile.mkdtemp(prefix="twinscope-")
+        spark._twinscope_checkpoints = found
+    return found
+
+
+def folder(spark: SparkSession, what: str) -> str:
+    """A new folder of the shared one."""
+    return f"{shared(spark).rstrip('/')}/twinscope/{what}-{uuid.uuid4().hex}"
 
-    The folder is spark.checkpoint.dir; only local sessions may leave it unset.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the checkpoint folder, which executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if context.master != "local" and not context.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="twinscope-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)

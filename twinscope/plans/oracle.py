@@ -5,7 +5,6 @@ from __future__ import annotations
 from twinscope.functions.sketches import BANDS, HASHES, coefficients
 from twinscope.operators.evaluate import DEFAULT_THRESHOLDS, ESCALATED
 from twinscope.operators.report import INTRO, SHOWN
-from twinscope.plans.examples import CALLS_OF_CODE, VERDICTS_OF_CODE, nodes_of_code
 
 #: doc_id, shingle: distinct runs of three words.
 SHINGLES = r"""
@@ -172,6 +171,11 @@ best AS (SELECT * FROM placed WHERE r = 1 AND n_labels > 1 AND n >= ceil(members
 SELECT b.family, b.pre::INTEGER AS pre, b.label AS majority, b.n AS n_majority, arg_min(o.label, o.first_unit) AS outlier, min(o.first_unit) AS outlier_unit
 FROM best b JOIN placed o ON o.family = b.family AND o.pre = b.pre AND o.label <> b.label GROUP BY 1, 2, 3, 4""",
     "tree_trigrams": f"WITH {TAGS} SELECT page_id, count(DISTINCT gram) AS n_trigrams FROM (SELECT page_id, tags[i] || '>' || tags[i + 1] || '>' || tags[i + 2] AS gram FROM (SELECT page_id, tags, unnest(range(1, len(tags) - 1)) AS i FROM tags WHERE len(tags) >= 3)) GROUP BY page_id",
+    "nested_tags": r"""WITH parts AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS article FROM pages),
+told AS (SELECT page_id, 'NAV' AS outer_kind, 'LINK' AS inner_kind, regexp_extract_all(nav, 'href="([^"]*)"', 1) AS found, true AS labelled FROM parts UNION ALL SELECT page_id, 'NAV', 'LI', regexp_extract_all(nav, '<li>'), false FROM parts
+  UNION ALL SELECT page_id, 'ARTICLE', 'P', regexp_extract_all(article, '<p>'), false FROM parts UNION ALL SELECT page_id, 'ARTICLE', 'H1', regexp_extract_all(article, '<h1>'), false FROM parts
+  UNION ALL SELECT page_id, 'LI', 'A', regexp_extract_all(nav, '<li><a '), false FROM parts)
+SELECT page_id, outer_kind, inner_kind, len(found) AS n, CASE WHEN labelled THEN list_min(found) END AS first_label FROM told WHERE len(found) > 0""",
     "import_path_scan": r"""WITH lines AS (SELECT page_id, 2 AS start_line, url AS import_path FROM pages UNION ALL SELECT page_id, 3, regexp_replace(url, '[^A-Za-z0-9.]', '.', 'g') FROM pages),
 marked AS (SELECT *, lower(regexp_extract(import_path, '(?i)(?:^|[/\\.])(blog|en|fr|example|v[0-9]+)(?:[/\\.]|$)', 1)) AS marker FROM lines)
 SELECT page_id, min(start_line)::BIGINT AS start_line, import_path, marker FROM marked WHERE marker <> '' GROUP BY page_id, import_path, marker""",
@@ -221,20 +225,5 @@ SELECT threshold, count(jaccard) AS kept, coalesce(sum(same), 0)::BIGINT AS posi
 }
 ORACLE_SQL["best_threshold"] = ORACLE_SQL["best_threshold"].replace("{threshold_sweep}", ORACLE_SQL["threshold_sweep"])
 
-
-def expected(columns: str, rows: list[tuple]) -> str:
-    """A table of literal rows, as they follow from the norm by hand."""
-    def literal(x: object) -> str:
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({columns})"
-
-
-ORACLE_SQL["verdicts_code"] = expected("family, n_units, verdict, confidence, shape, summary", VERDICTS_OF_CODE)
-ORACLE_SQL["code_calls"] = expected("file, label", CALLS_OF_CODE)
-ORACLE_SQL["code_shapes"] = f"""WITH nodes AS ({expected("file, pre, depth, kind", nodes_of_code())}),
-placed AS (SELECT n.*, (SELECT max(p.pre) FROM nodes p WHERE p.file = n.file AND p.pre < n.pre AND p.depth = n.depth - 1) AS parent FROM nodes n),
-grams AS (SELECT a.file, count(DISTINCT a.kind || '>' || b.kind || '>' || c.kind) AS n_trigrams FROM nodes a JOIN nodes b ON b.file = a.file AND b.pre = a.pre + 1 JOIN nodes c ON c.file = a.file AND c.pre = a.pre + 2 GROUP BY a.file),
-trees AS (SELECT file, count(DISTINCT shape) AS n_subtrees FROM (SELECT n.file, n.pre, any_value(n.kind) || '(' || coalesce(string_agg(c.kind, ',' ORDER BY c.pre), '') || ')' AS shape
-  FROM nodes n LEFT JOIN placed c ON c.file = n.file AND c.parent = n.pre GROUP BY n.file, n.pre) GROUP BY file)
-SELECT file, count(*) AS n_nodes, any_value(n_trigrams) AS n_trigrams, any_value(n_subtrees) AS n_subtrees FROM nodes JOIN grams USING (file) JOIN trees USING (file) GROUP BY file"""
+ORACLE_SQL["growing_index"] = ORACLE_SQL["lsh_candidates"]
+ORACLE_SQL["growing_families"] = ORACLE_SQL["twin_families"]

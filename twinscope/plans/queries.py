@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,8 @@ from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
 from twinscope.functions.text import word_shingles
 from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
-from twinscope.operators.storage import cut
-from twinscope.operators.verdicts import characterise
-from twinscope.plans.examples import CODE
+from twinscope.operators.index import BandIndex
+from twinscope.operators.storage import cut, folder
 from twinscope.sources import corpus
 
 SHOUTING, TABLE = "!!", "|"
@@ -354,29 +354,44 @@ def metric_rescue(spark, sf_dir):
     return evaluate.rescued(floors(spark, sf_dir), "family").select("family", "metric", F.round("margin", 6).alias("margin"))
 
 
-def verdicts_code(spark, sf_dir):
-    """Verdicts on the example families of twinscope.plans.examples; no table has source code."""
-    found = cut(code_units(spark))
-    placed = spark.createDataFrame([(f, path) for f, path, _, _ in CODE], "family string, file string").join(found.select("file", "unit_id"), "file").select("family", "unit_id")
-    return characterise(placed, found).select("family", "n_units", "verdict", "confidence", "shape", "summary")
+#: Documents come in so many generations, by their ids.
+GENERATIONS = 3
 
 
-def code_units(spark: SparkSession) -> DataFrame:
-    return units.build_units(spark.createDataFrame(CODE, "family string, file string, language string, text string"))
+def generation_of(key: str, most: int):
+    return (F.col(key) * GENERATIONS / (most + 1)).cast("int")
 
 
-def code_shapes(spark, sf_dir):
-    """Nodes, distinct trigrams and subtree shingles of each example function."""
-    found = cut(code_units(spark))
-    grams = units.trigram_shingles(found, "file").groupBy("file").agg(F.count("*").alias("n_trigrams"))
-    trees = units.subtree_shingles(found, "file").groupBy("file").agg(F.count("*").alias("n_subtrees"))
-    return found.select("file", F.col("n_nodes").cast("long").alias("n_nodes")).join(grams, "file").join(trees, "file")
+def growing_index(spark, sf_dir):
+    """lsh_candidates, from an index to which the documents are added in generations: each is signed once, and only new ones look for partners."""
+    docs = table(spark, sf_dir, "documents")
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    hashed = sketches.text_hashes(docs).select(F.col("doc_id").alias("key"), sketches.high_halves(F.col("hashes")).alias("hashes"))
+    index = BandIndex(spark, folder(spark, "bands"))
+    found = [cut(index.add(hashed.where(generation_of("key", most) == g), g)) for g in range(GENERATIONS)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def growing_families(spark, sf_dir):
+    """twin_families, by components to which the pairs are added in generations, each with the later of its two documents."""
+    sets = document_sets(spark, sf_dir)
+    reps = cut(pairs.set_classes(sets))
+    found = cut(pairs.class_pairs(reps.where("n > 0"), families.THRESHOLD).select("a", "b"))
+    most = reps.agg(F.max("rep")).first()[0] or 0
+    labels = graph.components(found.where(generation_of("b", most) == 0))
+    for g in range(1, GENERATIONS):
+        labels = cut(graph.merge_components(labels, found.where(generation_of("b", most) == g))[0])
+    return families.placed(pairs.class_members(sets, reps), labels).select(F.col("node").alias("doc_id"), "family")
 
 
-def code_calls(spark, sf_dir):
-    """What each example function calls."""
-    found = cut(code_units(spark))
-    return calls.call_targets(found, "file")
+def nested_tags(spark, sf_dir):
+    """How many nodes of one kind lie inside nodes of another, of each page's tree."""
+    rows = units.nodes(page_units(spark, sf_dir).select(F.col("file").cast("long").alias("page_id"), "nodes"), "page_id")
+    counted = []
+    for outer, inner in (("NAV", "LINK"), ("NAV", "LI"), ("ARTICLE", "P"), ("ARTICLE", "H1"), ("LI", "A")):
+        held = units.inside(rows.where(F.col("kind").isin(outer, inner)), F.col("kind") == outer, "page_id").where(F.col("kind") == inner)
+        counted.append(held.groupBy("page_id").agg(F.count("*").alias("n"), F.min("label").alias("first_label")).select("page_id", F.lit(outer).alias("outer_kind"), F.lit(inner).alias("inner_kind"), "n", "first_label"))
+    return reduce(DataFrame.unionByName, counted)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -384,7 +399,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         shingle_counts, jaccard_pairs, shingle_classes, pair_metrics, pair_residual, minhash_signature, minhash_estimate, lsh_candidates, twin_pairs, simhash_hamming, twin_families, largest_family,
         metric_families, family_consensus, label_divergence, tree_trigrams, tree_subtrees, page_families, import_path_scan, sort_asymmetry, sibling_pool, basename_pool, findings_topk, call_edges,
-        external_targets, reachable, neighbour_names, matched_cases, eval_recall_fp, threshold_sweep, best_threshold, best_setting, verdict_tally, verdict_changes, metric_floor, metric_rescue, verdicts_code,
-        code_shapes, code_calls,
+        external_targets, reachable, neighbour_names, matched_cases, eval_recall_fp, threshold_sweep, best_threshold, best_setting, verdict_tally, verdict_changes, metric_floor, metric_rescue, growing_index,
+        growing_families, nested_tags,
     )
 }
