@@ -37,10 +37,10 @@ from twinscope.llm.common import discard, materialise, splitmix, table, text_byt
 
 LIFE, DELAY, BATCHES = 24, 96, 8
 HOUR_MS = 3_600_000
-SLOT, PAGES = 12, 4
+SLOT, PAGES, ROW_WINDOWS = 12, 4, 512
 BUCKET_EVENTS, LEAST_BUCKETS = 50_000, 64
 #: Events that a task holds before it packs them.
-PACK_EVENTS = 200_000
+PACK_EVENTS = 60_000
 EVENT = np.dtype([("click", "<i8"), ("hour", "<i4"), ("n", "<i4"), ("hash", "u1", 32)])
 WINDOW = np.dtype([("click", "<i8"), ("start", "<i4"), ("closed", "<i4"), ("repeats", "<i8"), ("conflicts", "<i8"), ("crc", "<i8"), ("hash", "u1", 32)])
 ENTRY = np.dtype([("deadline", "<i4"), ("click", "<i8")])
@@ -48,7 +48,7 @@ ENTRY = np.dtype([("deadline", "<i4"), ("click", "<i8")])
 STATE = "spark.sql.streaming.stateStore."
 SETTINGS = {
     f"{STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{STATE}unloadOnCommit": "true",
-    f"{STATE}rocksdb.boundedMemoryUsage": "true", f"{STATE}rocksdb.maxMemoryUsageMB": "256",
+    f"{STATE}rocksdb.boundedMemoryUsage": "true", f"{STATE}rocksdb.maxMemoryUsageMB": "64", f"{STATE}rocksdb.writeBufferSizeMB": "4", f"{STATE}rocksdb.blockCacheSizeMB": "4",
 }
 EVENTS = "click_id long, hour int, bucket int, hash binary"
 RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash binary"
@@ -185,7 +185,7 @@ class Windows(StatefulProcessor):
                     self.handle.deleteTimer(alarm[0])
                 self.set_alarm(first)
         if closed:
-            yield Row(closed=table_of(closed, self.batch).tobytes())
+            yield from rows_of(table_of(closed, self.batch))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         floor = floor_hour(timerValues)
@@ -215,7 +215,13 @@ class Windows(StatefulProcessor):
         if closed:
             out = np.concatenate(closed)
             out["closed"] = self.batch
-            yield Row(closed=out.tobytes())
+            yield from rows_of(out)
+
+
+def rows_of(windows: np.ndarray) -> Iterator[Row]:
+    """Closed windows, ROW_WINDOWS to a row, so that what reads the rows holds few at once."""
+    for lo in range(0, len(windows), ROW_WINDOWS):
+        yield Row(closed=windows[lo : lo + ROW_WINDOWS].tobytes())
 
 
 def page_of(clicks: np.ndarray) -> np.ndarray:
