@@ -16,10 +16,12 @@ PUBLIC = {
     "twinscope.operators.diff": "tree_diff",
     "twinscope.operators.families": "consensus families_by_metric label_divergence pool_families twin_families",
     "twinscope.operators.flow": "critical_path flow",
-    "twinscope.operators.graph": "components reach",
-    "twinscope.operators.pairs": "jaccard_pairs lsh_pairs metric_pairs overlap_pairs text_sets twin_pairs",
-    "twinscope.operators.report": "annotate warnings",
-    "twinscope.operators.units": "build_units register_language shingles",
+    "twinscope.operators.graph": "components merge_components reach",
+    "twinscope.operators.index": "BandIndex",
+    "twinscope.operators.pairs": "jaccard_pairs judged_pairs lsh_pairs metric_pairs overlap_pairs simhash_pairs text_sets twin_pairs",
+    "twinscope.operators.report": "BatchSink annotate warnings",
+    "twinscope.operators.units": "build_units inside register_language shingles units_in_time",
+    "twinscope.operators.tables": "register_tables",
     "twinscope.operators.verdicts": "characterise escalations findings resolve",
     "twinscope.sources.corpus": "SUPPORTED cross_file_siblings package_roots read_cases read_files siblings",
     "twinscope.streaming.watch": "analyse analyse_targets update_units watch watch_events",

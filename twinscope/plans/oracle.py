@@ -171,6 +171,9 @@ best AS (SELECT * FROM placed WHERE r = 1 AND n_labels > 1 AND n >= ceil(members
 SELECT b.family, b.pre::INTEGER AS pre, b.label AS majority, b.n AS n_majority, arg_min(o.label, o.first_unit) AS outlier, min(o.first_unit) AS outlier_unit
 FROM best b JOIN placed o ON o.family = b.family AND o.pre = b.pre AND o.label <> b.label GROUP BY 1, 2, 3, 4""",
     "tree_trigrams": f"WITH {TAGS} SELECT page_id, count(DISTINCT gram) AS n_trigrams FROM (SELECT page_id, tags[i] || '>' || tags[i + 1] || '>' || tags[i + 2] AS gram FROM (SELECT page_id, tags, unnest(range(1, len(tags) - 1)) AS i FROM tags WHERE len(tags) >= 3)) GROUP BY page_id",
+    "tree_kinds": r"""WITH tags AS (SELECT page_id, html, unnest(['NAV', 'UL', 'LI', 'ARTICLE', 'H1', 'P', 'LINK', 'BR', 'FOOTER']) AS kind FROM pages),
+told AS (SELECT page_id, kind, len(regexp_extract_all(html, CASE kind WHEN 'LINK' THEN ' href="' ELSE '<' || lower(kind) || '[ >]' END)) AS n FROM tags)
+SELECT page_id, kind, n FROM told WHERE n > 0""",
     "nested_tags": r"""WITH parts AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS article FROM pages),
 told AS (SELECT page_id, 'NAV' AS outer_kind, 'LINK' AS inner_kind, regexp_extract_all(nav, 'href="([^"]*)"', 1) AS found, true AS labelled FROM parts UNION ALL SELECT page_id, 'NAV', 'LI', regexp_extract_all(nav, '<li>'), false FROM parts
   UNION ALL SELECT page_id, 'ARTICLE', 'P', regexp_extract_all(article, '<p>'), false FROM parts UNION ALL SELECT page_id, 'ARTICLE', 'H1', regexp_extract_all(article, '<h1>'), false FROM parts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from twinscope.functions import metrics, sketches
 from twinscope.functions.imports import import_findings
 from twinscope.functions.text import word_shingles
-from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, units
+from twinscope.operators import asymmetry, calls, evaluate, families, graph, pairs, report, tables, units
 from twinscope.operators.index import BandIndex
 from twinscope.operators.storage import cut, folder
 from twinscope.sources import corpus
@@ -394,12 +394,19 @@ def nested_tags(spark, sf_dir):
     return reduce(DataFrame.unionByName, counted)
 
 
+def tree_kinds(spark, sf_dir):
+    """How many nodes of some kinds each page's tree has, by the table function of SQL."""
+    tables.register_tables(spark)
+    counted = spark.sql("SELECT p.page_id, n.kind, count(*) AS n FROM {pages} p, LATERAL tree_nodes(p.html, 'html') n GROUP BY p.page_id, n.kind", pages=table(spark, sf_dir, "pages"))
+    return counted.where(F.col("kind").isin("NAV", "UL", "LI", "ARTICLE", "H1", "P", "LINK", "BR", "FOOTER"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         shingle_counts, jaccard_pairs, shingle_classes, pair_metrics, pair_residual, minhash_signature, minhash_estimate, lsh_candidates, twin_pairs, simhash_hamming, twin_families, largest_family,
         metric_families, family_consensus, label_divergence, tree_trigrams, tree_subtrees, page_families, import_path_scan, sort_asymmetry, sibling_pool, basename_pool, findings_topk, call_edges,
         external_targets, reachable, neighbour_names, matched_cases, eval_recall_fp, threshold_sweep, best_threshold, best_setting, verdict_tally, verdict_changes, metric_floor, metric_rescue, growing_index,
-        growing_families, nested_tags,
+        growing_families, nested_tags, tree_kinds,
     )
 }
