@@ -21,8 +21,8 @@ blocks' centres, and so on until one is left; in 2 and 3 each two blocks that ca
 classes meet in a task of their own. So no task holds more than two blocks, and no pair is left out.
 
 Resemblance is estimated from BINS one-byte minima of one permutation. A pair is passed over when one text
-has fewer than THRESHOLD of the other's words, which loses nothing, or when the estimate is DEVIATIONS
-deviations below LEAST, which a linked pair is with a probability of about 1e-8. A link
+has fewer than THRESHOLD of the other's words, which loses nothing, or when the estimate is below FLOOR, which
+those of a pair with one of nine words replaced are with a probability of 2e-6. A link
 inside a class can't change the classes, so leaving it out loses nothing.
 
 Equal word sequences are one node throughout, so copies never meet each other in buckets. Classes are
@@ -51,12 +51,15 @@ from twinscope.llm.lexical import DIGIT, LETTER, lower, prefix_sums, segments, s
 
 WORDS = 5
 KEPT = 2
-SKETCHES = 32
+SKETCHES = 24
+#: Hashes that one numpy step of the sketches makes.
+WIDE_ITEMS = 1 << 16
 BINS = 128
 THRESHOLD = 0.8
 #: The k-mers' similarity that a pair needs besides: one of ten words moved leaves about 0.2, one of nine replaced 0.38.
 LEAST = 0.15
-DEVIATIONS = 6.0
+#: The estimate of that below which a pair is passed over, unless both are short; a pair of 0.285 is with a probability of 2e-6, one of 0.2 with 2e-3.
+FLOOR = 0.1
 #: Members that stand for a bucket when its most central one is sought.
 SOUNDED = 32
 #: Texts of a bucket that meet in one task; two such blocks at most.
@@ -104,17 +107,18 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
     """SKETCHES hashes, each of the KEPT smallest labelled k-mers in text order."""
-    out = np.empty(SKETCHES, np.uint64)
-    for s in range(SKETCHES):
-        v = (kmers ^ SEEDS[s]) * FACTORS[s]
+    at = np.empty((SKETCHES, min(KEPT, len(kmers))), np.int64)
+    rows = max(1, WIDE_ITEMS // max(1, len(kmers)))  # of a long text one sketch at a time
+    for s in range(0, SKETCHES, rows):
+        v = (kmers ^ SEEDS[s : s + rows, None]) * FACTORS[s : s + rows, None]
         v ^= v >> np.uint64(32)
-        at = np.sort(np.argpartition(v, KEPT - 1)[:KEPT]) if len(kmers) > KEPT else np.arange(len(kmers))
-        key = SEEDS[s : s + 1]
-        for k in at.tolist():
-            key = (key ^ kmers[k]) * GOLD
-            key = key ^ key >> np.uint64(29)
-        out[s] = key[0]
-    return out
+        at[s : s + rows] = np.argpartition(v, KEPT - 1, axis=1)[:, :KEPT] if len(kmers) > KEPT else np.arange(len(kmers))
+    at.sort(axis=1)
+    key = SEEDS.copy()
+    for k in range(at.shape[1]):
+        key = (key ^ kmers[at[:, k]]) * GOLD
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def profile(kmers: np.ndarray) -> bytes:
@@ -161,11 +165,6 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SKETCHED)
 
 
-def floor_of(bins: np.ndarray) -> np.ndarray:
-    """The estimate below which a pair is passed over, by the number of bins it rests on."""
-    return LEAST - DEVIATIONS * np.sqrt(LEAST * (1 - LEAST) / np.maximum(1, bins))
-
-
 def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimated resemblance of one text with many, by their profiles, and whether the pair has to be looked at."""
     bins, own = many["bins"], one["bins"]
@@ -173,7 +172,7 @@ def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = ((own == bins) & (own != 0)).sum(1) / np.maximum(1, used)
     few = WORDS - 1.0  # words beyond k-mers
     small, large = np.minimum(one["size"], many["size"]) + few, np.maximum(one["size"], many["size"]) + few
-    return same, (same >= floor_of(used)) & (small >= THRESHOLD * large - 1e-9)
+    return same, (same >= np.where(used >= BINS // 2, FLOOR, 0)) & (small >= THRESHOLD * large - 1e-9)
 
 
 def star(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
