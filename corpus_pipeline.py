@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; all but the
 last return the columns of documents. `run` writes each stage's rows as Parquet to the shared folder and
 reads them again for the next; the rows of the stage before are then deleted.
+
+Defined results: an empty table gives no rows; without labels of both kinds the classifiers answer alike for all
+documents (a document of unknown quality stays, one of unknown toxicity too); null texts are scored as empty ones and
+each is a document of its own to the near-duplicate stage; rows of equal id and text are one document after it; rows of
+null id stay; further columns of documents are carried up to the tokens, whatever their names.
 """
 
 from __future__ import annotations
