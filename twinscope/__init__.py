@@ -24,7 +24,7 @@ PUBLIC = {
     "twinscope.operators.tables": "register_tables",
     "twinscope.operators.verdicts": "characterise escalations findings resolve",
     "twinscope.sources.corpus": "SUPPORTED cross_file_siblings package_roots read_cases read_files siblings",
-    "twinscope.streaming.watch": "analyse analyse_targets update_units watch watch_events",
+    "twinscope.streaming.watch": "analyse analyse_targets compact_units late_files update_units watch watch_events",
 }
 _MODULE_OF = {name: module for module, names in PUBLIC.items() for name in names.split()}
 __all__ = sorted(_MODULE_OF)
