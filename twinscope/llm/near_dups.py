@@ -94,15 +94,19 @@ def labelled_kmers(words: np.ndarray) -> np.ndarray:
     n = len(words) - WORDS + 1
     if n < 1:
         return splitmix(np.array([(words * PLACES[: len(words)]).sum()], np.uint64)) if len(words) else words
-    kmers = splitmix(sum(words[j : j + n] * PLACES[j] for j in range(WORDS)))
-    order = np.argsort(kmers, kind="stable")
-    same = np.r_[False, kmers[order][1:] == kmers[order][:-1]]
+    return labelled(splitmix(sum(words[j : j + n] * PLACES[j] for j in range(WORDS))))
+
+
+def labelled(values: np.ndarray) -> np.ndarray:
+    """Hashes in order, those that came before in the row hashed with their occurrence number."""
+    order = np.argsort(values, kind="stable")
+    same = np.r_[False, values[order][1:] == values[order][:-1]]
     if same.any():
-        at = np.arange(n)
-        count = np.zeros(n, np.uint64)
+        at = np.arange(len(values))
+        count = np.zeros(len(values), np.uint64)
         count[order] = at - np.maximum.accumulate(np.where(same, 0, at))
-        kmers = np.where(count > 0, splitmix(kmers + count * GOLD), kmers)
-    return kmers
+        values = np.where(count > 0, splitmix(values + count * GOLD), values)
+    return values
 
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
@@ -394,20 +398,22 @@ class Words:
         self.words = word_hashes(raw, np.array([0, len(raw)]))[0]
         self.kmers = labelled_kmers(self.words)
         self.ordered = np.sort(self.kmers)
-
-    def shared(self, other: Words) -> int:
-        """The k-mers that both have."""
-        if not len(self.kmers):
-            return 0
-        at = np.minimum(np.searchsorted(self.ordered, other.kmers), len(self.ordered) - 1)
-        return int((self.ordered[at] == other.kmers).sum())
+        self.bag = np.sort(labelled(self.words)) if len(self.words) else self.words
 
     def like(self, other: Words) -> bool:
-        """Whether the two are linked."""
+        """Whether the two are linked. No alignment matches more words than both hold, which settles most pairs that aren't."""
         if not len(self.words) or not len(other.words):
             return False
-        both = self.shared(other)
-        return both >= LEAST * (len(self.kmers) + len(other.kmers) - both) - 1e-9 and alignment(self, other) >= THRESHOLD
+        both = in_common(self.ordered, other.ordered)
+        if both < LEAST * (len(self.kmers) + len(other.kmers) - both) - 1e-9:
+            return False
+        needed = THRESHOLD * (len(self.words) + len(other.words)) / (1 + THRESHOLD) - 1e-9
+        return in_common(self.bag, other.bag) >= needed and alignment(self, other) >= THRESHOLD
+
+
+def in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats both hold."""
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
 
 
 def chain(a: Words, b: Words, band: int) -> Iterator[tuple[int, int, int]]:
