@@ -66,6 +66,8 @@ SOUNDED = 32
 BLOCK = 2048
 #: Texts whose k-mers a task keeps at hand.
 HELD = 256
+#: Words of a cell's texts that are kept as slots at once, twice.
+TILE_WORDS, SLOT_BITS = 1 << 21, 20
 _RNG = np.random.default_rng(20240229)
 SEEDS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 FACTORS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,11 +213,13 @@ def one(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterat
             yield k, best, float(same[best])
 
 
-def unsettled(keys: np.ndarray, bucket: int, profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For members of a cell, the later ones of other classes that have to be looked at and share no earlier bucket."""
+def unsettled(keys: np.ndarray, bucket: int, profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray, rows: range | None = None, among: range | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For members of a cell (those in `rows`), the later ones (in `among`) of other classes that have to be looked at and share no earlier bucket."""
     blocks = several(blocks)
-    for k in range(len(profiles) - 1):
-        other = np.flatnonzero(apart(classes, blocks, k)[k + 1 :]) + k + 1
+    end = len(profiles) if among is None else among.stop
+    for k in range(len(profiles) - 1) if rows is None else rows:
+        first = k + 1 if among is None else max(k + 1, among.start)
+        other = np.flatnonzero(apart(classes, blocks, k)[first:end]) + first
         if len(other):
             other = other[estimates(profiles[k], profiles[other])[1]]
             shared = keys[other] == keys[k]
@@ -266,31 +270,65 @@ def remaining(cells: DataFrame) -> DataFrame:
     return dealt(cells, "bucket", "block", "bins", "keys", "class").mapInArrow(run, "cell long, node binary")
 
 
-def settle(cells: DataFrame) -> DataFrame:
-    """a, b, linked: links between classes of a cell, from (cell, bucket, block, node, bins, keys, class, zipped)."""
+def tiles(words: np.ndarray) -> list[range]:
+    """The texts of a cell, given by their numbers of words, in runs of about TILE_WORDS words."""
+    run = np.cumsum(words) // TILE_WORDS
+    edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(words)]
+    return [range(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        for _, (nodes, bucket, blocks, bins, keys, classes, zipped) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class", "zipped")):
-            texts: dict[int, Words] = {}
-
-            def read(k: int, texts=texts, zipped=zipped) -> Words:
-                if k not in texts:
-                    if len(texts) >= HELD:
-                        texts.pop(next(iter(texts)))
-                    texts[k] = Words(unzip.decompress(zipped[k]))
-                return texts[k]
-
-            number: dict[bytes, int] = {}
-            own = np.array([number.setdefault(c, len(number)) for c in classes.tolist()])
-            links = []
-            for k, partners in unsettled(keys, bucket[0], bins, classes, blocks):
-                for j in partners.tolist():
+
+def cell_links(nodes: np.ndarray, bucket: int, blocks: np.ndarray, bins: np.ndarray, keys: np.ndarray, classes: np.ndarray, zipped: np.ndarray) -> list[list[bytes]]:
+    """Links between classes of a cell.
+
+    All partners of a text are measured against it in one numpy step: a link needs so many words in common, and
+    the slots of a bag (its words' hashes, cut to SLOT_BITS) count at least those. Few pairs pass, and only these
+    are aligned.
+    """
+    unzip = zstandard.ZstdDecompressor()
+    texts: dict[int, Words] = {}
+
+    def read(k: int) -> Words:
+        if k not in texts:
+            if len(texts) >= HELD:
+                texts.pop(next(iter(texts)))
+            texts[k] = Words(unzip.decompress(zipped[k]))
+        return texts[k]
+
+    def slots(k: int) -> np.ndarray:
+        return bag_slots(unzip.decompress(zipped[k]))
+
+    number: dict[bytes, int] = {}
+    own = np.array([number.setdefault(c, len(number)) for c in classes.tolist()])
+    links, mark = [], np.zeros(1 << SLOT_BITS, np.uint8)
+    runs = tiles(bins["size"].astype(np.int64) + WORDS - 1)
+    for i, rows in enumerate(runs):
+        ours = {k: slots(k) for k in rows}
+        for among in runs[i:]:
+            theirs = ours if among is rows else {k: slots(k) for k in among}
+            for k, partners in unsettled(keys, bucket, bins, classes, blocks, rows, among):
+                partners = partners[own[partners] != own[k]]
+                if not len(partners):
+                    continue
+                bags = [theirs[j] for j in partners.tolist()]
+                sizes = np.array([len(x) for x in bags])
+                mark[ours[k]] = 1
+                common = np.add.reduceat(mark[np.concatenate(bags)], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+                mark[ours[k]] = 0
+                for j in partners[common >= words_needed(len(ours[k]), sizes)].tolist():
                     if own[j] != own[k]:
                         b = read(j)
                         if read(k).like(b):
                             links.append(sorted((nodes[k].tobytes(), nodes[j].tobytes())))
                             own[own == own[j]] = own[k]
+    return links
+
+
+def settle(cells: DataFrame) -> DataFrame:
+    """a, b, linked: links between classes of a cell, from (cell, bucket, block, node, bins, keys, class, zipped)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (nodes, bucket, *columns) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class", "zipped")):
+            links = cell_links(nodes, bucket[0], *columns)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a))})
@@ -407,10 +445,22 @@ class Words:
         both = in_common(self.ordered, other.ordered)
         if both < LEAST * (len(self.kmers) + len(other.kmers) - both) - 1e-9:
             return False
-        needed = THRESHOLD * (len(self.words) + len(other.words)) / (1 + THRESHOLD) - 1e-9
+        needed = words_needed(len(self.words), len(other.words))
         return in_common(self.bag, other.bag) >= needed and alignment(self, other) >= THRESHOLD
 
 
+def words_needed(n_a: int, n_b: int | np.ndarray) -> float | np.ndarray:
+    """How many words two texts of so many words match at the threshold."""
+    return THRESHOLD * (n_a + n_b) / (1 + THRESHOLD) - 1e-9
+
+
+def bag_slots(text: bytes) -> np.ndarray:
+    """A slot for each word of a text, repeated ones by their occurrence."""
+    raw = np.frombuffer(text, np.uint8)
+    words = word_hashes(raw, np.array([0, len(raw)]))[0]
+    return (splitmix(labelled(words)) >> np.uint64(64 - SLOT_BITS)).astype(np.uint32) if len(words) else words.astype(np.uint32)
+
+
 def in_common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted arrays without repeats both hold."""
     return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
