@@ -137,6 +137,21 @@ def test_click_windows(spark, tmp_path):
     assert none.count() == 0 and set(none.columns) == set(columns)
 
 
+def test_click_windows_opens(spark, tmp_path, monkeypatch):
+    """Each run of the stream opens the stores once, and the last once more; batches without rows between others change nothing."""
+    rng, start, folders = np.random.default_rng(6), datetime(2024, 1, 3), []
+    hours = [*rng.integers(0, 300, 200), *rng.integers(1400, 1700, 200), *rng.integers(4000, 4300, 200)]
+    rows = [(int(rng.integers(0, 60)), at, at, k % 5, "view", 1.0, "{}", "x") for k, at in enumerate(start + timedelta(hours=int(h)) for h in hours)]
+    spark.createDataFrame(rows, CLICK).write.parquet(f"{tmp_path}/clicks.parquet")
+    monkeypatch.setattr(click_windows, "work_dir", lambda *_: folders.append(f"{tmp_path}/work") or folders[-1])
+    got = click_windows.op12_click_windows(spark, str(tmp_path))
+    columns = "click_id", "start_hour", "closed_batch", "n_repeats", "n_conflicts", "conflict_crc", "hash"
+    want = plain_windows(rows)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == want and 3 < len({w[2] for w in want}) < 8
+    assert len([x for x in (tmp_path / "work/checkpoint/commits").iterdir() if x.name.isdigit()]) == click_windows.BATCHES + 1
+    assert spark.conf.get(click_windows.EMPTY_RUNS) == "true"
+
+
 def plain_links(rows, threshold=0.93):
     """vec_id, n_links, component_id, kept of (vec_id, vector, label)."""
     able = [v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in rows]
