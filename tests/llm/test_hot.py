@@ -33,3 +33,25 @@ def test_near_dups_hot_cell(monkeypatch):
         links = near_dups.cell_links(nodes, 0, np.zeros(len(texts), int), bins, keys, nodes, zipped)
         assert {tuple(int.from_bytes(x, "big") for x in link) for link in links} == expected
         assert len(read) < len(texts)
+
+
+def test_near_dups_rounds(spark, monkeypatch):
+    """Texts that share buckets without being linked are verified with their centres only; what is left is aligned in its cells, and only the classes that this joins are labelled anew."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{x}" for x in range(60)]
+    texts = [" ".join([*passage, *(f"w{x}" for x in rng.integers(0, 10**6, 30))]) for _ in range(30)]
+    texts += [" ".join(w if k % 30 else f"v{rng.integers(10**6)}" for k, w in enumerate(t.split())) for t in texts[:10]]
+    verified, labelled = [], []
+    verify, components = near_dups.verify, near_dups.components
+    monkeypatch.setattr(near_dups, "verify", lambda pairs, texts: verified.append(pairs.count()) or verify(pairs, texts))
+    monkeypatch.setattr(near_dups, "components", lambda *links: labelled.append(links[0].count()) or components(*links))
+    rows = near_dups.classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    words = [near_dups.Words(t.encode()) for t in texts]
+    smallest = [*range(len(texts))]
+    linked = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if words[a].like(words[b])]
+    for _ in texts:
+        for a, b in linked:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    assert len(linked) >= 10 and {r.doc_id: r.class_id for r in rows} == dict(enumerate(smallest))
+    assert len(verified) == 1 and verified[0] <= len(texts)
+    assert len(labelled) <= 2 and sum(labelled[1:]) < len(linked)

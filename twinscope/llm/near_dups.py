@@ -11,14 +11,13 @@ between its links the longest common subsequence of words, by bits.
 
 No bucket is expanded into all pairs, and none is capped:
 1. star: a text is paired with the most central text of its buckets (the one it resembles most);
-2. one: in buckets that verified links haven't made one class, each text is paired with the text of
-   another class that it resembles most;
-3. rest: texts that still have a partner in another class of a bucket are brought to it, and all such pairs
-   are aligned there, each in the first bucket that it shares; only links leave the task, one for two
-   classes, so its output is no larger than its input.
+2. rest: in buckets that verified links haven't made one class, texts that have a partner in another class
+   are brought to it, and all such pairs are aligned there, each in the first bucket that it shares; only
+   links leave the task, one for two classes, so its output is no larger than its input.
 A bucket of more than BLOCK texts is dealt into blocks. Its stars are made block by block, then among the
-blocks' centres, and so on until one is left; in 2 and 3 each two blocks that can hold a pair of different
+blocks' centres, and so on until one is left; in 2 each two blocks that can hold a pair of different
 classes meet in a task of their own. So no task holds more than two blocks, and no pair is left out.
+Links of 2 join classes, so the components are made anew among these classes only.
 
 Resemblance is estimated from BINS one-byte minima of one permutation. A pair is passed over when one text
 has fewer than THRESHOLD of the other's words, which loses nothing, or when the estimate is below FLOOR, which
@@ -181,7 +180,7 @@ def estimates(one: np.void, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return same, (same >= np.where(used >= BINS // 2, FLOOR, 0)) & (small >= THRESHOLD * large - 1e-9)
 
 
-def star(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
+def star(profiles: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Each text of a cell with the most central one."""
     spots = np.unique(np.linspace(0, len(profiles) - 1, SOUNDED).astype(int))
     best = max(spots.tolist(), key=lambda k: (estimates(profiles[k], profiles)[0].sum(), -k))
@@ -202,17 +201,6 @@ def apart(classes: np.ndarray, blocks: np.ndarray | None, k: int) -> np.ndarray:
     return other if blocks is None else other & (blocks != blocks[k])
 
 
-def one(profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray) -> Iterator[tuple[int, int, float]]:
-    """Each text of a cell with the text of another class that it resembles most."""
-    blocks = several(blocks)
-    for k in range(len(profiles)):
-        same, good = estimates(profiles[k], profiles)
-        same = np.where(good & apart(classes, blocks, k), same, -1.0)
-        best = int(same.argmax())
-        if same[best] >= 0:
-            yield k, best, float(same[best])
-
-
 def unsettled(keys: np.ndarray, bucket: int, profiles: np.ndarray, classes: np.ndarray, blocks: np.ndarray, rows: range | None = None, among: range | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For members of a cell (those in `rows`), the later ones (in `among`) of other classes that have to be looked at and share no earlier bucket."""
     blocks = several(blocks)
@@ -255,8 +243,11 @@ def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
         yield current, [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+MEMBER = {"cell": "long", "bucket": "long", "block": "long", "node": "binary", "bins": "binary", "keys": "array<long>", "class": "binary"}
+
+
 def remaining(cells: DataFrame) -> DataFrame:
-    """cell, node of members with an unsettled partner, from (cell, bucket, block, node, bins, keys, class)."""
+    """The members of cells that have an unsettled partner, as MEMBER."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, (nodes, bucket, blocks, bins, keys, classes) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class")):
@@ -265,9 +256,13 @@ def remaining(cells: DataFrame) -> DataFrame:
                 hit[partners] = True
                 hit[k] |= len(partners) > 0
             if hit.any():
-                yield pa.record_batch({"cell": pa.array(np.full(int(hit.sum()), cell), pa.int64()), "node": pa.array(nodes[hit].tolist(), pa.binary())})
+                n = int(hit.sum())
+                yield pa.record_batch({
+                    "cell": pa.array(np.full(n, cell), pa.int64()), "bucket": pa.array(bucket[hit], pa.int64()), "block": pa.array(blocks[hit], pa.int64()), "node": pa.array(nodes[hit].tolist(), pa.binary()),
+                    "bins": pa.array([x.tobytes() for x in bins[hit]], pa.binary()), "keys": pa.array(list(keys[hit]), pa.list_(pa.int64())), "class": pa.array(classes[hit].tolist(), pa.binary()),
+                })
 
-    return dealt(cells, "bucket", "block", "bins", "keys", "class").mapInArrow(run, "cell long, node binary")
+    return dealt(cells, "bucket", "block", "bins", "keys", "class").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in MEMBER.items()))
 
 
 def tiles(words: np.ndarray) -> list[range]:
@@ -278,7 +273,7 @@ def tiles(words: np.ndarray) -> list[range]:
 
 
 def cell_links(nodes: np.ndarray, bucket: int, blocks: np.ndarray, bins: np.ndarray, keys: np.ndarray, classes: np.ndarray, zipped: np.ndarray) -> list[list[bytes]]:
-    """Links between classes of a cell.
+    """The classes of a cell that links join, in pairs.
 
     All partners of a text are measured against it in one numpy step: a link needs so many words in common, and
     the slots of a bag (its words' hashes, cut to SLOT_BITS) count at least those. Few pairs pass, and only these
@@ -318,22 +313,22 @@ def cell_links(nodes: np.ndarray, bucket: int, blocks: np.ndarray, bins: np.ndar
                     if own[j] != own[k]:
                         b = read(j)
                         if read(k).like(b):
-                            links.append(sorted((nodes[k].tobytes(), nodes[j].tobytes())))
+                            links.append(sorted((classes[k].tobytes(), classes[j].tobytes())))
                             own[own == own[j]] = own[k]
     return links
 
 
 def settle(cells: DataFrame) -> DataFrame:
-    """a, b, linked: links between classes of a cell, from (cell, bucket, block, node, bins, keys, class, zipped)."""
+    """a, b: classes of a cell that links join, from MEMBER and zipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (nodes, bucket, *columns) in grouped(batches, ("node", "bucket", "block", "bins", "keys", "class", "zipped")):
             links = cell_links(nodes, bucket[0], *columns)
             if links:
                 a, b = zip(*links, strict=True)
-                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "linked": pa.array([True] * len(a))})
+                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt(cells, "bucket", "block", "bins", "keys", "class", "zipped").mapInArrow(run, "a binary, b binary, linked boolean")
+    return dealt(cells, "bucket", "block", "bins", "keys", "class", "zipped").mapInArrow(run, "a binary, b binary")
 
 
 def dealt(cells: DataFrame, *columns: str) -> DataFrame:
@@ -341,19 +336,19 @@ def dealt(cells: DataFrame, *columns: str) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "node", *columns)
 
 
-def pairs_of(cells: DataFrame, how: Callable) -> DataFrame:
-    """A text, the partner found for it in a cell, and their estimate, from (cell, bucket, block, node, bins, class)."""
+def stars_of(cells: DataFrame) -> DataFrame:
+    """The texts of cells with their centre, and the estimate of both, from (cell, bucket, node, bins)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (nodes, bucket, blocks, bins, classes) in grouped(batches, ("node", "bucket", "block", "bins", "class")):
-            found = [*how(bins, classes, blocks)] if len(nodes) > 1 else []
+        for _, (nodes, bucket, bins) in grouped(batches, ("node", "bucket", "bins")):
+            found = [*star(bins)] if len(nodes) > 1 else []
             if found:
                 text, partner, same = zip(*found, strict=True)
                 yield pa.record_batch({
                     "bucket": pa.array([bucket[0]] * len(found), pa.int64()), "node": pa.array(nodes[list(text)].tolist(), pa.binary()), "partner": pa.array(nodes[list(partner)].tolist(), pa.binary()), "same": pa.array(same, pa.float64()),
                 })
 
-    return dealt(cells, "bucket", "block", "bins", "class").mapInArrow(run, "bucket long, node binary, partner binary, same double")
+    return dealt(cells, "bucket", "bins").mapInArrow(run, "bucket long, node binary, partner binary, same double")
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
@@ -375,7 +370,7 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     """The blocks of buckets as cells, for stars."""
     blocks = F.ceil(F.col("members") / BLOCK)
     cell = F.when(blocks == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", split("node", blocks)))
-    return buckets.select(cell.alias("cell"), "bucket", F.lit(0).alias("block"), "node")
+    return buckets.select(cell.alias("cell"), "bucket", "node")
 
 
 def in_pairs_of_blocks(named: DataFrame) -> DataFrame:
@@ -533,16 +528,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return first.join(texts.select(F.col("node").alias("b"), F.col("zipped").alias("tb")), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and class (the smallest node of its component) of all nodes with a link.
 
-    `known` are the classes of some of these links. In each round a node takes the smallest class that it or a
-    neighbour has, and then its whole former class follows the smallest one that a member took, two steps on.
+    In each round a node takes the smallest class that it or a neighbour has, and then its whole former class
+    follows the smallest one that a member took, two steps on.
     """
     links = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "links")
     labels = links.groupBy("u").agg(F.min("v").alias("near")).select(F.col("u").alias("node"), F.least("u", "near").alias("class"))
-    if known is not None:
-        labels = links.select(F.col("u").alias("node")).distinct().join(known, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
     labels = materialise(labels, "labels")
     while True:
         near = links.join(labels.select(F.col("node").alias("v"), "class"), "v").groupBy("u").agg(F.min("class").alias("near"))
@@ -597,7 +590,7 @@ def classes(docs: DataFrame) -> DataFrame:
     bins = nodes.select("node", "bins")
 
     def stars(buckets: DataFrame) -> DataFrame:
-        return pairs_of(in_blocks(buckets).join(bins, "node").withColumn("class", F.col("node")), star)
+        return stars_of(in_blocks(buckets).join(bins, "node"))
 
     candidates = in_order(stars(buckets.where(F.col("members") <= BLOCK)))
     rounds, level = [], buckets.where(F.col("members") > BLOCK)
@@ -620,32 +613,20 @@ def classes(docs: DataFrame) -> DataFrame:
     spent += [pairs, tested]
     labels = components(tested.where("linked").select("a", "b"))
 
-    def mixed(labels: DataFrame) -> DataFrame:
-        """Cells of buckets with members of several classes."""
-        return in_pairs_of_blocks(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
-
-    nearest = pairs_of(mixed(labels).join(bins, "node"), one).groupBy("bucket", "node").agg(F.max_by(F.struct("partner", "same"), F.struct("same", "partner")).alias("p"))
-    more = in_order(nearest.select("node", "p.*")).select("a", "b").distinct()
-    more = materialise(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    release(spark)
-    if not more.isEmpty():
-        tested = materialise(verify(more, texts).unionByName(tested), "verified")
-        spent.append(tested)
-        labels = components(tested.where("linked").select("a", "b"), labels)
-    cells = materialise(mixed(labels), "cells")
-    rest = cells.join(nodes.select("node", "bins", "keys"), "node")
-    open_ones = materialise(remaining(rest), "open")
+    # members of buckets with several classes
+    mixed = in_pairs_of_blocks(buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
+    unmet = materialise(remaining(mixed.join(nodes.select("node", "bins", "keys"), "node")), "open")
     release(spark)
-    if not open_ones.isEmpty():
-        brought = rest.join(open_ones, ["cell", "node"]).join(texts, "node")
-        found = materialise(settle(brought), "settled")
-        spent.append(found)
-        if not found.isEmpty():
-            labels = components(tested.where("linked").select("a", "b").unionByName(found.select("a", "b")), labels)
+    named = rows.select("doc_id", "text64", "node").join(labels, "node", "left").select("doc_id", "text64", F.coalesce("class", "node").alias("class"))
+    if not unmet.isEmpty():
+        joined = materialise(settle(unmet.join(texts, "node")), "settled")
+        spent.append(joined)
+        if not joined.isEmpty():
+            moved = components(joined).select(F.col("node").alias("class"), F.col("class").alias("to"))
+            named = named.join(moved, "class", "left").select("doc_id", "text64", F.coalesce("to", "class").alias("class"))
     release(spark)
-    named = rows.select("doc_id", "text64", "node").join(labels, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    named = materialise(named.select("doc_id", "text64", "class"), "named")
-    discard(rows, nodes, buckets, texts, more, cells, open_ones, *spent)  # all that the result reads is in `named`
+    named = materialise(named, "named")
+    discard(rows, nodes, buckets, texts, unmet, *spent)  # all that the result reads is in `named`
     sizes = named.where(F.col("class").isNotNull()).groupBy("class").agg(standing.alias("row"), F.count("*").alias("class_size"))
     # a class of many rows is a hot key on one side only, which Spark's skew join splits
     with_text = named.where(F.col("class").isNotNull()).join(sizes, "class").select("doc_id", "text64", F.col("row.doc_id").alias("class_id"), F.col("row.text64").alias("class_text64"), "class_size")
