@@ -3,7 +3,7 @@
 import numpy as np
 import zstandard
 
-from twinscope.llm import near_dups
+from twinscope.llm import click_windows, near_dups
 
 
 def test_near_dups_hot_cell(monkeypatch):
@@ -55,3 +55,16 @@ def test_near_dups_rounds(spark, monkeypatch):
     assert len(linked) >= 10 and {r.doc_id: r.class_id for r in rows} == dict(enumerate(smallest))
     assert len(verified) == 1 and verified[0] <= len(texts)
     assert len(labelled) <= 2 and sum(labelled[1:]) < len(linked)
+
+
+def test_click_windows_memory(spark, tmp_path):
+    """Copies are cut into batches without a sort, and a page of windows takes less than half a megabyte."""
+    rows = spark.range(300).selectExpr("id AS click_id", *(f"timestamp_seconds(1700000000 + 3600 * id) AS {c}" for c in ("ts", "arrived_at")), "id % 5 AS client_id", "'view' AS kind", "1.5D AS value", "'{}' AS props")
+    rows.write.parquet(f"{tmp_path}/clicks.parquet")
+    done = spark._jsparkSession.sharedState().statusStore()
+    before = done.executionsList().size()
+    assert click_windows.op12_click_windows(spark, str(tmp_path)).count() >= 300
+    plans = [done.executionsList().apply(k).physicalPlanDescription() for k in range(before, done.executionsList().size())]
+    cuts = [p for p in plans if "/cut" in p and "InsertIntoHadoopFsRelationCommand" in p and "batch" in p.split("InsertIntoHadoopFsRelationCommand")[-1] and "sha2" in p]
+    assert cuts and not any("Sort" in p for p in cuts)
+    assert click_windows.WINDOW.itemsize * click_windows.BUCKET_EVENTS / click_windows.PAGES < 1 << 19
