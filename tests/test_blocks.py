@@ -138,3 +138,15 @@ def test_verdicts_arent_joined(spark):
         joins = [line for line in plan.split("\n") if "Join" in line]
         assert name != "verdict_changes" and name != "verdict_tally" or not joins, name
         assert len(joins) <= 1, name  # the grid of thresholds
+
+
+def test_items_arent_kept_for_asymmetry(spark, monkeypatch):
+    """Of all units only the class is kept, not the items."""
+    from twinscope.operators import asymmetry
+
+    kept, cut = [], asymmetry.cut
+    monkeypatch.setattr(asymmetry, "cut", lambda df: kept.append(df.columns) or cut(df))
+    rows = [("a", "s", "f1", True, ["x", "y", "z"]), ("b", "s", "f2", False, ["x", "y", "z", "w"]), ("c", "s", "f3", False, [])]
+    found = asymmetry.asymmetric(spark.createDataFrame(rows, "unit string, scope string, file string, has_sort boolean, identifiers array<string>"), "scope")
+    assert [tuple(r) for r in found.collect()] == [("a", 1)]
+    assert kept and not any("items" in c for c in kept)
